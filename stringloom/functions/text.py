@@ -140,6 +140,11 @@ def age_bucket(modified, as_of) -> Column:
     )
 
 
+def sql_text(value: str) -> str:
+    """A string as a literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def basename(path) -> Column:
     return F.substring_index(_c(path), "/", -1)
 

@@ -5,18 +5,19 @@ up to there happens inside the row of a file, so scanning needs no shuffle. Orde
 (path, pattern_id, match_ord) is the order in which a sequential scan meets the literals.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import (
     LITERAL_PATTERNS, LOCALIZATION_DIRS, LOCALIZATION_FILE_PARTS, MAX_FILE_CHARS, NUMBER_PATTERN,
     SYMBOLS_PATTERN,
 )
-from ..functions.text import WS, basename, make_key, utrim, with_ws
+from ..functions.text import TRIM_CHARS, basename, make_key, sql_text, utrim, with_ws
 from ..sources.files import fits
 
 ORDER = ("path", "pattern_id", "match_ord")
-_LOCALIZED_SUFFIX = rf"(?=[{WS}\x85]*+(\.tr|\.i18n)?)"
-_START = "\x01"
+_FEW = 32
 _HITS_TYPE = (
     "array<struct<pattern_id:int,match_ord:int,line_no:int,value:string,"
     "suffix_localized:boolean,line_localized:boolean>>"
@@ -49,52 +50,83 @@ def skip_large(files: DataFrame, max_chars: int = MAX_FILE_CHARS) -> DataFrame:
 
 def extract_literals(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> DataFrame:
     """Every literal of every pattern: path, pattern_id, match_ord, value."""
-    def hits(pid: int, pattern: str) -> Column:
-        values = F.regexp_extract_all(F.col("content"), F.lit(with_ws(pattern)), 1)
-        return F.transform(values, lambda value, i: F.struct(
-            F.lit(pid).alias("pattern_id"), (i + 1).alias("match_ord"), value.alias("value")))
-
-    all_hits = [hits(pid, p) for pid, p in enumerate(patterns, 1)]
-    return files.select("path", F.inline(F.flatten(F.array(*all_hits))))
+    hits = ", ".join(
+        f"transform({_matches(p, 1)}, (v, i) -> struct({pid} as pattern_id, i + 1 as match_ord, v as value))"
+        for pid, p in enumerate(patterns, 1)
+    )
+    return files.selectExpr("path", f"inline(flatten(array({hits})))")
 
 
 def extract_lines(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> DataFrame:
     """Literals with the line of the match start and whether they are localized already.
 
-    Spark's regex functions return no positions. A mark is put before every match, and a line that
-    grew by k characters starts k matches; so the line numbers come out of one pass over the lines.
+    Spark's regex functions return no positions, so a file with a match is also split at the matches:
+    newlines before a match are those of the gaps and matches before it, and a localized suffix is
+    at the head of the gap behind it.
     """
-    content = F.col("content")
-    found = files.select("path", "content", *[
-        F.regexp_extract_all(content, F.lit(with_ws(p)), 1).alias(f"_v{pid}")
-        for pid, p in enumerate(patterns, 1)
+    ids = range(1, len(patterns) + 1)
+    matches = files.selectExpr("path", "content", *[
+        f"{_matches(p, 0)} as _m{pid}" for pid, p in enumerate(patterns, 1)
     ])
-    # Lines are measured and searched once, and only in files with a match.
-    matched = F.greatest(F.lit(0), *[F.size(f"_v{pid}") for pid in range(1, len(patterns) + 1)]) > 0
-    found = found.withColumn("_info", F.when(matched, F.transform(F.split(content, "\n"), lambda line: F.struct(
-        F.length(line).alias("len"),
-        (line.contains(".tr") | line.contains(".i18n")).alias("localized"),
-    ))))
-    hits = [_hits(pid, with_ws(p)) for pid, p in enumerate(patterns, 1)]
-    return found.select("path", F.inline(F.flatten(F.array(*hits))))
-
-
-def _hits(pid: int, pattern: str) -> Column:
-    content, values, info = F.col("content"), F.col(f"_v{pid}"), F.col("_info")
-    marked = F.split(F.regexp_replace(content, pattern, _START + "$0"), "\n")
-    line_nos = F.flatten(F.transform(
-        marked, lambda line, i: F.array_repeat(i + 1, F.length(line) - F.get(info, i)["len"])))
-    suffixes = F.regexp_extract_all(content, F.lit(pattern + _LOCALIZED_SUFFIX), 2)
-    hits = F.transform(
-        F.arrays_zip(values.alias("value"), line_nos.alias("line_no"), suffixes.alias("suffix")),
-        lambda h, i: F.struct(
-            F.lit(pid).alias("pattern_id"), (i + 1).alias("match_ord"),
-            h["line_no"].alias("line_no"), h["value"].alias("value"),
-            (h["suffix"] != "").alias("suffix_localized"),
-            F.get(info, h["line_no"] - 1)["localized"].alias("line_localized"),
-        ),
+    split = matches.selectExpr(
+        "path", "content", *[f"_m{pid}" for pid in ids],
+        *[f"if(size(_m{pid}) > 0, split(content, {sql_text(with_ws(p))}), null) as _g{pid}"
+          for pid, p in enumerate(patterns, 1)],
+        f"if({' + '.join(f'size(_m{pid})' for pid in ids)} > 0 and {_marked('content')}, "
+        f"transform(split(content, '\n'), line -> {_marked('line')}), null) as _marked",
     )
-    return F.when(F.size(values) > 0, hits).otherwise(F.array().cast(_HITS_TYPE))
+    numbered = split.selectExpr("path", "_marked", *[f"_m{pid}" for pid in ids], *[f"_g{pid}" for pid in ids], *[
+        f"{_line_numbers(pid, p)} as _n{pid}" for pid, p in enumerate(patterns, 1)
+    ])
+    hits = ", ".join(_hits(pid) for pid in ids)
+    return numbered.selectExpr("path", f"inline(flatten(array({hits})))")
+
+
+def _matches(pattern: str, group: int) -> str:
+    """All matches. A file without the word a pattern starts with is not decoded for it."""
+    found = f"regexp_extract_all(content, {sql_text(with_ws(pattern))}, {group})"
+    word = re.match(r"[A-Za-z]+(?=\\s)", pattern)
+    if not word:
+        return found
+    return f"if(contains(content, '{word[0]}'), {found}, cast(array() as array<string>))"
+
+
+def _marked(text: str, test: str = "contains") -> str:
+    return f"({test}({text}, '.tr') or {test}({text}, '.i18n'))"
+
+
+def _newlines(text: str) -> str:
+    return f"(octet_length({text}) - octet_length(replace({text}, '\n', '')))"
+
+
+def _line_numbers(pid: int, pattern: str) -> str:
+    """Line of every match. Adding up the newlines of all parts before a match is quadratic in the
+    matches, so a file with many takes another way: a character is put before every match, and a
+    line that grew by k characters starts k matches."""
+    one = f"array(1 + {_newlines(f'get(_g{pid}, 0)')})"
+    counts = f"""transform(slice(_g{pid}, 1, size(_m{pid})), (g, i) ->
+        {_newlines('g')} + if(i > 0, {_newlines(f'get(_m{pid}, i - 1)')}, 0))"""
+    few = f"""slice(aggregate({counts}, array(1),
+        (sums, n) -> concat(sums, array(get(sums, size(sums) - 1) + n))), 2, {_FEW})"""
+    grown = f"split(regexp_replace(content, {sql_text(with_ws(pattern))}, '.$0'), '\n')"
+    many = f"""flatten(transform(arrays_zip({grown}, split(content, '\n')),
+        (line, i) -> array_repeat(i + 1, length(line.`0`) - length(line.`1`))))"""
+    return f"""case when size(_m{pid}) = 0 then null when size(_m{pid}) = 1 then {one}
+        when size(_m{pid}) <= {_FEW} then {few} else {many} end"""
+
+
+def _hits(pid: int) -> str:
+    # The only quotes of a match enclose its value.
+    value = "substring_index(substring_index(left(m, length(m) - 1), '\"', -1), '\\'', -1)"
+    trimmed = f"trim(leading {sql_text(TRIM_CHARS)} from get(_g{pid}, i + 1))"
+    behind = f"concat(left({trimmed}, 5), left(coalesce(get(_m{pid}, i + 1), ''), 5))"
+    return f"""
+        if(size(_m{pid}) = 0, cast(array() as {_HITS_TYPE}), transform(_m{pid}, (m, i) -> struct(
+          {pid} as pattern_id, i + 1 as match_ord, get(_n{pid}, i) as line_no, {value} as value,
+          _marked is not null and startswith({trimmed}, '.') and {_marked(behind, 'startswith')}
+            as suffix_localized,
+          _marked is not null and get(_marked, get(_n{pid}, i) - 1) as line_localized)))
+    """
 
 
 def ignore_reason(value) -> Column:
