@@ -9,10 +9,12 @@ from pyspark.sql import Column, functions as F
 from .fixed_values import DEFAULT_COUNTRY
 
 # Regex text of the white-space class, valid in Java and RE2 alike.
-WS = (
-    r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
+_ASCII_WS = r"\t\n\x0B\f\r "
+_WIDE_WS = (
+    r"\x{00A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+WS = _ASCII_WS + _WIDE_WS
 # The characters that trimming removes: the class above and U+0085.
 TRIM_CHARS = (
     "\t\n\x0b\x0c\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -53,9 +55,16 @@ def utf16_length(c) -> Column:
 
 
 def make_key(text) -> Column:
-    """``Go Back?`` -> ``go_back``."""
-    kept = F.regexp_replace(F.lower(_c(text)), rf"[^\w{WS}]", "")
-    return F.regexp_replace(utrim(kept), f"[{WS}]+", "_")
+    """``Go Back?`` -> ``go_back``.
+
+    Spaces beyond ASCII first become plain ones, in texts that may hold any; the patterns that see
+    every character then need only a small ASCII class.
+    """
+    low = F.lower(_c(text))
+    ascii_only = F.octet_length(low) == F.length(low)
+    plain = F.when(ascii_only, low).otherwise(F.regexp_replace(low, f"[{_WIDE_WS}]", " "))
+    kept = F.regexp_replace(plain, rf"[^\w{_ASCII_WS}]+", "")
+    return F.regexp_replace(F.trim(kept, F.lit("\t\n\x0b\x0c\r ")), f"[{_ASCII_WS}]+", "_")
 
 
 def readable_key(key) -> Column:
@@ -145,9 +154,6 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def basename(path) -> Column:
-    return F.substring_index(_c(path), "/", -1)
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

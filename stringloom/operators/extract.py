@@ -13,7 +13,7 @@ from ..functions.fixed_values import (
     LITERAL_PATTERNS, LOCALIZATION_DIRS, LOCALIZATION_FILE_PARTS, MAX_FILE_CHARS, NUMBER_PATTERN,
     SYMBOLS_PATTERN,
 )
-from ..functions.text import TRIM_CHARS, basename, make_key, sql_text, utrim, with_ws
+from ..functions.text import TRIM_CHARS, make_key, sql_text, with_ws
 from ..sources.files import fits
 
 ORDER = ("path", "pattern_id", "match_ord")
@@ -31,8 +31,10 @@ def scan_files(
 
     ``skip_dirs`` also drops files below a localization directory.
     """
-    name = F.lower(basename("path"))
-    kept = files.where(F.col("path").endswith(suffix) & ~_contains_any(name, LOCALIZATION_FILE_PARTS))
+    kept = files.where(F.expr(
+        f"endswith(path, {sql_text(suffix)}) and not "
+        + contains_any("lower(substring_index(path, '/', -1))", LOCALIZATION_FILE_PARTS)
+    ))
     if skip_dirs:
         folders = F.split(F.lower(F.col("path")), "/")
         kept = kept.where(~F.arrays_overlap(
@@ -129,18 +131,18 @@ def _hits(pid: int) -> str:
     """
 
 
-def ignore_reason(value) -> Column:
+def ignore_reason(column: str = "value") -> Column:
     """The first noise rule a literal falls under, or null."""
-    text = utrim(value)
-    return (
-        F.when(text == "", F.lit("empty"))
-        .when(text.rlike(NUMBER_PATTERN), F.lit("number"))
-        .when(text.startswith("http://") | text.startswith("https://"), F.lit("url"))
-        .when(text.startswith("assets/"), F.lit("asset"))
-        .when(text.startswith("/") | text.startswith("\\"), F.lit("file_path"))
-        .when(text.rlike(with_ws(SYMBOLS_PATTERN)), F.lit("symbols"))
-        .when(text.contains("L10n."), F.lit("l10n_reference"))
-    )
+    text = f"trim(both {sql_text(TRIM_CHARS)} from {column})"
+    return F.expr(f"""
+        case when {text} = '' then 'empty'
+             when rlike({text}, {sql_text(NUMBER_PATTERN)}) then 'number'
+             when startswith({text}, 'http://') or startswith({text}, 'https://') then 'url'
+             when startswith({text}, 'assets/') then 'asset'
+             when startswith({text}, '/') or startswith({text}, '\\\\') then 'file_path'
+             when rlike({text}, {sql_text(with_ws(SYMBOLS_PATTERN))}) then 'symbols'
+             when contains({text}, 'L10n.') then 'l10n_reference' end
+    """)
 
 
 def drop_noise(literals: DataFrame) -> DataFrame:
@@ -214,8 +216,6 @@ def extract_summary(found: DataFrame) -> DataFrame:
     )
 
 
-def _contains_any(text: Column, parts: list[str]) -> Column:
-    hit = F.lit(False)
-    for part in parts:
-        hit = hit | text.contains(part)
-    return hit
+def contains_any(text: str, parts: list[str]) -> str:
+    """SQL condition: the text contains one of the parts."""
+    return "(" + " or ".join(f"contains({text}, {sql_text(p)})" for p in parts) + ")"

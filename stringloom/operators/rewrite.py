@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import REVIEW_BATCH, REWRITE_SKIP_PARTS
 from ..functions.text import WS, replacement_expr, utrim
-from .extract import ORDER, _contains_any
+from .extract import ORDER, contains_any
 from .skew import HOT_ROWS, count_keys, hot_keys, spread_join
 
 
@@ -47,14 +47,9 @@ def match_keys(found: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -
     return spread_join(found, matched, ["value"], ["path", "match_ord"], hot, "left")
 
 
-def skip_rewrite(path="path") -> Column:
-    """Asset, image, icon and color files and generated code are never rewritten."""
-    path = F.col(path) if isinstance(path, str) else path
-    return _contains_any(F.lower(path), REWRITE_SKIP_PARTS)
-
-
 def rewritable(found: DataFrame) -> DataFrame:
-    return found.where(~skip_rewrite())
+    """Without asset, image, icon and color files and generated code, which are never rewritten."""
+    return found.where(F.expr("not " + contains_any("lower(path)", REWRITE_SKIP_PARTS)))
 
 
 def plan_replacements(matched: DataFrame, fmt: str) -> DataFrame:

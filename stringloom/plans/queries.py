@@ -12,7 +12,7 @@ from ..sinks import writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
 from ..streaming import extract_stream
 from . import flows
-from .inputs import part_files, table, view
+from .inputs import part_files, spread, table, view
 from .staging import stage, staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,7 +162,7 @@ def load_bundles(spark, sf):
 
 @query
 def make_key(spark, sf):
-    docs = table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf, "documents")).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
     turns = table(spark, sf, "conversations").select(
         F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     key = text.make_key("text")
