@@ -100,7 +100,7 @@ def decode_text(spark, sf):
     )
     docs = table(spark, sf, "documents").select(
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("id"),
-        F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8").alias("data"),
+        F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8").alias("data"),
     )
     return parts.unionByName(docs).select("id", file_sources.decode_text(F.col("data")).alias("content"))
 

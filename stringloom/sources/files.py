@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.fixed_values import MAX_FILE_CHARS
 from ..functions.text import utf16_length
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 def decode_utf8(data: Column) -> Column:
