@@ -11,16 +11,16 @@ MAX_HOT_KEYS = 1024
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys of ``counts(keys…, n_rows)`` with the number of parts to split each into.
+    """The largest keys of ``counts(keys…, n_rows)``, by hash, with the parts to split each into.
 
-    The result never holds more than ``MAX_HOT_KEYS`` rows. Keys beyond that stay whole and are
-    left to the adaptive skew join; they are smaller than every key listed here.
+    The result never holds more than ``MAX_HOT_KEYS`` rows of two numbers, however long the keys
+    are. Keys beyond that stay whole and are left to the adaptive skew join; they are smaller than
+    every key listed here. A key that shares its hash with a hot one is split along with it, on both
+    sides of the join, which changes no result.
     """
-    return (
-        counts.where(F.col("n_rows") > hot_rows)
-        .orderBy(F.col("n_rows").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_parts"))
+    largest = counts.where(F.col("n_rows") > hot_rows).orderBy(F.col("n_rows").desc(), *keys).limit(MAX_HOT_KEYS)
+    return largest.groupBy(F.xxhash64(*keys).alias("_hash")).agg(
+        F.ceil(F.max("n_rows") / hot_rows).cast("int").alias("_parts")
     )
 
 
@@ -45,15 +45,18 @@ def spread_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the right side is repeated per part, so {how} is not possible")
     keys = list(keys)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    small = F.broadcast(hot)
-    left = left.join(small, keys, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
-    ).drop("_parts")
-    right = right.join(small, keys, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
-    ).drop("_parts")
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    if [left.schema[k].dataType for k in keys] != [right.schema[k].dataType for k in keys]:
+        raise ValueError(f"both sides need the same types for {keys}, since their hashes are compared")
+    left = _with_parts(left, keys, hot).withColumn(
+        "_part", F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int"))
+    right = _with_parts(right, keys, hot).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+
+def _with_parts(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    joined = df.withColumn("_hash", F.xxhash64(*keys)).join(F.broadcast(hot), "_hash", "left").drop("_hash")
+    return joined.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
 def running_sum(

@@ -44,12 +44,15 @@ def translate_tm(work: DataFrame, memory: DataFrame, hot_rows: int = HOT_ROWS) -
     return attach_texts(work, known, hot_rows)
 
 
-def translate_texts(work: DataFrame, translate: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def translate_texts(
+    work: DataFrame, translate: Callable[[pd.DataFrame], pd.DataFrame], tasks: int | None = None
+) -> DataFrame:
     """english, lang, text, error: every distinct text of the work list, sent once to a translator.
 
     Batches run on the executors. ``translate`` gets a frame (english, lang) and returns it with
     ``text``; a failing batch is tried text by text, and a text that still fails keeps its row,
     without a translation and with the error. Stage the result, so that nothing is sent twice.
+    ``tasks`` sets how many tasks call the translator at a time, for one that is slow to answer.
     """
 
     def checked(frame: pd.DataFrame) -> pd.DataFrame:
@@ -68,6 +71,8 @@ def translate_texts(work: DataFrame, translate: Callable[[pd.DataFrame], pd.Data
                         yield one.assign(text=None, error=f"{type(error).__name__}: {error}")
 
     distinct = work.select("english", "lang").distinct()
+    if tasks:
+        distinct = distinct.repartition(tasks)
     return distinct.mapInPandas(run, "english string, lang string, text string, error string")
 
 

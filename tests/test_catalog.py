@@ -2,6 +2,7 @@ import pytest
 
 from stringloom.functions.fixed_values import LANGUAGE_CODES, LANGUAGE_NAMES
 from stringloom.operators import catalog, extract
+from stringloom.plans.staging import stage
 from stringloom.sinks import writers
 from stringloom.sources import bundles as sources, files as file_sources, sheets
 
@@ -25,14 +26,15 @@ def sample(spark):
 
 
 def test_smart_merge(spark):
-    got = {r["key"]: (r["english"], r["translations"], r["status"]) for r in catalog.smart_merge(*sample(spark)).collect()}
+    merged = stage(catalog.smart_merge(*sample(spark)), "merged")
+    got = {r["key"]: (r["english"], r["translations"], r["status"]) for r in merged.collect()}
     assert got == {
         "go_back": ("Go back", {"app_fr": "Retour"}, "updated"),
         "select_image": ("Select Image", {"app_ar": "x"}, "updated"),
         "new_one": ("New one", {}, "new"), "say_hi_ok": ('Say "hi", ok', {}, "new"),
         "gone": ("Gone", {"app_fr": "parti"}, "removed"),
     }
-    stats = catalog.merge_stats(catalog.smart_merge(*sample(spark))).first()
+    stats = catalog.merge_stats(merged).first()
     assert tuple(stats) == (2, 2, 1, 5)
     assert [r["key"] for r in catalog.removed_strings(*sample(spark)).collect()] == ["gone"]
 
@@ -53,7 +55,7 @@ def read_text(folder):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    merged = catalog.smart_merge(*sample(spark))
+    merged = stage(catalog.smart_merge(*sample(spark)), "merged")
     writers.write_catalog_csv(merged, str(tmp_path / "csv"))
     text = read_text(tmp_path / "csv")
     lines = text.split("\n")

@@ -31,7 +31,7 @@ def test_tiers(spark):
 def test_plan_and_misses(spark):
     files = code(spark, 'Text("Go")\nText("other")')
     files = files.unionByName(spark.createDataFrame([("lib/generated/x.dart", 'Text("Go")'), ("lib/App_Icons.dart", 'Text("Go")')], files.schema))
-    matched = rewrite.match_keys(rewrite.rewritable(extract.occurrences(files)), entries(spark, ("go", "Go")))
+    matched = stage(rewrite.match_keys(rewrite.rewritable(extract.occurrences(files)), entries(spark, ("go", "Go"))), "matched")
     planned = rewrite.plan_replacements(matched, "arb")
     assert [tuple(r) for r in planned.collect()] == [("lib/f0.dart", 1, 1, 1, "Go", "AppLocalizations.of(context).go", "go")]
     assert [r["text"] for r in rewrite.plan_text(planned).collect()] == ["Line 1: - Go\n         + AppLocalizations.of(context).go"]
@@ -42,7 +42,7 @@ def test_plan_and_misses(spark):
 
 def test_review(spark):
     files = code(spark, "\n".join(f'Text("w {i}")' for i in range(25)))
-    planned = plan(spark, files, entries(spark, *((f"w{i}", f"w {i}") for i in range(25))))
+    planned = stage(plan(spark, files, entries(spark, *((f"w{i}", f"w {i}") for i in range(25)))), "plan")
     batches = rewrite.review_batches(planned)
     assert {(r["batch"], r["count"]) for r in batches.groupBy("batch").count().collect()} == {(1, 10), (2, 10), (3, 5)}
     skips = spark.createDataFrame([("lib/f0.dart", 1, 2), ("lib/f0.dart", 1, 15), ("lib/f0.dart", 3, 21)], "path string, batch int, idx int")
