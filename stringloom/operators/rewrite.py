@@ -128,7 +128,7 @@ def apply_by_line(files: DataFrame, plan: DataFrame) -> DataFrame:
     ))
     last = F.coalesce(F.get("_plan", F.size("_plan") - 1)["line_no"], F.lit(0))
     text = F.array_join(F.concat(F.flatten(pieces), _between("_lines", last, F.size("_lines") + 1)), "\n")
-    return work.where(F.col("applied") > 0).select("path", text.alias("content"), "planned", "applied")
+    return _changed(work, text, F.col("planned"), F.col("applied"))
 
 
 def apply_by_content(files: DataFrame, plan: DataFrame) -> DataFrame:
@@ -144,10 +144,15 @@ def apply_by_content(files: DataFrame, plan: DataFrame) -> DataFrame:
     done = F.aggregate(
         "_plan", F.struct(F.col("content").alias("text"), F.lit(0).alias("n")), _replace_in_text
     )
-    return work.withColumn("_done", done).select(
-        "path", F.col("_done.text").alias("content"), F.size("_plan").alias("planned"),
-        F.col("_done.n").alias("applied"),
-    ).where(F.col("applied") > 0)
+    work = work.withColumn("_done", done)
+    return _changed(work, F.col("_done.text"), F.size("_plan"), F.col("_done.n"))
+
+
+def _changed(work: DataFrame, content: Column, planned: Column, applied: Column) -> DataFrame:
+    """Files with a replacement. A condition on ``applied`` would move into the join below and be
+    worked out there a second time; as the input of a generator it is worked out once."""
+    row = F.struct(content.alias("content"), planned.alias("planned"), applied.alias("applied"))
+    return work.select("path", F.inline(F.filter(F.array(row), lambda r: r["applied"] > 0)))
 
 
 def _between(lines: str, after: Column, before: Column) -> Column:

@@ -27,9 +27,10 @@ def unpivot_sheet(files: DataFrame, header_row: int = 2, data_start: int = 4) ->
         F.col("path").alias("sheet"), _lines().alias("_lines"),
         language_slots(_header_fields(header_row)).alias("_slots"),
     )
-    rows = sheets.select(
-        "sheet", "_slots", F.posexplode("_lines").alias("_pos", "line")
-    ).where(F.col("_pos") >= start - 1).withColumn("row_no", F.col("_pos") + 1)
+    data = F.slice("_lines", start, 1 << 30)
+    rows = sheets.select("sheet", "_slots", F.posexplode(data).alias("_pos", "line")).withColumn(
+        "row_no", F.col("_pos") + start
+    )
     return _unpivot(rows)
 
 
@@ -54,7 +55,7 @@ def _unpivot(rows: DataFrame) -> DataFrame:
     codes = F.array_distinct(F.transform("_slots", lambda s: s["code"]))
     cells = rows.withColumn("_cells", split_fields(F.col("line"))).withColumn(
         "raw_key", utrim(F.get("_cells", F.lit(0)))
-    ).where(F.col("raw_key") != "")
+    )
     per_slot = F.transform("_slots", lambda s, i: F.struct(
         (i + 1).alias("ord"), s["code"].alias("lang"),
         F.coalesce(utrim(F.get("_cells", s["col_no"])), F.lit("")).alias("value"),
@@ -67,7 +68,8 @@ def _unpivot(rows: DataFrame) -> DataFrame:
             F.lit(""),
         ).alias("value"),
     ))
-    values = F.when(F.size(codes) == F.size("_slots"), per_slot).otherwise(per_code)
+    # A filter on the key would split the line a second time; no values for a blank key does the same.
+    values = F.when(F.col("raw_key") != "", F.when(F.size(codes) == F.size("_slots"), per_slot).otherwise(per_code))
     return cells.select("sheet", "row_no", "raw_key", make_key("raw_key").alias("key"), F.inline(values))
 
 

@@ -64,7 +64,7 @@ def sheet_problems(files: DataFrame, header_row: int = 2) -> DataFrame:
     reason = F.when(rows < header_row, F.lit("fewer rows than the header row")).when(
         F.size(language_slots(_header_fields(header_row))) == 0, F.lit("no language columns")
     )
-    return files.select("path", reason.alias("problem")).where(F.col("problem").isNotNull())
+    return files.select("path", F.explode(F.array_compact(F.array(reason))).alias("problem"))
 
 
 def valid_header_rows(rows: DataFrame, dialect: str = "escaped") -> DataFrame:
@@ -91,10 +91,11 @@ def preview_sheet(files: DataFrame, rows: int = 5, columns: int = 5, dialect: st
 
 def sheet_keys(rows: DataFrame, data_start: int = 4) -> DataFrame:
     """Data rows with a key. A row with a blank key is dropped but keeps its number."""
+    raw = utrim(F.get(split_fields(F.col("line")), F.lit(0)))
     keyed = row_range(rows, data_start).select(
-        "path", "row_no", utrim(F.get(split_fields(F.col("line")), F.lit(0))).alias("raw_key")
+        "path", "row_no", F.explode(F.filter(F.array(raw), lambda key: key != "")).alias("raw_key")
     )
-    return keyed.where(F.col("raw_key") != "").withColumn("key", make_key("raw_key"))
+    return keyed.withColumn("key", make_key("raw_key"))
 
 
 def read_catalog(files: DataFrame) -> DataFrame:
@@ -103,16 +104,17 @@ def read_catalog(files: DataFrame) -> DataFrame:
     Three header rows (codes in the second), data from the fourth; fewer than four rows is no
     catalog. A catalog without language codes raises an error instead of passing for an empty one.
     """
-    lines = files.select("path", _lines().alias("_lines")).where(F.size("_lines") >= 4)
+    lines = files.select("path", _lines().alias("_lines"))
+    is_catalog = F.size("_lines") >= 4
     raw = F.filter(F.split(F.get("_lines", F.lit(1)), ","), lambda c: ~is_blank(c))
-    codes = F.when(F.size(raw) > 0, F.transform(F.slice(raw, 2, _ALL), utrim)).otherwise(
-        F.raise_error(F.concat(F.lit("no language codes in catalog "), F.col("path")))
-    )
+    codes = F.when(~is_catalog, F.array().cast("array<string>")).when(
+        F.size(raw) > 0, F.transform(F.slice(raw, 2, _ALL), utrim)
+    ).otherwise(F.raise_error(F.concat(F.lit("no language codes in catalog "), F.col("path"))))
     lines = lines.withColumn("_codes", codes)
     lines = lines.withColumn("_repeated", F.size(F.array_distinct("_codes")) < F.size("_codes"))
     rows = lines.select(
         "path", "_codes", "_repeated",
-        F.posexplode(F.slice("_lines", 4, 1 << 30)).alias("ord", "_line"),
+        F.posexplode(F.when(is_catalog, F.slice("_lines", 4, 1 << 30))).alias("ord", "_line"),
     ).withColumn("_v", split_fields(F.col("_line")))
     entries = F.filter(
         F.transform("_codes", lambda c, i: F.struct(c.alias("lang"), utrim(F.get("_v", i + 2)).alias("text"))),
