@@ -98,7 +98,8 @@ def full_locale(lang) -> Column:
 def csv_escape(value) -> Column:
     value = _c(value)
     quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(value.rlike('[,"\n]'), quoted).otherwise(value)
+    special = value.contains(",") | value.contains('"') | value.contains("\n")
+    return F.when(special, quoted).otherwise(value)
 
 
 def json_escape(value) -> Column:

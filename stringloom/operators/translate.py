@@ -5,10 +5,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.fields import split_fields
 from ..functions.fixed_values import (
     CHARS_PER_STRING_ESTIMATE, FREE_QUOTA_CHARS, QUOTA_NEAR_PERCENT, SERVICE_LANGUAGES,
 )
-from ..functions.text import utf16_length
+from ..functions.text import csv_escape, utf16_length, utrim
+from ..sources.sheets import header_fields, row_range, sheet_lines
 from .skew import HOT_ROWS, count_keys, hot_keys, running_sum, spread_join
 
 
@@ -85,18 +87,43 @@ def attach_texts(work: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS) ->
 
 
 def apply_translations(rows: DataFrame, translated: DataFrame) -> DataFrame:
-    """Rows (sheet, row_no, translations) with the returned texts written over their languages.
-
-    A row gets one text per target language, so a gathered group has a fixed bound.
-    """
-    new = translated.where(F.col("text").isNotNull()).groupBy("sheet", "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("_new")
-    )
+    """Rows (sheet, row_no, translations) with the returned texts written over their languages."""
+    new = _texts_per_row(translated)
     kept = F.map_filter("translations", lambda lang, _: ~F.map_contains_key("_new", lang))
     merged = F.when(F.col("_new").isNull(), F.col("translations")).otherwise(F.map_concat(kept, "_new"))
     return rows.join(new, ["sheet", "row_no"], "left").withColumn("translations", merged).drop("_new")
 
 
+def sheet_texts(rows: DataFrame, first: int = 4, last: int | None = None, dialect: str = "escaped") -> DataFrame:
+    """sheet, row_no, key, english of the sheet rows (path, row_no, line) in a range."""
+    fields = split_fields(F.col("line"), dialect)
+    return row_range(rows, first, last).select(
+        F.col("path").alias("sheet"), "row_no", F.get(fields, F.lit(0)).alias("key"),
+        F.coalesce(F.get(fields, F.lit(1)), F.lit("")).alias("english"),
+    )
+
+
+def write_back(
+    files: DataFrame, translated: DataFrame, header_row: int = 2, dialect: str = "escaped"
+) -> DataFrame:
+    """Sheet lines (sheet, row_no, line) with returned texts in the columns of their languages.
+
+    Rows without a text stay as they are. A changed row is written with full quoting, and a short one
+    is filled up to its header.
+    """
+    codes = F.transform(header_fields(header_row, dialect), utrim)
+    rows = files.select(
+        F.col("path").alias("sheet"), codes.alias("_codes"), F.posexplode(sheet_lines()).alias("_pos", "line")
+    ).withColumn("row_no", F.col("_pos") + 1)
+    joined = rows.join(_texts_per_row(translated), ["sheet", "row_no"], "left")
+    joined = joined.withColumn("_fields", split_fields(F.col("line"), dialect))
+    width = F.greatest(F.size("_fields"), F.size("_codes"))
+    cells = F.transform(F.sequence(F.lit(0), width - 1), lambda i: csv_escape(F.coalesce(
+        F.when(i > 0, F.try_element_at("_new", F.get("_codes", i))), F.get("_fields", i), F.lit(""))))
+    line = F.when(F.col("_new").isNull(), F.col("line")).otherwise(F.array_join(cells, ","))
+    return joined.select("sheet", "row_no", line.alias("line"))
+
+
 def quota_estimate(rows: DataFrame, n_langs: int, quota: int = FREE_QUOTA_CHARS) -> DataFrame:
     """Cost before a run: strings × 20 characters × languages, its share of the quota, and the exact sum."""
     counted = rows.agg(
@@ -131,6 +158,13 @@ def quota_running(rows: DataFrame, n_langs: int, quota: int = FREE_QUOTA_CHARS,
     return used.select("*", *_flags(F.col("used"), quota))
 
 
+def _texts_per_row(translated: DataFrame) -> DataFrame:
+    """One map per row; a row has one text per target language, so a gathered group is bounded."""
+    return translated.where(F.col("text").isNotNull()).groupBy("sheet", "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("_new")
+    )
+
+
 def _percent(used: Column, quota: int) -> Column:
     return F.lit(100.0) if quota == 0 else used / quota * 100
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fields import split_fields
 from ..functions.fixed_values import LANGUAGE_CODES
 from ..functions.text import make_key, utrim
-from ..sources.sheets import _header_fields, _lines, effective_data_start, language_slots
+from ..sources.sheets import effective_data_start, header_fields, language_slots, sheet_lines
 from .skew import HOT_ROWS, count_keys, hot_keys, spread_join
 
 def has_text() -> Column:
@@ -24,8 +24,8 @@ def unpivot_sheet(files: DataFrame, header_row: int = 2, data_start: int = 4) ->
     """
     start = effective_data_start(header_row, data_start)
     sheets = files.select(
-        F.col("path").alias("sheet"), _lines().alias("_lines"),
-        language_slots(_header_fields(header_row)).alias("_slots"),
+        F.col("path").alias("sheet"), sheet_lines().alias("_lines"),
+        language_slots(header_fields(header_row)).alias("_slots"),
     )
     data = F.slice("_lines", start, 1 << 30)
     rows = sheets.select("sheet", "_slots", F.posexplode(data).alias("_pos", "line")).withColumn(

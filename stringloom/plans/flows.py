@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.fixed_values import LANGUAGE_CODES, LANGUAGE_NAMES
 from ..operators import bundles, catalog, extract, quality, rewrite, translate, translations
 from ..sinks import writers
+from ..sources import sheets
 from .staging import stage
 
 
@@ -61,10 +62,10 @@ def generate(long: DataFrame, fmt: str) -> Generated:
 
 
 def generate_bundles(
-    sheets: DataFrame, out: str, fmt: str, generated_at: str, header_row: int = 2, data_start: int = 4
+    files: DataFrame, out: str, fmt: str, generated_at: str, header_row: int = 2, data_start: int = 4
 ) -> Generated:
     """Sheets to bundles, language index and missing report below ``out``."""
-    long = stage(translations.unpivot_sheet(sheets, header_row, data_start), "long")
+    long = stage(translations.unpivot_sheet(files, header_row, data_start), "long")
     result = generate(long, fmt)
     writers.write_bundles(bundles.render_bundle(result.entries, fmt), f"{out}/bundles")
     if fmt == "getx":
@@ -104,12 +105,26 @@ def translate_rows(
 
     A text that nobody could translate leaves its cell as it was.
     """
+    return translate.apply_translations(rows, _fill(rows, langs, memory, translator))
+
+
+def translate_sheets(
+    files: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
+    header_row: int = 2, first: int = 4, last: int | None = None, dialect: str = "escaped",
+) -> DataFrame:
+    """Lines (sheet, row_no, line) of the sheets with the data rows of a range translated."""
+    start = sheets.effective_data_start(header_row, first)
+    texts = translate.sheet_texts(sheets.sheet_rows(files), start, last, dialect)
+    return translate.write_back(files, _fill(texts, langs, memory, translator), header_row, dialect)
+
+
+def _fill(rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None) -> DataFrame:
+    """sheet, row_no, english, lang, text for every row and target language."""
     work = stage(translate.translation_work(rows.select("sheet", "row_no", "english"), langs), "work")
     known = stage(translate.translate_tm(work, memory), "known")
-    done = known
-    if translator is not None:
-        rest = known.where(F.col("text").isNull()).drop("text")
-        texts = stage(translate.translate_texts(rest, translator), "texts")
-        new = translate.attach_texts(rest, texts).drop("error")
-        done = known.where(F.col("text").isNotNull()).unionByName(new)
-    return translate.apply_translations(rows, done)
+    if translator is None:
+        return known
+    rest = known.where(F.col("text").isNull()).drop("text")
+    texts = stage(translate.translate_texts(rest, translator), "texts")
+    new = translate.attach_texts(rest, texts).drop("error")
+    return known.where(F.col("text").isNotNull()).unionByName(new)

@@ -518,6 +518,18 @@ def _written(text: str) -> str:
 oracle("apply_translations", ["translated"], _written("text"))
 oracle("translate_rows", ["translated"], _written(
     "coalesce(text, case when contains(english, 'ring') then null else lang || ' ' || upper(english) end)"))
+oracle("sheet_texts", ["cells"], """
+  select path as sheet, row_no, max(value) filter (where col_no = 0) as key,
+         coalesce(max(value) filter (where col_no = 1), '') as english
+  from cells where row_no between 4 and 7 group by path, row_no""")
+_CELL = ("coalesce(case when i > 1 and length(e) between 1 and 19 and row_no >= 4 and h[i] in "
+         f"{_in(TARGETS)} then h[i] || ', \"' || e || '\"' end, f[i], '')")
+oracle("write_back", ["rows"], f"""
+  select path as sheet, row_no, case when row_no >= 4 and length(e) between 1 and 19
+    then array_to_string(list_transform(range(1, greatest(len(f), len(h)) + 1), lambda i: {_csv(_CELL)}), ',') else line end as line
+  from (select r.path, r.row_no, r.line, r.f, coalesce(r.f[2], '') as e, list_transform(h.f, lambda x: {_trim('x')}) as h
+        from (select *, {_FIELDS} as f from rows) r
+        join (select path, {_FIELDS} as f from rows where row_no = 2) h on h.path = r.path)""")
 oracle("quota_estimate", ["english"], f"""
   select count(*) as strings, 2 as languages, count(*) * 40 as estimated_chars, cast(sum({_utf16('english')}) * 2 as bigint) as exact_chars,
          count(*) * 40 / {QUOTA}.0::double * 100 as percent, count(*) * 40 > {QUOTA} as exceeds from english""")

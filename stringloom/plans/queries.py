@@ -583,6 +583,21 @@ def translate_rows(spark, sf):
         "sheet", "row_no", "english", *[F.try_element_at("translations", F.lit(t)).alias(t) for t in TARGETS])
 
 
+@query
+def sheet_texts(spark, sf):
+    return translate.sheet_texts(_rows(spark, sf), 4, 7)
+
+
+@query
+def write_back(spark, sf):
+    """Sheets with every English text translated; the memory knows the shorter texts."""
+    files = view(spark, sf, "sheet_files")
+    work = translate.translation_work(translate.sheet_texts(sheets.sheet_rows(files)), TARGETS)
+    memory = work.where(F.length("english") < 20).select("english", "lang").distinct().withColumn(
+        "text", F.concat("lang", F.lit(', "'), "english", F.lit('"')))
+    return translate.write_back(files, translate.translate_tm(work, memory))
+
+
 @query
 def quota_estimate(spark, sf):
     return translate.quota_estimate(_english(spark, sf), len(TARGETS), QUOTA)

@@ -73,6 +73,11 @@ def write_report(header: DataFrame, blocks: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def write_sheets(lines: DataFrame, path: str) -> None:
+    """Sheet lines (sheet, row_no, line), one folder per sheet."""
+    lines.orderBy("sheet", "row_no").select("sheet", "line").write.partitionBy("sheet").text(path)
+
+
 def write_rewritten(files: DataFrame, path: str) -> None:
     """Rewritten sources as a table (path, content, planned, applied); inputs are never overwritten."""
     files.write.parquet(path)

@@ -25,9 +25,10 @@ def read_code_files(spark: SparkSession, folder: str, suffix: str = ".dart") ->
     The byte size is checked before the bytes are read: a text of N characters has at most 4N bytes.
     """
     files = _binary(spark, folder, f"*{suffix}").where(F.col("length") <= 4 * MAX_FILE_CHARS)
-    return files.select("path", decode_utf8(F.col("content")).alias("content")).where(
-        F.col("content").isNotNull() & fits(F.col("content"), MAX_FILE_CHARS)
-    )
+    # As the input of a generator the text is decoded once, not again for the conditions on it.
+    text = F.array(decode_utf8(F.col("content")))
+    usable = F.filter(text, lambda t: t.isNotNull() & fits(t, MAX_FILE_CHARS))
+    return files.select("path", F.explode(usable).alias("content"))
 
 
 def read_text_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:

@@ -22,7 +22,7 @@ def effective_data_start(header_row: int, data_start: int) -> int:
 
 def sheet_rows(files: DataFrame, blank: str = "trim") -> DataFrame:
     """path, row_no, line. ``blank="empty"`` drops only lines without any character."""
-    return files.select("path", F.posexplode(_lines(blank)).alias("_pos", "line")).select(
+    return files.select("path", F.posexplode(sheet_lines(blank)).alias("_pos", "line")).select(
         "path", (F.col("_pos") + 1).alias("row_no"), "line"
     )
 
@@ -53,16 +53,16 @@ def sheet_cells(rows: DataFrame, dialect: str = "escaped") -> DataFrame:
 
 def lang_columns(files: DataFrame, header_row: int = 2) -> DataFrame:
     """path, col_no, lang: the non-empty header cells after the first."""
-    return files.select("path", F.inline(language_slots(_header_fields(header_row)))).select(
+    return files.select("path", F.inline(language_slots(header_fields(header_row)))).select(
         "path", "col_no", F.col("code").alias("lang")
     )
 
 
 def sheet_problems(files: DataFrame, header_row: int = 2) -> DataFrame:
     """Sheets that cannot be generated from, with the reason. Generation leaves them out."""
-    rows = F.size(_lines())
+    rows = F.size(sheet_lines())
     reason = F.when(rows < header_row, F.lit("fewer rows than the header row")).when(
-        F.size(language_slots(_header_fields(header_row))) == 0, F.lit("no language columns")
+        F.size(language_slots(header_fields(header_row))) == 0, F.lit("no language columns")
     )
     return files.select("path", F.explode(F.array_compact(F.array(reason))).alias("problem"))
 
@@ -79,7 +79,7 @@ def row_range(rows: DataFrame, first: int, last: int | None = None) -> DataFrame
 
 def preview_sheet(files: DataFrame, rows: int = 5, columns: int = 5, dialect: str = "escaped") -> DataFrame:
     """The first rows and columns, short cells padded with ''."""
-    head = files.select("path", F.posexplode(F.slice(_lines(), 1, rows)).alias("_pos", "line"))
+    head = files.select("path", F.posexplode(F.slice(sheet_lines(), 1, rows)).alias("_pos", "line"))
     fields = head.select(
         "path", (F.col("_pos") + 1).alias("row_no"), split_fields(F.col("line"), dialect).alias("_f")
     )
@@ -104,7 +104,7 @@ def read_catalog(files: DataFrame) -> DataFrame:
     Three header rows (codes in the second), data from the fourth; fewer than four rows is no
     catalog. A catalog without language codes raises an error instead of passing for an empty one.
     """
-    lines = files.select("path", _lines().alias("_lines"))
+    lines = files.select("path", sheet_lines().alias("_lines"))
     is_catalog = F.size("_lines") >= 4
     raw = F.filter(F.split(F.get("_lines", F.lit(1)), ","), lambda c: ~is_blank(c))
     codes = F.when(~is_catalog, F.array().cast("array<string>")).when(
@@ -132,7 +132,7 @@ def read_catalog(files: DataFrame) -> DataFrame:
     ).select("path", "key", "_last.english", "_last.translations", "ord")
 
 
-def _lines(blank: str = "trim") -> Column:
+def sheet_lines(blank: str = "trim") -> Column:
     if blank not in ("trim", "empty"):
         raise ValueError(f"unknown blank rule: {blank}")
     lines = F.split(F.col("content"), "\n")
@@ -141,8 +141,8 @@ def _lines(blank: str = "trim") -> Column:
     return F.filter(lines, lambda line: F.trim(line, F.lit(TRIM_CHARS)) != "")
 
 
-def _header_fields(header_row: int) -> Column:
-    return split_fields(F.coalesce(F.get(_lines(), F.lit(header_row - 1)), F.lit("")))
+def header_fields(header_row: int, dialect: str = "escaped") -> Column:
+    return split_fields(F.coalesce(F.get(sheet_lines(), F.lit(header_row - 1)), F.lit("")), dialect)
 
 
 def language_slots(header: Column) -> Column:

@@ -65,3 +65,15 @@ def test_languages(spark):
     assert picked("numbers", [2, 99]) == ["app_es"]
     codes = spark.createDataFrame([("en",), ("Pt-Br",), ("xx",)], "lang string")
     assert [r["lang"] for r in translate.supported_langs(codes).collect()] == ["en", "Pt-Br"]
+
+
+def test_sheets_are_written_back(spark):
+    text = ",1\n,app_en,app_fr, app_ar\nKey,E,F,A\n\nok,OK\nb,bad,x,y\nc,,keep,\nd,\"a, b\",,z\ne,OK,old,old\n"
+    files = spark.createDataFrame([("s.csv", text)], "path string, content string")
+    memory = spark.createDataFrame([("OK", "app_fr", 'D"accord')], "english string, lang string, text string")
+    lines = flows.translate_sheets(files, ["app_fr", "app_ar"], memory, make_translator(), last=7)
+    assert [r["line"] for r in lines.orderBy("row_no").collect()] == [
+        ",1", ",app_en,app_fr, app_ar", "Key,E,F,A", 'ok,OK,"D""accord",app_ar:OK', "b,bad,x,y", "c,,keep,",
+        'd,"a, b","app_fr:a, b","app_ar:a, b"', "e,OK,old,old"]
+    toggled = flows.translate_sheets(files, ["app_fr"], memory, dialect="toggle")
+    assert toggled.where("row_no = 8").first()["line"] == 'e,OK,"D""accord",old'
