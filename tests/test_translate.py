@@ -1,6 +1,3 @@
-import pandas as pd
-from pyspark.sql import functions as F
-
 from stringloom.operators import translate
 from stringloom.plans import flows
 
