@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stringloom.plans.oracles import ORACLES
+from stringloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -29,12 +31,12 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr([plain(v) for v in r]) for r in df.select(*columns).collect())
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
@@ -42,5 +44,10 @@ def test_query(spark, duck, name):
     assert got or name == "sheet_problems"
 
 
+def test_every_query_is_registered():
+    assert entry.queries().keys() >= QUERIES.keys()
+    assert entry.oracle_sql().keys() >= ORACLES.keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
