@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stringloom.llm import decontaminate, mixing, quality, simhash, tokens
+from stringloom.llm import chat, decontaminate, embeddings, lines, mixing, quality, repeats, simhash, tokens, warc
 from stringloom.llm.common import read_table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -17,10 +22,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(read_table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read_table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "action", "inserted", F.sha2("segment", 256).alias("segment_sha256"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +50,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_quality, op6_tokens, op8_simhash, op9_mixing)}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffixes, op2_decontaminate, op3_quality, op4_warc, op5_chat, op6_tokens, op7_embeddings, op8_simhash, op9_mixing,
+    op10_lines)}
 
 ORACLES: dict[str, str] = {}
 
@@ -58,3 +85,20 @@ select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
   sha256(coalesce(array_to_string(listed, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join hits using (doc_id) left join items using (doc_id)
 """
+
+ORACLES["op10_lines"] = r"""
+with split as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+numbered as (
+  select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as n from split),
+keyed as (
+  select doc_id, n, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from numbered),
+repeated as (
+  select k, min(doc_id) as first_id from keyed where length(k) >= 10 group by k having count(distinct doc_id) >= 2),
+marked as (
+  select doc_id, n, line, r.k is not null and doc_id <> first_id as gone from keyed left join repeated r using (k))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""

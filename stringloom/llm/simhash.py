@@ -121,14 +121,14 @@ def _links(table: pa.Table, group: np.ndarray, radius: int) -> pa.RecordBatch:
         if not len(at):
             break
         near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-        label = _unite(label, near, near + step)
+        label = unite(label, near, near + step)
         step += 1
     rep = table["rep"].to_numpy(zero_copy_only=False)
     own = np.flatnonzero(label != np.arange(len(fp)))
     return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[label[own]])], ["a", "b"])
 
 
-def _unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     while len(u):
         a, b = label[u], label[v]
         differ = a != b
