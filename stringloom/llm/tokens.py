@@ -54,8 +54,6 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
         tokenize, other = self.tokenizer.model.tokenize, []
         for word in words:
             if plain := _PLAIN.fullmatch(word):
@@ -73,9 +71,10 @@ class Encoder:
             words = (text or b"").split()
             known = self.known
             if new := [w for w in set(words) if w not in known]:
+                if len(known) + len(new) > CACHE_WORDS:
+                    known.clear()
+                    new = list(set(words))
                 self._learn(new)
-                if len(known) < len(new):  # it was cleared on the way
-                    self._learn([w for w in set(words) if w not in known])
             out.append(np.frombuffer(b"".join([*map(known.__getitem__, words), tail]), self.kind))
         return out
 

@@ -135,6 +135,14 @@ def test_token_files(spark, monkeypatch):
     assert tokens.token_digests(table(spark, rows).limit(0), TOKENIZER).count() == 0
 
 
+def test_encoder_forgets_and_learns_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    own, plain = tokens.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["a b", "a b c", "a d", "b e f g h", "a b"]
+    got = own.encode([t.encode() for t in texts], 2)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def level(sizes):
     """Targets by dealing the excess again until no source is above twice its size."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
