@@ -138,7 +138,7 @@ def test_token_files(spark, monkeypatch):
 def test_encoder_forgets_and_learns_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     own, plain = tokens.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
-    texts = ["a b", "a b c", "a d", "b e f g h", "a b"]
+    texts = ["a b", "A b C", "a d", "b e f g h", "a b", "H\u0331 h\u0331 I\u0307 \u00c9TE", "<|ENDOFTEXT|> <|endoftext|>"]
     got = own.encode([t.encode() for t in texts], 2)
     assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
