@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stringloom.plans.staging import stage, staging_dir
 
-__all__ = ["append_ends", "arrow_rows", "global_running_sum", "new_folder", "open_folder", "read_table", "stage", "width"]
+__all__ = ["append_ends", "arrow_rows", "global_running_sum", "new_folder", "open_folder", "read_table", "small", "stage", "width"]
 
 # Python tasks look at whole texts in slices of about this many bytes, whatever Arrow's batch size is.
 SLICE_BYTES = 4 << 20
+# A lookup table is sent to every task only below this size; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +79,9 @@ def global_running_sum(rows: DataFrame, order: list[str], amount: str, name: str
         .withColumn(name, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
         .drop("_part", "_row", "_offset")
     )
+
+
+def small(lookup: DataFrame, weight: Column) -> DataFrame:
+    """``lookup``, marked for broadcast if its measured size allows it."""
+    size = lookup.agg(F.sum(weight + F.lit(64))).first()[0] or 0
+    return F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup

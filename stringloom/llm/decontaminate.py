@@ -15,13 +15,11 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stringloom.llm.common import stage
+from stringloom.llm.common import small, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 RAREST = 2
-# A lookup table is sent to every task only below this size; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
 END = ""  # no word is empty; its posting says how many words a document has
 
 
@@ -33,14 +31,15 @@ def exact(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def small(lookup: DataFrame, weight: Column) -> DataFrame:
-    """``lookup``, marked for broadcast if its measured size allows it."""
-    size = lookup.agg(F.sum(weight + F.lit(64))).first()[0] or 0
-    return F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup
+def benchmark_windows(
+    items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW
+) -> tuple[DataFrame, DataFrame]:
+    """``wid, words, folded`` of every distinct window, and ``wid, item_id``.
 
-
-def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``wid, words, folded`` of every distinct window, and ``wid, item_id``."""
+    A window has 62 words at most, one bit of a long each.
+    """
+    if not 1 <= window <= 62:
+        raise ValueError(f"a window of {window} words")
     words = F.explode(F.array(words_of(exact(F.col(text))))).alias("words")
     rows = items.select(F.col(item_id).alias("item_id"), words).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (window - 1)))
@@ -98,7 +97,9 @@ def intersect(index: DataFrame, lookup: DataFrame, slop: int = 0) -> DataFrame:
     return met.where("bits = full").select("key", "key2", "wid", "start")
 
 
-def phrase_matches(docs: DataFrame, index: DataFrame, windows: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def phrase_matches(
+    docs: DataFrame, index: DataFrame, windows: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``key, key2, wid, start, len``: every place of a document at which a whole window stands."""
     candidates = intersect(index, lookups(index, windows, terms))
     lengths = windows.select("wid", F.size("words").alias("len"))
