@@ -72,11 +72,14 @@ DEFAULT_COUNTRY = {
 
 # --- fixed values: catalog languages, in column order ------------------------------
 LANGUAGE_CODES = [
-    "app_" + c for c in (
-        "en af sq am ar hy az bn eu be bg my ca zh zh_hk hr cs da nl et fil fi fr gl ka de el gu "
-        "he hi hu is id it ja kn kk km ko ky lo lv lt mk ms ml mr mn ne no fa pl pt pa ro ru sr "
-        "si sk sl es sw sv ta te th tr uk vi zu"
-    ).split()
+    "app_en", "app_af", "app_sq", "app_am", "app_ar", "app_hy", "app_az", "app_bn", "app_eu",
+    "app_be", "app_bg", "app_my", "app_ca", "app_zh", "app_zh_hk", "app_hr", "app_cs", "app_da",
+    "app_nl", "app_et", "app_fil", "app_fi", "app_fr", "app_gl", "app_ka", "app_de", "app_el",
+    "app_gu", "app_he", "app_hi", "app_hu", "app_is", "app_id", "app_it", "app_ja", "app_kn",
+    "app_kk", "app_km", "app_ko", "app_ky", "app_lo", "app_lv", "app_lt", "app_mk", "app_ms",
+    "app_ml", "app_mr", "app_mn", "app_ne", "app_no", "app_fa", "app_pl", "app_pt", "app_pa",
+    "app_ro", "app_ru", "app_sr", "app_si", "app_sk", "app_sl", "app_es", "app_sw", "app_sv",
+    "app_ta", "app_te", "app_th", "app_tr", "app_uk", "app_vi", "app_zu",
 ]
 LANGUAGE_NAMES = [
     "ENGLISH - en", "AFRIKAANS - af", "Albanian - sq", "Amharic - am", "Arabic - ar",
@@ -96,9 +99,13 @@ LANGUAGE_NAMES = [
 ]
 
 # --- fixed values: language codes the translation service accepts -------------------
-SERVICE_LANGUAGES = (
-    "BG CS DA DE EL EN ES ET FI FR HU ID IT JA KO LT LV NB NL PL PT RO RU SK SL SV TR UK ZH "
-    "ACE AF SQ AR AN HY AS AY AZ BA BE BN BHO BS BR MY YUE CA CEB ZH-HANS ZH-HANT HR PRS GA GN "
-    "GU HT HA HE HI IS IG JV PAM KK GOM KMR CKB KY LA LN LMO LB MK MAI MG ML MT MI MR MN NE OC "
-    "OM PAG PS FA PT-BR PT-PT PA QU SA ST SCN SU TL TG TA TT TE TH TS TN TK UR UZ CY WO XH YI ZU"
-).split()
+SERVICE_LANGUAGES = [
+    "BG", "CS", "DA", "DE", "EL", "EN", "ES", "ET", "FI", "FR", "HU", "ID", "IT", "JA", "KO", "LT",
+    "LV", "NB", "NL", "PL", "PT", "RO", "RU", "SK", "SL", "SV", "TR", "UK", "ZH", "ACE", "AF", "SQ",
+    "AR", "AN", "HY", "AS", "AY", "AZ", "BA", "BE", "BN", "BHO", "BS", "BR", "MY", "YUE", "CA",
+    "CEB", "ZH-HANS", "ZH-HANT", "HR", "PRS", "GA", "GN", "GU", "HT", "HA", "HE", "HI", "IS", "IG",
+    "JV", "PAM", "KK", "GOM", "KMR", "CKB", "KY", "LA", "LN", "LMO", "LB", "MK", "MAI", "MG", "ML",
+    "MT", "MI", "MR", "MN", "NE", "OC", "OM", "PAG", "PS", "FA", "PT-BR", "PT-PT", "PA", "QU", "SA",
+    "ST", "SCN", "SU", "TL", "TG", "TA", "TT", "TE", "TH", "TS", "TN", "TK", "UR", "UZ", "CY", "WO",
+    "XH", "YI", "ZU",
+]

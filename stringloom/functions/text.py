@@ -128,7 +128,7 @@ def replacement_expr(key, fmt: str) -> Column:
 
 def relative_path(path, base: str) -> Column:
     path = _c(path)
-    return F.when(path.startswith(base), F.substring(path, len(base) + 2, 1 << 30)).otherwise(path)
+    return F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 2), F.length(path))).otherwise(path)
 
 
 def preview_cell(value) -> Column:

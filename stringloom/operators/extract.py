@@ -25,11 +25,11 @@ _HITS_TYPE = (
 
 
 def scan_files(
-    files: DataFrame, skip_dirs: bool = False, suffix: str = ".dart", max_chars: int | None = MAX_FILE_CHARS
+    files: DataFrame, skip_dirs: bool = False, suffix: str = ".dart", max_chars: int | None = None
 ) -> DataFrame:
-    """Files worth scanning: right suffix, not localization code, not too long.
+    """Files worth scanning: right suffix, not localization code.
 
-    ``skip_dirs`` also drops files below a localization directory.
+    ``skip_dirs`` also drops files below a localization directory, ``max_chars`` those that are longer.
     """
     kept = files.where(F.expr(
         f"endswith(path, {sql_text(suffix)}) and not "

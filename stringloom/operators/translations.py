@@ -27,7 +27,7 @@ def unpivot_sheet(files: DataFrame, header_row: int = 2, data_start: int = 4) ->
         F.col("path").alias("sheet"), sheet_lines().alias("_lines"),
         language_slots(header_fields(header_row)).alias("_slots"),
     )
-    data = F.slice("_lines", start, 1 << 30)
+    data = F.slice("_lines", start, F.size("_lines"))
     rows = sheets.select("sheet", "_slots", F.posexplode(data).alias("_pos", "line")).withColumn(
         "row_no", F.col("_pos") + start
     )

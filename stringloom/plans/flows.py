@@ -40,13 +40,15 @@ def export_catalog(
 ) -> DataFrame:
     """Extract, merge with the stored catalog and write ``csv`` and ``json`` below the target folder.
 
-    The target must be new: a merge reads the stored catalog while it writes. Returns the counts.
+    The result is staged before it replaces what the target holds, so ``stored`` may be read from
+    there. Returns the counts.
     """
     strings = stage(extract_strings(files), "strings")
     merged, target = catalog.resolve_mode(strings, stored, mode, out, version)
     merged = stage(merged, "merged")
-    writers.write_catalog_csv(merged, f"{target}/csv", langs=langs, names=names, snake_case_keys=snake_case_keys)
-    writers.write_catalog_json(strings, f"{target}/json")
+    writers.write_catalog_csv(
+        merged, f"{target}/csv", replace=True, langs=langs, names=names, snake_case_keys=snake_case_keys)
+    writers.write_catalog_json(strings, f"{target}/json", replace=True)
     return catalog.merge_stats(merged)
 
 

@@ -114,8 +114,8 @@ select case s_suppkey % 6 when 0 then 'web' when 1 then '.cache' when 2 then 'ap
             else 'shop' || cast(s_suppkey as string) || '_strings' end
        || '/' || case s_suppkey % 6 when 2 then 'app' else 'shop' end || cast(s_suppkey as string)
        || case s_suppkey % 4 when 3 then '.json' else '.csv' end as path,
-       {sheet} as content, modified
-from {supplier} join (select user_id % 1000 as u, max(ts) as modified from {events} group by user_id % 1000) e on e.u = s_suppkey
+       {sheet} as content, coalesce(modified, cast('2020-01-01 00:00:00' as timestamp)) as modified
+from {supplier} left join (select user_id as u, max(ts) as modified from {events} group by user_id) e on e.u = s_suppkey
 """.replace("{sheet}", SHEET_CONTENT)
 LOCALES = """
 select c_custkey, case c_custkey % 6

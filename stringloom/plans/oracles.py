@@ -244,7 +244,7 @@ oracle("lang_columns", ["slots"], "select path, col_no, lang from slots")
 oracle("read_catalog", ["cells"], f"""
   select path, key, arg_max(english, row_no) as english, cast(min(row_no) - 4 as int) as ord,
          arg_max(f, row_no)[1] as app_fr, arg_max(f, row_no)[2] as app_ar, arg_max(f, row_no)[3] as app_zh_hk
-  from (select path, row_no, {_trim("max(value) filter (where col_no = 0)")} as key,
+  from (select path, row_no, {_key(_trim("max(value) filter (where col_no = 0)"))} as key,
                coalesce({_trim("max(value) filter (where col_no = 1)")}, '') as english,
                [{', '.join(_trim(f"max(value) filter (where col_no = {c})") for c in (2, 3, 4))}] as f
         from cells where row_no >= 4 group by path, row_no) group by path, key""")
@@ -521,11 +521,11 @@ oracle("translate_rows", ["translated"], _written(
 oracle("sheet_texts", ["cells"], """
   select path as sheet, row_no, max(value) filter (where col_no = 0) as key,
          coalesce(max(value) filter (where col_no = 1), '') as english
-  from cells where row_no between 4 and 7 group by path, row_no""")
-_CELL = ("coalesce(case when i > 1 and length(e) between 1 and 19 and row_no >= 4 and h[i] in "
+  from cells where row_no >= 4 group by path, row_no""")
+_CELL = ("coalesce(case when i > 1 and length(e) > 0 and not contains(e, 'm') and row_no >= 4 and h[i] in "
          f"{_in(TARGETS)} then h[i] || ', \"' || e || '\"' end, f[i], '')")
 oracle("write_back", ["rows"], f"""
-  select path as sheet, row_no, case when row_no >= 4 and length(e) between 1 and 19
+  select path as sheet, row_no, case when row_no >= 4 and length(e) > 0 and not contains(e, 'm')
     then array_to_string(list_transform(range(1, greatest(len(f), len(h)) + 1), lambda i: {_csv(_CELL)}), ',') else line end as line
   from (select r.path, r.row_no, r.line, r.f, coalesce(r.f[2], '') as e, list_transform(h.f, lambda x: {_trim('x')}) as h
         from (select *, {_FIELDS} as f from rows) r

@@ -585,15 +585,15 @@ def translate_rows(spark, sf):
 
 @query
 def sheet_texts(spark, sf):
-    return translate.sheet_texts(_rows(spark, sf), 4, 7)
+    return translate.sheet_texts(_rows(spark, sf))
 
 
 @query
 def write_back(spark, sf):
-    """Sheets with every English text translated; the memory knows the shorter texts."""
+    """Sheets with every English text translated; the memory knows the texts without an m."""
     files = view(spark, sf, "sheet_files")
     work = translate.translation_work(translate.sheet_texts(sheets.sheet_rows(files)), TARGETS)
-    memory = work.where(F.length("english") < 20).select("english", "lang").distinct().withColumn(
+    memory = work.where(~F.contains("english", F.lit("m"))).select("english", "lang").distinct().withColumn(
         "text", F.concat("lang", F.lit(', "'), "english", F.lit('"')))
     return translate.write_back(files, translate.translate_tm(work, memory))
 

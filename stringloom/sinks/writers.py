@@ -44,17 +44,20 @@ def render_catalog_json(strings: DataFrame) -> DataFrame:
     return frame.unionByName(rows)
 
 
-def write_lines(lines: DataFrame, order: tuple[str, ...], path: str) -> None:
-    """Text files whose lines, part after part, follow ``order``."""
-    lines.orderBy(*order).select("line").write.text(path)
+def write_lines(lines: DataFrame, order: tuple[str, ...], path: str, replace: bool = False) -> None:
+    """Text files whose lines, part after part, follow ``order``.
 
+    ``replace`` takes the place of what is there, which ``lines`` must not read any more.
+    """
+    lines.orderBy(*order).select("line").write.mode("overwrite" if replace else "error").text(path)
 
-def write_catalog_csv(merged: DataFrame, path: str, **options) -> None:
-    write_lines(render_catalog_csv(merged, **options), CATALOG_ORDER, path)
 
+def write_catalog_csv(merged: DataFrame, path: str, replace: bool = False, **options) -> None:
+    write_lines(render_catalog_csv(merged, **options), CATALOG_ORDER, path, replace)
 
-def write_catalog_json(strings: DataFrame, path: str) -> None:
-    write_lines(render_catalog_json(strings), ("section", *FIRST), path)
+
+def write_catalog_json(strings: DataFrame, path: str, replace: bool = False) -> None:
+    write_lines(render_catalog_json(strings), ("section", *FIRST), path, replace)
 
 
 def write_bundles(lines: DataFrame, path: str) -> None:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.fixed_values import MAX_FILE_CHARS
 from ..functions.text import utf16_length
 
 _BOM = "\ufeff"
@@ -11,7 +10,7 @@ _BOM = "\ufeff"
 def decode_utf8(data: Column) -> Column:
     """UTF-8 text without a leading byte-order mark; null for bytes that are not UTF-8."""
     text = F.try_validate_utf8(data.cast("string"))
-    return F.when(text.startswith(_BOM), F.substring(text, 2, 1 << 30)).otherwise(text)
+    return F.when(text.startswith(_BOM), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
 
 
 def decode_text(data: Column) -> Column:
@@ -20,15 +19,16 @@ def decode_text(data: Column) -> Column:
 
 
 def read_code_files(spark: SparkSession, folder: str, suffix: str = ".dart") -> DataFrame:
-    """Every source file below a folder. Files that are not UTF-8 or are too long are left out.
-
-    The byte size is checked before the bytes are read: a text of N characters has at most 4N bytes.
-    """
-    files = _binary(spark, folder, f"*{suffix}").where(F.col("length") <= 4 * MAX_FILE_CHARS)
-    # As the input of a generator the text is decoded once, not again for the conditions on it.
-    text = F.array(decode_utf8(F.col("content")))
-    usable = F.filter(text, lambda t: t.isNotNull() & fits(t, MAX_FILE_CHARS))
-    return files.select("path", F.explode(usable).alias("content"))
+    """Every source file below a folder, of any size. ``unreadable_files`` lists those left out."""
+    # As the input of a generator the text is decoded once, not again for the condition on it.
+    usable = F.filter(F.array(decode_utf8(F.col("content"))), lambda t: t.isNotNull())
+    return _binary(spark, folder, f"*{suffix}").select("path", F.explode(usable).alias("content"))
+
+
+def unreadable_files(spark: SparkSession, folder: str, suffix: str = ".dart") -> DataFrame:
+    """The source files that ``read_code_files`` leaves out: path and reason."""
+    files = _binary(spark, folder, f"*{suffix}")
+    return files.where(decode_utf8(F.col("content")).isNull()).select("path", F.lit("not UTF-8").alias("reason"))
 
 
 def read_text_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:

@@ -12,7 +12,6 @@ from ..functions.text import TRIM_CHARS, is_blank, make_key, preview_cell, utrim
 from ..operators.skew import running_sum
 from .files import decode_text
 
-_ALL = 1_000_000  # more fields than a line can hold
 
 
 def effective_data_start(header_row: int, data_start: int) -> int:
@@ -101,6 +100,8 @@ def sheet_keys(rows: DataFrame, data_start: int = 4) -> DataFrame:
 def read_catalog(files: DataFrame) -> DataFrame:
     """Existing catalogs: path, key, english, translations, ord; the last row of a key wins.
 
+    Readable keys come back in the form that merges join on.
+
     Three header rows (codes in the second), data from the fourth; fewer than four rows is no
     catalog. A catalog without language codes raises an error instead of passing for an empty one.
     """
@@ -108,22 +109,22 @@ def read_catalog(files: DataFrame) -> DataFrame:
     is_catalog = F.size("_lines") >= 4
     raw = F.filter(F.split(F.get("_lines", F.lit(1)), ","), lambda c: ~is_blank(c))
     codes = F.when(~is_catalog, F.array().cast("array<string>")).when(
-        F.size(raw) > 0, F.transform(F.slice(raw, 2, _ALL), utrim)
+        F.size(raw) > 0, F.transform(F.slice(raw, 2, F.size(raw)), utrim)
     ).otherwise(F.raise_error(F.concat(F.lit("no language codes in catalog "), F.col("path"))))
     lines = lines.withColumn("_codes", codes)
     lines = lines.withColumn("_repeated", F.size(F.array_distinct("_codes")) < F.size("_codes"))
     rows = lines.select(
         "path", "_codes", "_repeated",
-        F.posexplode(F.when(is_catalog, F.slice("_lines", 4, 1 << 30))).alias("ord", "_line"),
+        F.posexplode(F.when(is_catalog, F.slice("_lines", 4, F.size("_lines")))).alias("ord", "_line"),
     ).withColumn("_v", split_fields(F.col("_line")))
     entries = F.filter(
         F.transform("_codes", lambda c, i: F.struct(c.alias("lang"), utrim(F.get("_v", i + 2)).alias("text"))),
         lambda e: e["text"].isNotNull(),
     )
     last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.lit(_ALL)), lambda later: later["lang"] == e["lang"]))
+        F.slice(entries, i + 2, F.size(entries)), lambda later: later["lang"] == e["lang"]))
     rows = rows.select(
-        "path", "ord", utrim(F.get("_v", F.lit(0))).alias("key"),
+        "path", "ord", make_key(utrim(F.get("_v", F.lit(0)))).alias("key"),
         F.coalesce(utrim(F.get("_v", F.lit(1))), F.lit("")).alias("english"),
         F.map_from_entries(F.when(F.col("_repeated"), last).otherwise(entries)).alias("translations"),
     )

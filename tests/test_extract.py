@@ -122,8 +122,16 @@ def test_read_code_files(spark, tmp_path):
     (tmp_path / "lib/exact.dart").write_text("é" * (1024 * 1024), encoding="utf-8")
     (tmp_path / "lib/c.txt").write_text("text: 'x'")
     got = {p.split("/lib/")[1]: c for p, c in rows(sources.read_code_files(spark, str(tmp_path)), "path", "content")}
-    assert sorted(got) == ["a.dart", "exact.dart", "sub/b.dart"]
+    assert sorted(got) == ["a.dart", "big.dart", "exact.dart", "sub/b.dart"]
     assert got["a.dart"] == "text: 'x'"
+    left = {(p.split("/lib/")[1], why) for p, why in rows(sources.unreadable_files(spark, str(tmp_path)), "path", "reason")}
+    assert left == {("latin.dart", "not UTF-8")}
+
+
+def test_a_large_file_is_scanned(spark):
+    text = "// filler\n" * 150_000 + "title: 'Far Down'\n"
+    found = extract.occurrences(extract.scan_files(code(spark, text)))
+    assert {r["value"] for r in found.collect()} == {"Far Down"}
 
 
 def test_decode_text(spark, tmp_path):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from stringloom.operators import extract
@@ -35,6 +36,33 @@ def test_extract_then_merge(spark, tmp_path):
     assert tuple(third.first()) == (3, 0, 0, 3) and (tmp_path / "two_v2/csv").is_dir()
 
 
+@pytest.mark.parametrize("mode", ["merge", "overwrite", "version"])
+def test_every_mode_twice_on_one_target(spark, tmp_path, mode):
+    out = tmp_path / ("out_v2" if mode == "version" else "out")
+    for text in ("Select Image", "Go Back"):
+        write(tmp_path / "lib", {"a.dart": f'Text("{text}")'})
+        files = file_sources.read_code_files(spark, str(tmp_path / "lib"))
+        stored = None
+        if mode == "merge" and out.exists():
+            parts = F.array_sort(F.collect_list(F.struct("path", "content")))
+            text_of = F.array_join(F.transform(parts, lambda f: f["content"]), "").alias("content")
+            parts_read = file_sources.read_text_files(spark, str(out / "csv"), "part-*")
+            stored = sheets.read_catalog(parts_read.agg(F.lit("c").alias("path"), text_of))
+        flows.export_catalog(files, stored, str(tmp_path / "out"), mode=mode)
+    written = read_text(out / "csv")
+    assert "go_back" in written and ("select_image" in written) == (mode == "merge")
+
+
+def test_readable_keys_keep_their_translations(spark, tmp_path):
+    write(tmp_path / "lib", {"a.dart": 'Text("Select Image")'})
+    files = file_sources.read_code_files(spark, str(tmp_path / "lib"))
+    flows.export_catalog(files, None, str(tmp_path / "one"), snake_case_keys=False)
+    text = read_text(tmp_path / "one/csv")
+    assert "select image," in text
+    stored = sheets.read_catalog(spark.createDataFrame([("c", text)], "path string, content string"))
+    assert tuple(flows.export_catalog(files, stored, str(tmp_path / "two")).first()) == (0, 0, 1, 1)
+
+
 def test_generate_and_load_again(spark, tmp_path):
     one = spark.createDataFrame([("web/s.csv", SHEET)], "path string, content string")
     want = {("app_en", "select_image", "Select Image"), ("app_en", "go_back", "Go Back?"), ("app_en", "1_am", "Morning"),
