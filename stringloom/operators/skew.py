@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A key above this many rows is split over several tasks.
 HOT_ROWS = 1_000_000
-# At most this many keys are treated as hot, so the list of them is safe to broadcast.
-MAX_HOT_KEYS = 1024
+# A key with at most this part of all rows is never split, so that fewer than this many keys are.
+MOST_HOT_KEYS = 65_536
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys of ``counts(keys…, n_rows)``, by hash, with the parts to split each into.
+def hot_keys(
+    counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = MOST_HOT_KEYS
+) -> DataFrame:
+    """The hot keys of ``counts(keys…, n_rows)``, by hash, with the parts to split each into.
 
-    The result never holds more than ``MAX_HOT_KEYS`` rows of two numbers, however long the keys
-    are. Keys beyond that stay whole and are left to the adaptive skew join; they are smaller than
-    every key listed here. A key that shares its hash with a hot one is split along with it, on both
-    sides of the join, which changes no result.
+    Hot is a key with more than ``hot_rows`` rows and more than one ``most``-th of all rows. Fewer than
+    ``most`` keys can have that many, so the list (two numbers each) is safe to broadcast, and no hot
+    key is left out. A key that shares its hash with a hot one is split along with it, on both sides
+    of the join, which changes no result.
     """
-    largest = counts.where(F.col("n_rows") > hot_rows).orderBy(F.col("n_rows").desc(), *keys).limit(MAX_HOT_KEYS)
-    return largest.groupBy(F.xxhash64(*keys).alias("_hash")).agg(
-        F.ceil(F.max("n_rows") / hot_rows).cast("int").alias("_parts")
+    share = counts.agg(F.sum("n_rows") / most).scalar()
+    limit = F.greatest(F.lit(hot_rows), F.coalesce(share, F.lit(0)))
+    return counts.where(F.col("n_rows") > limit).groupBy(F.xxhash64(*keys).alias("_hash")).agg(
+        F.ceil(F.max(F.col("n_rows") / limit)).cast("int").alias("_parts")
     )
 
 

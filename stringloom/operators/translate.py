@@ -13,6 +13,9 @@ from ..functions.text import csv_escape, utf16_length, utrim
 from ..sources.sheets import header_fields, row_range, sheet_lines
 from .skew import HOT_ROWS, count_keys, hot_keys, running_sum, spread_join
 
+# What a translator raises through a mistake in its code, not because it refuses a text.
+PROGRAM_ERRORS = (NameError, AttributeError, TypeError, ImportError)
+
 
 def select_langs(langs: DataFrame, choice: str, numbers: list[int] | None = None) -> DataFrame:
     """Part of a language table (…, ord, lang): ``es_ar``, ``top10``, ``numbers`` or ``all``."""
@@ -52,25 +55,17 @@ def translate_texts(
     """english, lang, text, error: every distinct text of the work list, sent once to a translator.
 
     Batches run on the executors. ``translate`` gets a frame (english, lang) and returns it with
-    ``text``; a failing batch is tried text by text, and a text that still fails keeps its row,
-    without a translation and with the error. Stage the result, so that nothing is sent twice.
+    ``text``, in any order. A failing batch is cut in halves until the texts that fail stand alone, so
+    a text is sent at least once, and the others of its batch about log2(batch) times more. A text
+    that fails, gets no answer or gets several keeps its row, without a translation and with the
+    error; answers to texts that were not sent are ignored. Errors that point at a fault in the
+    translator's code (``PROGRAM_ERRORS``) end the job. Stage the result, so that nothing is sent twice.
     ``tasks`` sets how many tasks call the translator at a time, for one that is slow to answer.
     """
 
-    def checked(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(error=None)[["english", "lang", "text", "error"]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield checked(translate(batch))
-            except Exception:
-                for i in range(len(batch)):
-                    one = batch.iloc[[i]]
-                    try:
-                        yield checked(translate(one))
-                    except Exception as error:
-                        yield one.assign(text=None, error=f"{type(error).__name__}: {error}")
+            yield from _answered(translate, batch)
 
     distinct = work.select("english", "lang").distinct()
     if tasks:
@@ -78,6 +73,34 @@ def translate_texts(
     return distinct.mapInPandas(run, "english string, lang string, text string, error string")
 
 
+def _answered(translate: Callable[[pd.DataFrame], pd.DataFrame], batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    try:
+        answer = translate(batch.copy())
+    except PROGRAM_ERRORS:
+        raise
+    except Exception as error:
+        if len(batch) == 1:
+            yield batch.assign(text=None, error=f"{type(error).__name__}: {error}")
+            return
+        half = len(batch) // 2
+        for part in (batch.iloc[:half], batch.iloc[half:]):
+            yield from _answered(translate, part)
+        return
+    yield _matched(batch, answer)
+
+
+def _matched(batch: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+    """The rows of the batch, each with its one answer or with the reason why it has none."""
+    pair = ["english", "lang"]
+    several = answer.duplicated(pair, keep=False)
+    told = batch.merge(answer.loc[~several, [*pair, "text"]], "left", pair, indicator="_once")
+    told = told.merge(answer.loc[several, pair].drop_duplicates(), "left", pair, indicator="_several")
+    error = pd.Series(None, told.index, dtype=object)
+    error[told["_once"] != "both"] = "no answer"
+    error[told["_several"] == "both"] = "several answers"
+    return told.assign(error=error)[[*pair, "text", "error"]]
+
+
 def attach_texts(work: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Work list (sheet, row_no, english, lang, …) with the columns of ``texts``, which has one row
     per (english, lang). A text that fills a large share of the work list is split."""
@@ -104,22 +127,26 @@ def sheet_texts(rows: DataFrame, first: int = 4, last: int | None = None, dialec
 
 
 def write_back(
-    files: DataFrame, translated: DataFrame, header_row: int = 2, dialect: str = "escaped"
+    files: DataFrame, translated: DataFrame, header_row: int = 2, dialect: str = "escaped", blank: str = "trim"
 ) -> DataFrame:
     """Sheet lines (sheet, row_no, line) with returned texts in the columns of their languages.
 
-    Rows without a text stay as they are. A changed row is written with full quoting, and a short one
+    A code that the header repeats is filled in its first column. ``blank`` is the rule of
+    ``sheet_rows`` that numbered the rows of ``translated``. Rows without a text stay as they are. A changed row is written with full quoting, and a short one
     is filled up to its header.
     """
-    codes = F.transform(header_fields(header_row, dialect), utrim)
+    codes = F.transform(header_fields(header_row, dialect, blank), utrim)
+    # The first field of the header belongs to the keys.
+    codes = F.transform(codes, lambda code, i: F.when(
+        (i > 0) & (F.array_position(F.slice(codes, 2, F.size(codes)), code) == i), code))
     rows = files.select(
-        F.col("path").alias("sheet"), codes.alias("_codes"), F.posexplode(sheet_lines()).alias("_pos", "line")
+        F.col("path").alias("sheet"), codes.alias("_codes"), F.posexplode(sheet_lines(blank)).alias("_pos", "line")
     ).withColumn("row_no", F.col("_pos") + 1)
     joined = rows.join(_texts_per_row(translated), ["sheet", "row_no"], "left")
     joined = joined.withColumn("_fields", split_fields(F.col("line"), dialect))
     width = F.greatest(F.size("_fields"), F.size("_codes"))
     cells = F.transform(F.sequence(F.lit(0), width - 1), lambda i: csv_escape(F.coalesce(
-        F.when(i > 0, F.try_element_at("_new", F.get("_codes", i))), F.get("_fields", i), F.lit(""))))
+        F.try_element_at("_new", F.get("_codes", i)), F.get("_fields", i), F.lit(""))))
     line = F.when(F.col("_new").isNull(), F.col("line")).otherwise(F.array_join(cells, ","))
     return joined.select("sheet", "row_no", line.alias("line"))
 
@@ -138,24 +165,28 @@ def quota_estimate(rows: DataFrame, n_langs: int, quota: int = FREE_QUOTA_CHARS)
     )
 
 
-def quota_usage(rows: DataFrame, n_langs: int, quota: int = FREE_QUOTA_CHARS) -> DataFrame:
-    """Characters a run over all rows uses, and the state of the quota after it."""
-    used = rows.where(F.col("english") != "").agg(
-        (F.coalesce(F.sum(utf16_length("english")), F.lit(0)) * n_langs).alias("used")
-    )
+def quota_usage(translated: DataFrame, quota: int = FREE_QUOTA_CHARS) -> DataFrame:
+    """Characters used by a work list (sheet, row_no, english, lang, text) that has been translated, and
+    the state of the quota after it. Texts without an answer use nothing."""
+    used = _used(translated).agg(F.coalesce(F.sum(utf16_length("english")), F.lit(0)).alias("used"))
     return used.select(
         "used", (quota - F.col("used")).alias("remaining"), _percent(F.col("used"), quota).alias("percent"),
         *_flags(F.col("used"), quota),
     )
 
 
-def quota_running(rows: DataFrame, n_langs: int, quota: int = FREE_QUOTA_CHARS, block: int = 65_536) -> DataFrame:
-    """Characters used after each row of a sheet, in row order, with the quota flags."""
-    work = rows.where(F.col("english") != "")
+def quota_running(translated: DataFrame, quota: int = FREE_QUOTA_CHARS, block: int = 65_536) -> DataFrame:
+    """sheet, row_no, english, used and the quota flags: characters used after each row of a sheet that
+    got an answer, in row order."""
+    rows = _used(translated).groupBy("sheet", "row_no", "english").agg(F.count(F.lit(1)).alias("_langs"))
     used = running_sum(
-        work, ["sheet"], F.floor(F.col("row_no") / block), "row_no", utf16_length("english") * n_langs, "used"
+        rows, ["sheet"], F.floor(F.col("row_no") / block), "row_no", utf16_length("english") * F.col("_langs"), "used"
     )
-    return used.select("*", *_flags(F.col("used"), quota))
+    return used.drop("_langs").select("*", *_flags(F.col("used"), quota))
+
+
+def _used(translated: DataFrame) -> DataFrame:
+    return translated.where((F.col("english") != "") & F.col("text").isNotNull())
 
 
 def _texts_per_row(translated: DataFrame) -> DataFrame:

@@ -113,11 +113,14 @@ def translate_rows(
 def translate_sheets(
     files: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
     header_row: int = 2, first: int = 4, last: int | None = None, dialect: str = "escaped",
+    blank: str = "trim",
 ) -> DataFrame:
-    """Lines (sheet, row_no, line) of the sheets with the data rows of a range translated."""
+    """Lines (sheet, row_no, line) of the sheets with the data rows of a range translated.
+
+    ``blank`` says which lines do not count, as in ``sheet_rows``."""
     start = sheets.effective_data_start(header_row, first)
-    texts = translate.sheet_texts(sheets.sheet_rows(files), start, last, dialect)
-    return translate.write_back(files, _fill(texts, langs, memory, translator), header_row, dialect)
+    texts = translate.sheet_texts(sheets.sheet_rows(files, blank), start, last, dialect)
+    return translate.write_back(files, _fill(texts, langs, memory, translator), header_row, dialect, blank)
 
 
 def _fill(rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None) -> DataFrame:

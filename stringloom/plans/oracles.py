@@ -331,10 +331,6 @@ oracle("sheet_keys", ["cells"], f"""
   select path, row_no, {_CODE} as raw_key, {_key(_CODE)} as key from cells
   where col_no = 0 and row_no >= 4 and {_CODE} <> ''""")
 oracle("row_range", ["rows"], "select path, row_no, line from rows where row_no between 4 and 6")
-oracle("preview_sheet", ["cells"], f"""
-  select path, row_no, {', '.join(
-    f"max(case when length(value) > 20 then left(value, 17) || '...' else value end) filter (where col_no = {c}) as r{c}"
-    for c in range(5))} from cells where row_no <= 5 group by path, row_no""")
 ORACLES["preview_sheet"] = _with(["cells"], "select path, row_no, " + ", ".join(
     f"coalesce(max(case when length(value) > 20 then left(value, 17) || '...' else value end) "
     f"filter (where col_no = {c}), '') as c{c + 1}" for c in range(5)
@@ -536,11 +532,12 @@ oracle("quota_estimate", ["english"], f"""
 oracle("quota_usage", ["english"], f"""
   select used, {QUOTA} - used as remaining, used / {QUOTA}.0::double * 100 as percent,
          used / {QUOTA}.0::double * 100 >= 80 as near, used >= {QUOTA} as exceeded
-  from (select cast(sum({_utf16('english')}) * 2 as bigint) as used from english where english <> '')""")
+  from (select cast(sum({_utf16('english')}) * 2 as bigint) as used
+        from english where english <> '' and not contains(english, 'ring'))""")
 oracle("quota_running", ["english"], f"""
   select sheet, row_no, english, used, used / 500.0::double * 100 >= 80 as near, used >= 500 as exceeded
   from (select sheet, row_no, english, cast(sum({_utf16('english')} * 2) over (partition by sheet order by row_no) as bigint) as used
-        from english where english <> '')""")
+        from english where english <> '' and not contains(english, 'ring'))""")
 
 # --- streaming: the same strings as a batch over the source files of all parts ---------
 ORACLES["stream_extract"] = ORACLES["unique_strings"].replace(view_sql("code_files"), view_sql("part_files"))

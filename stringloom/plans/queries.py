@@ -605,12 +605,12 @@ def quota_estimate(spark, sf):
 
 @query
 def quota_usage(spark, sf):
-    return translate.quota_usage(_english(spark, sf), len(TARGETS), QUOTA)
+    return translate.quota_usage(translate_fn(spark, sf), QUOTA)
 
 
 @query
 def quota_running(spark, sf):
-    return translate.quota_running(_english(spark, sf).drop("translations"), len(TARGETS), 500, block=64)
+    return translate.quota_running(translate_fn(spark, sf), 500, block=64)
 
 
 # --- streaming -----------------------------------------------------------------------

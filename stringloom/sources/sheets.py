@@ -142,8 +142,8 @@ def sheet_lines(blank: str = "trim") -> Column:
     return F.filter(lines, lambda line: F.trim(line, F.lit(TRIM_CHARS)) != "")
 
 
-def header_fields(header_row: int, dialect: str = "escaped") -> Column:
-    return split_fields(F.coalesce(F.get(sheet_lines(), F.lit(header_row - 1)), F.lit("")), dialect)
+def header_fields(header_row: int, dialect: str = "escaped", blank: str = "trim") -> Column:
+    return split_fields(F.coalesce(F.get(sheet_lines(blank), F.lit(header_row - 1)), F.lit("")), dialect)
 
 
 def language_slots(header: Column) -> Column:

@@ -13,12 +13,20 @@ def hot_table(spark, n=9000):
         F.col("id").cast("int").alias("n"))
 
 
-def test_hot_keys_are_few(spark):
+def test_every_hot_key_is_listed(spark):
     counts = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") + 10).alias("n_rows"))
-    hot = skew.hot_keys(counts, ["k"], hot_rows=5)
-    assert hot.count() == skew.MAX_HOT_KEYS
-    kept = counts.withColumn("_hash", F.xxhash64("k")).join(hot, "_hash")
-    assert kept.agg(F.min("n_rows")).first()[0] == 5010 - skew.MAX_HOT_KEYS
+    total = sum(range(10, 5010))
+    listed = sum(n > total / skew.MOST_HOT_KEYS for n in range(10, 5010))
+    assert skew.hot_keys(counts, ["k"], hot_rows=5).count() == listed > 4800
+    assert skew.hot_keys(counts.limit(0), ["k"], hot_rows=5).count() == 0
+
+
+def test_hot_keys_are_bounded_by_their_share(spark):
+    counts = spark.createDataFrame([("a", 900), ("b", 80), ("c", 20)], "k string, n_rows long")
+    for most, listed in ((2, 1), (20, 2), (100, 3)):
+        hot = skew.hot_keys(counts, ["k"], hot_rows=1, most=most)
+        assert hot.count() == listed <= most
+        assert hot.agg(F.max("_parts")).first()[0] == -(-900 * most // 1000)
 
 
 def test_key_types_must_agree(spark):

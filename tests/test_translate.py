@@ -1,3 +1,7 @@
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
 from stringloom.operators import translate
 from stringloom.plans import flows
 
@@ -33,6 +37,50 @@ def test_translator_errors_stay_with_their_text(spark):
     assert got == {"OK": ("app_fr:OK", None), "Hi 😀": ("app_fr:Hi 😀", None), "bad": (None, "RuntimeError: no")}
 
 
+def test_failing_batches_are_halved():
+    sent = []
+
+    def translator(frame):
+        sent.extend(frame["english"])
+        if (frame["english"] == "t5").any():
+            raise RuntimeError("no")
+        return frame.assign(text=frame["english"].str.upper()).iloc[::-1]
+
+    batch = pd.DataFrame({"english": [f"t{i}" for i in range(64)], "lang": "app_fr"})
+    got = pd.concat(translate._answered(translator, batch))
+    assert list(got["english"]) == list(batch["english"])
+    assert list(got.loc[got["error"].notna(), "english"]) == ["t5"]
+    assert all(got["text"].dropna() == got.loc[got["english"] != "t5", "english"].str.upper())
+    assert len(sent) == 64 + 64 + 32 + 16 + 8 + 4 + 2
+
+
+def test_answers_are_joined_to_what_was_asked(spark):
+    def translator(frame):
+        assert "text" not in frame
+        frame["text"] = "x"  # the batch itself stays as it is
+        kept = frame[frame["english"] != "bad"].iloc[::-1]
+        extra = pd.DataFrame({"english": ["other"], "lang": ["app_fr"], "text": ["y"]})
+        return pd.concat([kept, kept[kept["english"] == "OK"], extra])
+
+    work = translate.translation_work(rows(spark).drop("translations"), ["app_fr"])
+    got = {r["english"]: (r["text"], r["error"]) for r in translate.translate_texts(work, translator).collect()}
+    assert got == {"OK": (None, "several answers"), "Hi 😀": ("x", None), "bad": (None, "no answer")}
+
+
+def test_a_fault_in_the_translator_ends_the_job(spark):
+    work = translate.translation_work(rows(spark).drop("translations"), ["app_fr"])
+    with pytest.raises(Exception, match="NameError"):
+        translate.translate_texts(work, lambda frame: undefined(frame)).collect()  # noqa: F821
+
+
+def test_a_repeated_code_is_filled_once(spark):
+    files = spark.createDataFrame([("s", "k\napp_fr,app_en,app_fr, app_fr\n \nkey,OK,a,b\n")], "path string, content string")
+    memory = spark.createDataFrame([("OK", "app_fr", "Oui")], "english string, lang string, text string")
+    for blank, row in (("trim", 3), ("empty", 4)):
+        lines = flows.translate_sheets(files, ["app_fr"], memory, first=3, blank=blank)
+        assert lines.where(f"row_no = {row}").first()["line"] == "key,OK,Oui,b"
+
+
 def test_rows_from_memory_then_translator(spark):
     memory = spark.createDataFrame([("OK", "app_fr", "D'accord")], "english string, lang string, text string")
     done = flows.translate_rows(rows(spark), ["app_fr", "app_ar"], memory, make_translator())
@@ -46,12 +94,15 @@ def test_rows_from_memory_then_translator(spark):
 def test_quota(spark):
     estimate = translate.quota_estimate(rows(spark), 2, 100).first()
     assert tuple(estimate) == (5, 2, 200, 2 * 12, 200.0, True)
-    usage = translate.quota_usage(rows(spark), 2, 24).first()
-    assert tuple(usage) == (24, 0, 100.0, True, True)
-    assert translate.quota_usage(rows(spark), 1, 0).first()["percent"] == 100.0
-    running = translate.quota_running(rows(spark).drop("translations"), 1, 10, block=2).orderBy("row_no")
-    assert [(r["row_no"], r["used"], r["near"], r["exceeded"]) for r in running.collect()] == [
-        (1, 2, False, False), (3, 5, False, False), (4, 7, False, False), (5, 12, True, True)]
+    work = translate.translation_work(rows(spark).drop("translations"), ["app_fr", "app_ar"])
+    done = work.withColumn("text", F.expr("case when english <> 'bad' and (row_no < 5 or lang = 'app_fr') then 'x' end"))
+    usage = translate.quota_usage(done, 13).first()
+    assert tuple(usage) == (13, 0, 100.0, True, True)
+    assert translate.quota_usage(done, 0).first()["percent"] == 100.0
+    assert translate.quota_usage(done.limit(0), 10).first()["used"] == 0
+    running = translate.quota_running(done, 10, block=2).orderBy("row_no")
+    assert [tuple(r) for r in running.select("row_no", "used", "near", "exceeded").collect()] == [
+        (1, 4, False, False), (4, 8, True, False), (5, 13, True, True)]
 
 
 def test_languages(spark):
