@@ -146,4 +146,4 @@ def contamination(
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window stands; a row without an id stays."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")

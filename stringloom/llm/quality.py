@@ -195,4 +195,4 @@ def keep_good(
     """The rows of ``docs`` that :func:`classify` predicts to be good; a row without an id stays."""
     scored = classify(docs, labels, doc_id, text, threshold)
     bad = scored.where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")

@@ -158,4 +158,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its group; a row without an id stays."""
     found = near_duplicates(docs, doc_id, text)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

@@ -239,3 +239,28 @@ def test_pipeline_stages_take_effect(spark):
     assert counts[0] > counts[1] > counts[2] >= counts[3]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(out) == counts[4] and len({r["start"] for r in out}) == len(out)
+
+
+# Names that the stages use themselves.
+CLASHES = (
+    "_bad", "_gone", "_id", "_own", "_row", "_shares", "_take", "_text", "_twin", "_twin2", "begin", "component", "cut",
+    "features", "fingerprint", "fp", "key", "key2", "label", "node", "passes", "place", "quality", "rep", "score", "size",
+    "taken", "target", "term", "twin", "twin2", "u", "v", "words",
+)
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_with_clashing_names_and_odd_rows(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    odd = [(None, "no id", "en", "web", 5), (900, None, None, None, None), (901, "", "en", None, 0), (901, "", "en", None, 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    step, columns = corpus_pipeline.STAGES[stage][1], docs.columns
+    plain = step(spark, docs, SF)
+    wide = step(spark, docs.withColumns({c: F.lit(c) for c in CLASHES}), SF)
+    if stage < len(corpus_pipeline.STAGES) - 1:
+        assert wide.columns == [*columns, *CLASHES]
+        assert all(r[c] == c for r in wide.collect() for c in CLASHES)
+        assert step(spark, docs.limit(0), SF).count() == 0
+    else:
+        columns = plain.columns
+    assert sorted(map(repr, wide.select(columns).collect())) == sorted(map(repr, plain.collect()))
