@@ -17,7 +17,7 @@ from stringloom.session import build_session  # noqa: E402
 
 HEADLINE = [
     "unique_strings", "extract_clean", "occurrences", "smart_merge", "last_value_per_key", "missing_by_key",
-    "generation_stats", "duplicate_rows", "match_keys", "apply_by_line", "render_bundle", "render_catalog_csv",
+    "generation_stats", "duplicate_rows", "match_keys", "apply_by_line", "apply_by_content", "render_bundle", "render_catalog_csv",
     "translate_tm", "quota_running", "unpivot_sheet", "load_bundles", "make_key",
 ]
 

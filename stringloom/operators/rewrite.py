@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import REVIEW_BATCH, REWRITE_SKIP_PARTS
 from ..functions.text import WS, replacement_expr, utrim
+from ..plans.staging import stage
 from .extract import ORDER, contains_any
 from .skew import HOT_ROWS, count_keys, hot_keys, spread_join
 
+# So many path hashes, a long each, are sent to every task.
+MOST_HASHES = 2_000_000
+
 
 def match_values(values: DataFrame, catalog: DataFrame) -> DataFrame:
     """value, key: the key of each distinct text, by exact, case-insensitive, then trimmed match.
@@ -114,7 +118,7 @@ def apply_by_line(files: DataFrame, plan: DataFrame) -> DataFrame:
     lines = F.split("content", "\r\n|\r|\n")
     # A line break at the end does not start another line.
     lines = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    work = files.select("path", "content").join(steps, "path").withColumn("_lines", lines)
+    work = _with_steps(files, steps).withColumn("_lines", lines)
     work = work.withColumn("_plan", F.filter("_plan", lambda p: p["line_no"] <= F.size("_lines")))
     work = work.withColumn("_done", F.transform("_plan", lambda p: F.aggregate(
         p["steps"],
@@ -140,7 +144,7 @@ def apply_by_content(files: DataFrame, plan: DataFrame) -> DataFrame:
     """
     steps = plan.groupBy("path").agg(F.sort_array(F.collect_list(
         F.struct("pattern_id", "match_ord", "original", "replacement"))).alias("_plan"))
-    work = files.select("path", "content").join(steps, "path")
+    work = _with_steps(files, steps)
     done = F.aggregate(
         "_plan", F.struct(F.col("content").alias("text"), F.lit(0).alias("n")), _replace_in_text
     )
@@ -148,6 +152,21 @@ def apply_by_content(files: DataFrame, plan: DataFrame) -> DataFrame:
     return _changed(work, F.col("_done.text"), F.size("_plan"), F.col("_done.n"))
 
 
+def _with_steps(files: DataFrame, steps: DataFrame) -> DataFrame:
+    """path, content and the columns of ``steps``, for the files that have a row there.
+
+    A file without one is left out before the shuffle, by the hashes of the planned paths: an inner join,
+    since a condition could move below the columns that files are made of. The steps are staged, so the
+    hashes are counted and sent only up to ``MOST_HASHES``; beyond it all files are shuffled.
+    """
+    steps = stage(steps, "steps")
+    files = files.select("path", "content")
+    if steps.count() <= MOST_HASHES:
+        planned = steps.select(F.xxhash64("path").alias("_hash")).distinct()
+        files = files.withColumn("_hash", F.xxhash64("path")).join(F.broadcast(planned), "_hash").drop("_hash")
+    return files.join(steps.hint("merge"), "path")
+
+
 def _changed(work: DataFrame, content: Column, planned: Column, applied: Column) -> DataFrame:
     """Files with a replacement. A condition on ``applied`` would move into the join below and be
     worked out there a second time; as the input of a generator it is worked out once."""

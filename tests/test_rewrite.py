@@ -115,3 +115,16 @@ def test_bundle_to_plan(spark):
     bundle = spark.createDataFrame([("l10n/app_en.arb", '{"@@locale":"en","select_image":"Select Image"}')], "path string, content string")
     planned = plan(spark, code(spark, 'Text("Select Image")'), bundles.load_bundles(bundle), "arb")
     assert planned.first()["replacement"] == "AppLocalizations.of(context).select_image"
+
+
+def test_files_without_a_plan_are_left_out_before_the_shuffle(spark, monkeypatch):
+    files = code(spark, *(f'Text("w {i}")' for i in range(40)))
+    planned = stage(plan(spark, files, entries(spark, ("w3", "w 3"), ("w7", "w 7"))), "plan")
+    for apply in (rewrite.apply_by_line, rewrite.apply_by_content):
+        monkeypatch.setattr(rewrite, "MOST_HASHES", 2)
+        by_hash = apply(files, planned)
+        assert "BroadcastHashJoin" in by_hash._jdf.queryExecution().toString()
+        monkeypatch.setattr(rewrite, "MOST_HASHES", 1)
+        assert sorted(by_hash.collect()) == sorted(apply(files, planned).collect())
+        assert {r["path"] for r in by_hash.collect()} == {"lib/f3.dart", "lib/f7.dart"}
+        assert apply(files, planned.limit(0)).count() == 0
