@@ -65,6 +65,12 @@ def resolve_mode(
     raise ValueError(f"unknown mode: {mode}")
 
 
+def extra_languages(merged: DataFrame, langs: list[str]) -> list[str]:
+    """Codes of a merge result that ``langs`` lacks, in order: columns of its header, so few."""
+    codes = merged.select(F.explode(F.map_keys("translations")).alias("lang")).distinct()
+    return [r["lang"] for r in codes.where(~F.col("lang").isin(langs)).orderBy("lang").collect()]
+
+
 def merge_stats(merged: DataFrame) -> DataFrame:
     """Counts of a merge; removed rows are kept and count as preserved."""
     status = F.col("status")

@@ -38,14 +38,26 @@ def export_catalog(
     files: DataFrame, stored: DataFrame | None, out: str, mode: str = "merge", version: str = "v2",
     langs: list[str] = LANGUAGE_CODES, names: list[str] = LANGUAGE_NAMES, snake_case_keys: bool = True,
 ) -> DataFrame:
-    """Extract, merge with the stored catalog and write ``csv`` and ``json`` below the target folder.
+    """Extract, merge with the stored catalog and write it as ``export_strings`` does."""
+    return export_strings(extract_strings(files), stored, out, mode, version, langs, names, snake_case_keys)
+
+
+def export_strings(
+    strings: DataFrame, stored: DataFrame | None, out: str, mode: str = "merge", version: str = "v2",
+    langs: list[str] = LANGUAGE_CODES, names: list[str] = LANGUAGE_NAMES, snake_case_keys: bool = True,
+) -> DataFrame:
+    """Merge unique strings (of a scan, or of a stream's store) with the stored catalog and write ``csv``
+    and ``json`` below the target folder.
 
     The result is staged before it replaces what the target holds, so ``stored`` may be read from
-    there. Returns the counts.
+    there. Stored languages that ``langs`` lacks become further columns, named by their codes.
+    Returns the counts.
     """
-    strings = stage(extract_strings(files), "strings")
+    strings = stage(strings, "strings")
     merged, target = catalog.resolve_mode(strings, stored, mode, out, version)
     merged = stage(merged, "merged")
+    extra = catalog.extra_languages(merged, langs)
+    langs, names = [*langs, *extra], [*names, *extra]
     writers.write_catalog_csv(
         merged, f"{target}/csv", replace=True, langs=langs, names=names, snake_case_keys=snake_case_keys)
     writers.write_catalog_json(strings, f"{target}/json", replace=True)

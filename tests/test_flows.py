@@ -63,6 +63,21 @@ def test_readable_keys_keep_their_translations(spark, tmp_path):
     assert tuple(flows.export_catalog(files, stored, str(tmp_path / "two")).first()) == (0, 0, 1, 1)
 
 
+def test_stored_languages_outside_the_list_are_kept(spark, tmp_path):
+    write(tmp_path / "lib", {"a.dart": 'Text("Select Image")'})
+    files = file_sources.read_code_files(spark, str(tmp_path / "lib"))
+    text = ",1,2,3\n,app_en,app_pt_br,app_xx\nKey,E,P,X\nselect_image,Select Image,Escolher,\nold,Old,Velho,Xx\n"
+    stored = sheets.read_catalog(spark.createDataFrame([("c", text)], "path string, content string"))
+    flows.export_catalog(files, stored, str(tmp_path / "one"))
+    lines = read_text(tmp_path / "one/csv").splitlines()
+    assert lines[1].endswith(",app_pt_br,app_xx") and lines[2].endswith(",app_pt_br,app_xx")
+    assert len({line.count(",") for line in lines}) == 1
+    again = spark.createDataFrame([("c", "\n".join(lines))], "path string, content string")
+    got = {r["key"]: {k: v for k, v in r["translations"].items() if v} for r in sheets.read_catalog(again).collect()}
+    assert {k: v.get("app_pt_br") for k, v in got.items()} == {"select_image": "Escolher", "old": "Velho"}
+    assert got["old"]["app_xx"] == "Xx"
+
+
 def test_generate_and_load_again(spark, tmp_path):
     one = spark.createDataFrame([("web/s.csv", SHEET)], "path string, content string")
     want = {("app_en", "select_image", "Select Image"), ("app_en", "go_back", "Go Back?"), ("app_en", "1_am", "Morning"),
@@ -127,7 +142,29 @@ def test_stream_equals_batch(spark, tmp_path):
     got = run()
     want = extract.unique_strings(extract.occurrences(extract.scan_files(table)))
     assert got == sorted(map(tuple, want.collect()))
-    assert len(list((tmp_path / "store").glob("batch=*"))) > 2
+    assert len(list((tmp_path / "store/files").glob("batch=*"))) > 2
+
+
+def test_stream_keeps_the_newest_version_of_a_file(spark, tmp_path):
+    schema = "path string, content string"
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+
+    def arrive(rows, to):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        extract_stream.start_extract(stream, to, str(tmp_path / "ck"), available_now=True).awaitTermination()
+        return {r["key"]: r["uses"] for r in extract_stream.read_store(spark, to).collect()}
+
+    first = [("a.dart", 'Text("one")'), ("b.dart", 'Text("two")'), ("c.dart", 'Text("three")'), ("d.dart", None)]
+    assert arrive(first, store) == {"one": 1, "two": 1, "three": 1}
+    assert arrive([("a.dart", 'Text("uno")'), ("b.dart", 'Text("two")')], store) == {"uno": 1, "two": 1, "three": 1}
+    assert arrive([("a.dart", "// no text"), ("c.dart", None)], store) == {"two": 1}
+    new = str(tmp_path / "new")
+    extract_stream.compact_store(spark, store, new)
+    assert len(list((tmp_path / "new/found").glob("batch=*"))) == 1
+    assert arrive([("c.dart", 'Text("three")')], new) == {"two": 1, "three": 1}
+    counts = flows.export_strings(extract_stream.read_store(spark, new), None, str(tmp_path / "out"))
+    assert tuple(counts.first()) == (2, 0, 0, 2)
 
 
 def test_staging_uses_the_shared_folder(spark):
