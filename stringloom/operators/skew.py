@@ -22,9 +22,10 @@ def hot_keys(
     """
     share = counts.agg(F.sum("n_rows") / most).scalar()
     limit = F.greatest(F.lit(hot_rows), F.coalesce(share, F.lit(0)))
-    return counts.where(F.col("n_rows") > limit).groupBy(F.xxhash64(*keys).alias("_hash")).agg(
-        F.ceil(F.max(F.col("n_rows") / limit)).cast("int").alias("_parts")
-    )
+    # The limit stays outside the aggregate, which takes no expression over rows numbered by task.
+    hot = counts.where(F.col("n_rows") > limit).select(
+        F.xxhash64(*keys).alias("_hash"), (F.col("n_rows") / limit).alias("_times"))
+    return hot.groupBy("_hash").agg(F.ceil(F.max("_times")).cast("int").alias("_parts"))
 
 
 def count_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
