@@ -135,13 +135,37 @@ def write_back(
     ``sheet_rows`` that numbered the rows of ``translated``. Rows without a text stay as they are. A changed row is written with full quoting, and a short one
     is filled up to its header.
     """
-    codes = F.transform(header_fields(header_row, dialect, blank), utrim)
-    # The first field of the header belongs to the keys.
-    codes = F.transform(codes, lambda code, i: F.when(
-        (i > 0) & (F.array_position(F.slice(codes, 2, F.size(codes)), code) == i), code))
+    codes = _column_codes(header_fields(header_row, dialect, blank))
     rows = files.select(
         F.col("path").alias("sheet"), codes.alias("_codes"), F.posexplode(sheet_lines(blank)).alias("_pos", "line")
     ).withColumn("row_no", F.col("_pos") + 1)
+    return _write_rows(rows, translated, dialect)
+
+
+def write_back_lines(
+    rows: DataFrame, translated: DataFrame, header_row: int = 2, dialect: str = "escaped", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``write_back`` for line tables (path, row_no, line), for sheets of any size.
+
+    The header reaches the rows by a join on the sheet; the rows of a large sheet are split.
+    """
+    rows = rows.withColumnRenamed("path", "sheet")
+    header = rows.where(F.col("row_no") == header_row).select(
+        "sheet", _column_codes(split_fields(F.col("line"), dialect)).alias("_codes"))
+    hot = hot_keys(count_keys(rows, ["sheet"]), ["sheet"], hot_rows)
+    headed = spread_join(rows, header, ["sheet"], ["row_no"], hot, "left")
+    none = F.array().cast("array<string>")
+    return _write_rows(headed.withColumn("_codes", F.coalesce("_codes", none)), translated, dialect)
+
+
+def _column_codes(header: Column) -> Column:
+    """Per column the code it is filled for. The first field of a header belongs to the keys."""
+    codes = F.transform(header, utrim)
+    return F.transform(codes, lambda code, i: F.when(
+        (i > 0) & (F.array_position(F.slice(codes, 2, F.size(codes)), code) == i), code))
+
+
+def _write_rows(rows: DataFrame, translated: DataFrame, dialect: str) -> DataFrame:
     joined = rows.join(_texts_per_row(translated), ["sheet", "row_no"], "left")
     joined = joined.withColumn("_fields", split_fields(F.col("line"), dialect))
     width = F.greatest(F.size("_fields"), F.size("_codes"))

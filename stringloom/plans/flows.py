@@ -79,8 +79,19 @@ def generate_bundles(
     files: DataFrame, out: str, fmt: str, generated_at: str, header_row: int = 2, data_start: int = 4
 ) -> Generated:
     """Sheets to bundles, language index and missing report below ``out``."""
-    long = stage(translations.unpivot_sheet(files, header_row, data_start), "long")
-    result = generate(long, fmt)
+    return _write_generated(translations.unpivot_sheet(files, header_row, data_start), out, fmt, generated_at)
+
+
+def generate_from_lines(
+    rows: DataFrame, out: str, fmt: str, generated_at: str, header_row: int = 2, data_start: int = 4
+) -> Generated:
+    """``generate_bundles`` for the lines of sheets of any size, as ``read_sheet_lines`` gives them."""
+    rows = stage(rows, "lines")
+    return _write_generated(translations.unpivot_lines(rows, header_row, data_start), out, fmt, generated_at)
+
+
+def _write_generated(long: DataFrame, out: str, fmt: str, generated_at: str) -> Generated:
+    result = generate(stage(long, "long"), fmt)
     writers.write_bundles(bundles.render_bundle(result.entries, fmt), f"{out}/bundles")
     if fmt == "getx":
         bundles.locale_manifest(result.active).write.parquet(f"{out}/locales")
@@ -135,6 +146,16 @@ def translate_sheets(
     return translate.write_back(files, _fill(texts, langs, memory, translator), header_row, dialect, blank)
 
 
+def translate_lines(
+    rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
+    header_row: int = 2, first: int = 4, last: int | None = None, dialect: str = "escaped",
+) -> DataFrame:
+    """``translate_sheets`` for the lines of sheets of any size, as ``read_sheet_lines`` gives them."""
+    rows = stage(rows, "lines")
+    texts = translate.sheet_texts(rows, sheets.effective_data_start(header_row, first), last, dialect)
+    return translate.write_back_lines(rows, _fill(texts, langs, memory, translator), header_row, dialect)
+
+
 def _fill(rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None) -> DataFrame:
     """sheet, row_no, english, lang, text for every row and target language."""
     work = stage(translate.translation_work(rows.select("sheet", "row_no", "english"), langs), "work")

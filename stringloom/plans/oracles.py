@@ -538,6 +538,7 @@ oracle("quota_running", ["english"], f"""
   select sheet, row_no, english, used, used / 500.0::double * 100 >= 80 as near, used >= 500 as exceeded
   from (select sheet, row_no, english, cast(sum({_utf16('english')} * 2) over (partition by sheet order by row_no) as bigint) as used
         from english where english <> '' and not contains(english, 'ring'))""")
+ORACLES["write_back_lines"] = ORACLES["write_back"]
 
 # --- streaming: the same strings as a batch over the source files of all parts ---------
 ORACLES["stream_extract"] = ORACLES["unique_strings"].replace(view_sql("code_files"), view_sql("part_files"))

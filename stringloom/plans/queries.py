@@ -592,10 +592,21 @@ def sheet_texts(spark, sf):
 def write_back(spark, sf):
     """Sheets with every English text translated; the memory knows the texts without an m."""
     files = view(spark, sf, "sheet_files")
-    work = translate.translation_work(translate.sheet_texts(sheets.sheet_rows(files)), TARGETS)
+    return translate.write_back(files, _known_texts(sheets.sheet_rows(files)))
+
+
+@query
+def write_back_lines(spark, sf):
+    """The same from lines, with sheets above five rows split."""
+    rows = _rows(spark, sf)
+    return translate.write_back_lines(rows, _known_texts(rows), hot_rows=5)
+
+
+def _known_texts(rows):
+    work = translate.translation_work(translate.sheet_texts(rows), TARGETS)
     memory = work.where(~F.contains("english", F.lit("m"))).select("english", "lang").distinct().withColumn(
         "text", F.concat("lang", F.lit(', "'), "english", F.lit('"')))
-    return translate.write_back(files, translate.translate_tm(work, memory))
+    return translate.translate_tm(work, memory)
 
 
 @query

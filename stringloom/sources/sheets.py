@@ -26,8 +26,8 @@ def sheet_rows(files: DataFrame, blank: str = "trim") -> DataFrame:
     )
 
 
-def read_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of sheets of any size: path, row_no, line.
+def read_sheet_lines(spark: SparkSession, path: str, blank: str = "trim") -> DataFrame:
+    """The rows of sheets of any size: path, row_no, line, numbered as ``sheet_rows`` does.
 
     The text source splits a large file over tasks. Rows are counted per split, the counts give each
     split its offset, and rows are numbered inside their split.
@@ -37,7 +37,7 @@ def read_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_seq"),
         decode_text(F.col("value").cast("binary")).alias("line"),
-    ).where(~is_blank("line"))
+    ).where(_counts(blank, F.col("line")))
     return running_sum(lines, ["path"], F.col("_split"), "_seq", F.lit(1), "row_no").select(
         "path", F.col("row_no").cast("int").alias("row_no"), "line"
     )
@@ -134,12 +134,13 @@ def read_catalog(files: DataFrame) -> DataFrame:
 
 
 def sheet_lines(blank: str = "trim") -> Column:
+    return F.filter(F.split(F.col("content"), "\n"), lambda line: _counts(blank, line))
+
+
+def _counts(blank: str, line: Column) -> Column:
     if blank not in ("trim", "empty"):
         raise ValueError(f"unknown blank rule: {blank}")
-    lines = F.split(F.col("content"), "\n")
-    if blank == "empty":
-        return F.filter(lines, lambda line: line != "")
-    return F.filter(lines, lambda line: F.trim(line, F.lit(TRIM_CHARS)) != "")
+    return line != "" if blank == "empty" else F.trim(line, F.lit(TRIM_CHARS)) != ""
 
 
 def header_fields(header_row: int, dialect: str = "escaped", blank: str = "trim") -> Column:

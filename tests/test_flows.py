@@ -98,6 +98,30 @@ def test_generate_and_load_again(spark, tmp_path):
     assert {(r["lang"], r["locale"]) for r in locales.collect()} == {("app_en", "en_US"), ("app_fr", "fr_FR")}
 
 
+@pytest.mark.parametrize("blank", ["trim", "empty"])
+def test_flows_over_lines_equal_those_over_files(spark, tmp_path, blank):
+    """Sheets read by split, with a blank line, a repeated code and one without a header."""
+    texts = {"a.csv": SHEET + " \nlate,Late,\n", "b.csv": ",1,2,3\n,app_en,app_fr,app_fr\nKey,E,F,F\nx,Go,,\n\ny,Stop,a,b\n", "c.csv": "x\n"}
+    write(tmp_path / "in", texts)
+    files = file_sources.read_text_files(spark, str(tmp_path / "in"), "*.csv")
+    rows = sheets.read_sheet_lines(spark, str(tmp_path / "in"), blank)
+    memory = spark.createDataFrame([("Go", "app_fr", "Va"), ("Late", "app_fr", "Tard")], "english string, lang string, text string")
+
+    def told(lines):
+        return sorted((r["sheet"].rsplit("/", 1)[1], r["row_no"], r["line"]) for r in lines.collect())
+
+    want = told(flows.translate_sheets(files, ["app_fr"], memory, blank=blank))
+    got = told(flows.translate_lines(rows, ["app_fr"], memory))
+    assert got == want and any("Tard" in line for _, _, line in got) and ("c.csv", 1, "x") in got
+    assert sum("Va" in line for _, _, line in got) == 1
+    if blank == "trim":
+        one = flows.generate_bundles(files, str(tmp_path / "one"), "json", "now")
+        two = flows.generate_from_lines(rows, str(tmp_path / "two"), "json", "now")
+        columns = ["lang", "key", "value"]
+        assert sorted(one.entries.select(*columns).collect()) == sorted(two.entries.select(*columns).collect())
+        assert two.entries.count() > 4
+
+
 def test_large_bundle_is_written_by_several_tasks(spark, tmp_path):
     """The part files of a bundle, in name order, are the bundle."""
     sheet = ",1\n,app_en\nKey,E\n" + "".join(f"k{i},value {i}\n" for i in range(5000))
