@@ -183,6 +183,22 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_sources_beside_a_hot_one_reach_their_targets(spark):
+    sizes = {"hot": 3_000_000, "a": 5, "b": 900, "c": 5_000, None: 1, "none": 0}
+    rows = [(i, "w " * 10_000, "hot") for i in range(300)] + [(1000, "w " * 5, "a"), (1001, "w", None), (1002, "", "none")]
+    rows += [(2000 + i, "w " * 30, "b") for i in range(30)] + [(3000 + i, "w " * 100, "c") for i in range(50)]
+    docs = table(spark, rows)
+    target = {sizes[s]: round(t) for s, t in level(sizes).items()}
+    found = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken")).collect()
+    assert {r[0]: r[1] for r in found} == target
+    said = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in said} == {s: target[n] for s, n in sizes.items() if n}
+    dealt = mixing.schedule(mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")), 4096)
+    assert {r["source"] for r in dealt.collect()} == {s for s, n in sizes.items() if n}
+    first = mixing.mix(docs).where("turn = 0").select("source_size").distinct().collect()
+    assert {r[0] for r in first} == {n for n in sizes.values() if n}
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [(i, f"w{i} " * (20 + i), "abc"[i % 3]) for i in range(60)] + [(5, "twin\nx", "a")] * 3
     docs = table(spark, rows)
