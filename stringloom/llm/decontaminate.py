@@ -5,7 +5,8 @@ too. A window of a benchmark item is looked up from its rarest words: their post
 word's place in the window, must meet in one start. What meets is compared word by word.
 
 Words are compared with A-Z lower-cased. The index itself folds case further, which only adds
-candidates. Null and empty texts have no words, and items without words no windows. Repeated document
+candidates: both sides are folded alike, word by word, since the lower case of a letter can depend on
+its neighbours. Null and empty texts have no words, and items without words no windows. Repeated document
 rows get a row each; a null ``item_id`` hits but is not listed. Only the named columns are read.
 """
 
@@ -31,6 +32,11 @@ def exact(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def folded(word: Column) -> Column:
+    """The form of a single word, A-Z lower-cased already, under which the index has it."""
+    return F.lower(word)
+
+
 def benchmark_windows(
     items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW
 ) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +52,7 @@ def benchmark_windows(
     rows = rows.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, window))).alias("words"))
     rows = rows.distinct()
     windows = stage(rows.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()).withColumn(
-        "folded", F.transform("words", lambda w: F.lower(w))), "windows")
+        "folded", F.transform("words", folded)), "windows")
     return windows, stage(rows.join(windows, "words").select("wid", "item_id"), "window-items")
 
 
@@ -64,8 +70,9 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings ``term_id, doc_id, key, key2, place``, written without a shuffle."""
-    words = F.concat(words_of(F.lower(F.col(text))), F.array(F.lit(END)))
+    words = F.concat(words_of(exact(F.col(text))), F.array(F.lit(END)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), *document_key(doc_id, text), F.posexplode(words).alias("place", "term"))
+    rows = rows.withColumn("term", folded(F.col("term")))
     known = small(terms, F.octet_length("term"))
     return stage(rows.join(known, "term").select("term_id", "doc_id", "key", "key2", "place"), "postings")
 

@@ -69,6 +69,22 @@ def test_contamination(spark):
     assert len(clean) == len(docs) and not any(r["contaminated"] for r in clean)
 
 
+def test_contamination_where_lower_case_depends_on_neighbours(spark):
+    texts = ["ΠΑΣ.ΟΚ ΟΔΟΣ'Α ΝΟΜΟΣ:Β", "ΟΔΟΣ", "ΟΔΟΣ'Α", "AΣ.B", "ΜΑΣ", "İI I", "ΑΣ\u0301Α"]
+    items = [(i, t) for i, t in enumerate(texts)]
+    docs = [(i, f"x.{t}'y") for i, t in enumerate(texts)] + [(20 + i, f"{t.lower()} Α") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for doc, text in docs:
+        own, hit, found = words(text), set(), 0
+        for _, item in items:
+            w = words(item)
+            at = [s for s in range(len(own) - len(w) + 1) if own[s : s + len(w)] == w]
+            found += bool(at)
+            hit.update(p for s in at for p in range(s, s + len(w)))
+        assert got[doc] == (len(hit), found), text
+
+
 def test_proximity(spark):
     frame = spark.createDataFrame([(1, "red big fox jumps"), (2, "red fox jumps"), (3, "red a b c fox jumps")], "doc_id long, text string")
     windows, _ = decontaminate.benchmark_windows(spark.createDataFrame([(1, "red fox jumps")], "item_id long, text string"))
