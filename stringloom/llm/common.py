@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stringloom.plans.staging import stage, staging_dir
 
-__all__ = ["append_ends", "arrow_rows", "global_running_sum", "new_folder", "open_folder", "read_table", "small", "stage", "width"]
+__all__ = ["append_ends", "arrow_rows", "global_running_sum", "new_folder", "open_folder", "read_table", "row_key", "small", "stage", "width",
+           "without"]
 
 # Python tasks look at whole texts in slices of about this many bytes, whatever Arrow's batch size is.
 SLICE_BYTES = 4 << 20
@@ -23,6 +24,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """128 bits, ``key`` and ``key2``, that rows share if they agree in id and text, nulls included."""
+    own = [F.col(doc_id), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull()]
+    return [F.xxhash64(F.lit(i), *own).alias(name) for i, name in enumerate(("key", "key2"))]
+
+
+def without(docs: DataFrame, bad: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are not in ``bad(key, key2)``."""
+    bad = bad.select(F.col("key").alias("_key"), F.col("key2").alias("_key2")).distinct()
+    return docs.join(bad, (keys[0] == bad["_key"]) & (keys[1] == bad["_key2"]), "left_anti")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder of the shared place that ``spark.checkpoint.dir`` names; nothing is created yet."""
     return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"

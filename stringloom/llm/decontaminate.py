@@ -16,7 +16,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stringloom.llm.common import small, stage
+from stringloom.llm.common import small, stage, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -134,6 +134,14 @@ def contamination(
     item_text: str = "text", window: int = WINDOW,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, one row per row of ``docs``."""
+    return _judged(docs, items, doc_id, text, item_id, item_text, window).drop("key", "key2")
+
+
+def _judged(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+    item_text: str = "text", window: int = WINDOW,
+) -> DataFrame:
+    """The columns of :func:`contamination`, with ``key, key2`` of the row."""
     windows, owners = benchmark_windows(items, item_id, item_text, window)
     terms = vocabulary(windows)
     index = build_index(docs, terms, doc_id, text)
@@ -146,11 +154,10 @@ def contamination(
     rows = index.where("term_id = -1").select("doc_id", "key", "key2", F.col("place").cast("long").alias("n_words"))
     n_hit, listed = F.coalesce("hit", F.lit(0)), F.coalesce("listed", F.array().cast("array<string>"))
     return rows.join(found, ["key", "key2"], "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        "key", "key2", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window stands; a row without an id stays."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs`` in which no window stands, each judged by its own text."""
+    return without(docs, _judged(docs, items).where("contaminated"), document_key())

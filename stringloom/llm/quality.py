@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stringloom.llm.common import arrow_rows, stage
+from stringloom.llm.common import arrow_rows, row_key, stage, without
 
 FEATURES = (
     "size", "word_length", "upper", "digits", "symbols", "symbol_pairs", "pipes", "non_ascii", "spaces",
@@ -52,15 +52,16 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, features``, one row per row of ``docs``."""
+    """``doc_id, key, key2, features``, one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in arrow_rows(batches, "text"):
             rows = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rows], ["doc_id", "key", "key2", "features"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, features array<double>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, key2 bigint, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -160,14 +161,16 @@ def isotonic(at: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def score_texts(statistics_of: DataFrame, model: QualityModel) -> DataFrame:
-    """``doc_id, score`` from ``doc_id, features``."""
+    """``doc_id, key, key2, score`` from ``doc_id, key, key2, features``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
+            scores = pa.array(model.score(_matrix(batch)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], scores], ["doc_id", "key", "key2", "score"])
 
     kind = statistics_of.schema["doc_id"].dataType.simpleString()
-    return statistics_of.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double")
+    return statistics_of.select("doc_id", "key", "key2", "features").mapInArrow(
+        run, f"doc_id {kind}, key bigint, key2 bigint, score double")
 
 
 def fold_of(doc_id: str = "doc_id") -> F.Column:
@@ -179,6 +182,11 @@ def classify(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted``. Fold 0 is held out, fold 1 calibrates, the rest fits."""
+    return _judged(docs, labels, doc_id, text, threshold).drop("key", "key2")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """The columns of :func:`classify`, with ``key, key2`` of the row."""
     stats = stage(text_statistics(docs, doc_id, text), "statistics")
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
     fold = fold_of()
@@ -186,13 +194,11 @@ def classify(
         "features", "label", (fold - 1).alias("fold"))
     model = fit(stage(rows, "labelled"))
     return score_texts(stats, model).select(
-        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        "key", "key2", "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` predicts to be good; a row without an id stays."""
-    scored = classify(docs, labels, doc_id, text, threshold)
-    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+    """The rows of ``docs`` that :func:`classify` predicts to be good, each judged by its own text."""
+    return without(docs, _judged(docs, labels, doc_id, text, threshold).where("predicted = 0"), row_key(doc_id, text))

@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stringloom.llm.common import arrow_rows, stage
+from stringloom.llm.common import arrow_rows, row_key, stage, without
 from stringloom.llm.components import connected_components
+from stringloom.operators.skew import count_keys, hot_keys, spread_join
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 # A bucket of more rows is cut into tiles; each pair of tiles is a task group of its own.
@@ -43,15 +44,16 @@ def text_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long), one row per row of ``docs``."""
+    """``doc_id, key, key2, fp`` (the 64 bits as a signed long), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in arrow_rows(batches, "text"):
             fps = np.array([text_fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps)], ["doc_id", "key", "key2", "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, key2 bigint, fp bigint")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -145,17 +147,48 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per row of ``docs``."""
-    prints = stage(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = connected_components(link_fingerprints(reps.where("rep is not null"), radius))
-    tops = reps.join(groups, reps["rep"] == groups["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(tops, "fp").select(
+    return _grouped(docs, doc_id, text, shingle, radius).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _grouped(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """``doc_id, key, key2, fp, component, component_id``: the smallest fingerprint and the smallest id of the group.
+
+    Fingerprints link by themselves, so those of rows without an id join chains too, and rows that
+    share an id are not joined by it.
+    """
+    prints = stage(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    groups = connected_components(link_fingerprints(reps.select("fp", F.col("fp").alias("rep")), radius))
+    linked = stage(reps.join(groups, reps["fp"] == groups["node"]).select("fp", "rep", "component"), "linked")
+    tops = linked.groupBy("component").agg(F.min("rep").alias("top"))
+    hot = hot_keys(count_keys(linked, ["component"]), ["component"])
+    named = spread_join(linked.select("fp", "component"), tops, ["component"], ["fp"], hot)
+    # Written, so that the join with the prints has a shuffle of its own, in which a hot fingerprint is split.
+    names = stage(reps.join(named, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"),
+        F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("top")).alias("component_id")), "names")
+    return prints.join(names, "fp")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group; a row without an id stays."""
-    found = near_duplicates(docs, doc_id, text)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """One row of each group of ``docs``, with the smallest ``doc_id``; a row without an id stays.
+
+    Of different texts under the smallest id one stays, chosen by a hash. Of rows that agree in id and
+    text, with or without an id, one stays, the first by its JSON form.
+    """
+    keys = row_key(doc_id, text)
+    found = stage(_grouped(docs, doc_id, text).select("doc_id", "key", "key2", "component"), "groups")
+    named = found.where("doc_id is not null")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "key", "key2")).alias("first")).select("first.key", "first.key2")
+    rows = stage(found.groupBy("key", "key2").agg(
+        F.count(F.lit(1)).alias("n"), F.first("doc_id").isNull().alias("nameless")), "rows")
+    gone = rows.where("not nameless").join(first, ["key", "key2"], "left_anti").select("key", "key2")
+    twins = rows.where("n > 1").select("key", "key2")
+    single = without(docs, gone.unionByName(twins), keys)
+    # The row travels as one struct, so a column of ``docs`` may have any name.
+    several = docs.select(F.struct("*").alias("_row"), *keys).join(twins, ["key", "key2"]).join(gone, ["key", "key2"], "left_anti")
+    several = several.groupBy("key", "key2").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return single.unionByName(several.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))

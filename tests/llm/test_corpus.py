@@ -260,6 +260,20 @@ def test_merged_ranges():
     assert [len(run) for run in warc.merged(rows)] == [2, 1, 1]
 
 
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+    rows = [(None, "a b c", "s"), (None, "fine", "s"), (1, "a b c", "s"), (1, "fine", "s"), (2, None, "s"), (None, None, "s")]
+    stay = sorted([(i, t) for i, t, _ in rows if t != "a b c"], key=repr)
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    clean = decontaminate.keep_clean(table(spark, rows), items)
+    assert sorted([(r["doc_id"], r["text"]) for r in clean.collect()], key=repr) == stay
+    waves = np.zeros((len(quality.FEATURES), 1))
+    waves[0] = 10  # the score falls with the size: only the text of five bytes is bad
+    model = quality.QualityModel(waves=waves, weights=np.array([1.0, 0.0]), steps=(np.array([0.2, 0.21]), np.array([0.0, 1.0])))
+    monkeypatch.setattr(quality, "fit", lambda rows: model)
+    good = quality.keep_good(table(spark, rows), spark.createDataFrame([], "doc_id long, quality int"))
+    assert sorted([(r["doc_id"], r["text"]) for r in good.collect()], key=repr) == stay
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]

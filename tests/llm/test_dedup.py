@@ -144,6 +144,17 @@ def test_simhash(spark):
     assert kept == {d for d, _, top in want if d is None or d == top}
 
 
+def test_odd_rows_of_near_copies(spark, monkeypatch):
+    chain = {"a": 0, "b": 0b1111, "c": 0b11111111}  # b is 4 bits from both others, which are 8 apart
+    far = {"x": 0xFFFFFFFF, "y": 0xFFFF << 48, "z": 0xFFFFFF << 20}
+    monkeypatch.setattr(simhash, "text_fingerprint", lambda t, n=4, f=chain | far: f[t.decode()])
+    docs = [(1, "a"), (None, "b"), (2, "c"), (3, "x"), (3, "x"), (4, "x"), (5, "y"), (5, "z"), (None, "b")]
+    found = {(r["doc_id"], r["fingerprint"][-2:], r["component_id"]) for r in simhash.near_duplicates(table(spark, docs)).collect()}
+    assert {(1, "00", 1), (None, "0f", 1), (2, "ff", 1)} <= found
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(table(spark, docs)).collect()]
+    assert plain(kept) == plain([(1, "a"), (None, "b"), (3, "x"), (5, "y"), (5, "z")])
+
+
 def test_hot_bucket_is_tiled(spark):
     """All fingerprints lie within a few bits of each other, so every table has one bucket of all rows."""
     draw = random.Random(8)
