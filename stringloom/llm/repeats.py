@@ -1,4 +1,4 @@
-"""Remove the byte strings that an earlier document has, by prefix doubling over sampled suffixes.
+"""Remove the byte strings that an earlier document has, by three rounds of hashes at sampled suffixes.
 
 Every window of ``length`` bytes lies on one sampled suffix: the place of its smallest hashed prefix of
 about half that length, leftmost on ties. Names of prefixes grow round by round, and each round sorts
