@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stringloom.llm import chat, decontaminate, embeddings, lines, mixing, quality, repeats, simhash, tokens, warc
+from stringloom.llm import (
+    alignment, chat, decontaminate, embeddings, lines, merkle, mixing, pii, quality, repeats, simhash, tokens, warc)
 from stringloom.llm.common import read_table
 
 
@@ -55,9 +56,26 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    manifest = merkle.build_manifest(docs, altered=F.when(even, F.replace("text", F.lit("\n"), F.lit(""))))
+    return merkle.verify(manifest)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffixes, op2_decontaminate, op3_quality, op4_warc, op5_chat, op6_tokens, op7_embeddings, op8_simhash, op9_mixing,
-    op10_lines)}
+    op10_lines, op11_manifest, op12_pii, op13_alignment)}
 
 ORACLES: dict[str, str] = {}
 
