@@ -4,6 +4,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.staging import stage
+
 # A key above this many rows is split over several tasks.
 HOT_ROWS = 1_000_000
 # A key with at most this part of all rows is never split, so that fewer than this many keys are.
@@ -86,3 +88,24 @@ def running_sum(
         .withColumn(name, F.col("_offset") + F.sum("_amount").over(inside))
         .drop("_block", "_amount", "_offset")
     )
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], amounts: dict[str, Column]) -> DataFrame:
+    """Running sums over the whole table in ``order``, each row's own amount included, one column per name.
+
+    The rows are dealt out by ranges of ``order`` and written, so that the layout stands. One total per
+    range and sum is added up over all; the rest happens inside a range. ``order`` should be unique.
+    """
+    order = list(order)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = df.withColumns({f"_{name}": amount for name, amount in amounts.items()})
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = stage(dealt.withColumns(
+        {"_range": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    inside = Window.partitionBy("_range").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = dealt.groupBy("_range").agg(*[F.sum(f"_{name}").alias(f"_before_{name}") for name in amounts]).select(
+        "_range", *[F.coalesce(F.sum(f"_before_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in amounts])
+    return dealt.join(F.broadcast(offsets), "_range").withColumns({
+        name: F.col(f"_before_{name}") + F.sum(f"_{name}").over(inside) for name in amounts
+    }).drop("_range", "_seq", *[f"_{name}" for name in amounts], *[f"_before_{name}" for name in amounts])

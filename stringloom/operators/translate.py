@@ -15,6 +15,7 @@ from .skew import HOT_ROWS, count_keys, hot_keys, running_sum, spread_join
 
 # What a translator raises through a mistake in its code, not because it refuses a text.
 PROGRAM_ERRORS = (NameError, AttributeError, TypeError, ImportError)
+_PAIR = ["english", "lang"]
 
 
 def select_langs(langs: DataFrame, choice: str, numbers: list[int] | None = None) -> DataFrame:
@@ -54,51 +55,65 @@ def translate_texts(
 ) -> DataFrame:
     """english, lang, text, error: every distinct text of the work list, sent once to a translator.
 
-    Batches run on the executors. ``translate`` gets a frame (english, lang) and returns it with
+    Batches run on the executors, ``tasks`` at a time (by default as many as the session has cores).
+    ``translate`` gets a frame (english, lang) and returns it with
     ``text``, in any order. A failing batch is cut in halves until the texts that fail stand alone, so
     a text is sent at least once, and the others of its batch about log2(batch) times more. A text
     that fails, gets no answer or gets several keeps its row, without a translation and with the
     error; answers to texts that were not sent are ignored. Errors that point at a fault in the
-    translator's code (``PROGRAM_ERRORS``) end the job. Stage the result, so that nothing is sent twice.
-    ``tasks`` sets how many tasks call the translator at a time, for one that is slow to answer.
+    translator's code (``PROGRAM_ERRORS``) end the job. Stage the result, so that nothing is sent twice;
+    ``ledger.translate_within_quota`` also outlives a run that is ended midway.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _answered(translate, batch)
+            yield answer_batch(translate, batch)
 
-    distinct = work.select("english", "lang").distinct()
-    if tasks:
-        distinct = distinct.repartition(tasks)
+    tasks = tasks or work.sparkSession.sparkContext.defaultParallelism
+    distinct = work.select("english", "lang").distinct().repartition(tasks, "english", "lang")
     return distinct.mapInPandas(run, "english string, lang string, text string, error string")
 
 
-def _answered(translate: Callable[[pd.DataFrame], pd.DataFrame], batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    try:
-        answer = translate(batch.copy())
-    except PROGRAM_ERRORS:
-        raise
-    except Exception as error:
-        if len(batch) == 1:
-            yield batch.assign(text=None, error=f"{type(error).__name__}: {error}")
-            return
-        half = len(batch) // 2
-        for part in (batch.iloc[:half], batch.iloc[half:]):
-            yield from _answered(translate, part)
-        return
-    yield _matched(batch, answer)
-
-
-def _matched(batch: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-    """The rows of the batch, each with its one answer or with the reason why it has none."""
-    pair = ["english", "lang"]
-    several = answer.duplicated(pair, keep=False)
-    told = batch.merge(answer.loc[~several, [*pair, "text"]], "left", pair, indicator="_once")
-    told = told.merge(answer.loc[several, pair].drop_duplicates(), "left", pair, indicator="_several")
-    error = pd.Series(None, told.index, dtype=object)
-    error[told["_once"] != "both"] = "no answer"
-    error[told["_several"] == "both"] = "several answers"
-    return told.assign(error=error)[[*pair, "text", "error"]]
+def answer_batch(translate: Callable[[pd.DataFrame], pd.DataFrame], batch: pd.DataFrame) -> pd.DataFrame:
+    """The rows of the batch with ``text`` and ``error``, sent at once or in halves.
+
+    All calls are made first; their answers are matched to what each call asked once per batch.
+    """
+    calls: list[pd.DataFrame] = []
+    answers: list[pd.DataFrame] = []
+    waiting = [batch]
+    while waiting:
+        part = waiting.pop()
+        try:
+            answer = translate(part.copy())
+        except PROGRAM_ERRORS:
+            raise
+        except Exception as error:
+            if len(part) > 1:
+                half = len(part) // 2
+                waiting += [part.iloc[half:], part.iloc[:half]]
+                continue
+            calls.append(part.assign(error=f"{type(error).__name__}: {error}"))
+            continue
+        answers.append(answer[[*_PAIR, "text"]].assign(_call=len(calls)))
+        calls.append(part)
+    sent = pd.concat([part.assign(_call=i) for i, part in enumerate(calls)]) if calls else batch.assign(_call=0)
+    return match_answers(sent, pd.concat(answers) if answers else sent.iloc[:0].assign(text=None))
+
+
+def match_answers(sent: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """``sent`` (english, lang, _call and maybe error), each row with the one answer that its call gave to it,
+    or with the reason why it has none."""
+    key = [*_PAIR, "_call"]
+    several = answers.duplicated(key, keep=False)
+    told = sent.reset_index(drop=True).merge(answers.loc[~several, [*key, "text"]], "left", key)
+    error = told["error"].astype(object) if "error" in told else pd.Series(None, told.index, dtype=object)
+    error[told["text"].isna() & error.isna()] = "no answer"
+    if several.any():
+        twice = told.merge(answers.loc[several, key].drop_duplicates(), "left", key, indicator="_several")["_several"] == "both"
+        error[twice.to_numpy()] = "several answers"
+    text = told["text"].astype(object)
+    return told.assign(text=text.where(text.notna(), None), error=error.where(error.notna(), None))[[*_PAIR, "text", "error"]]
 
 
 def attach_texts(work: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

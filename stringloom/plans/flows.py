@@ -9,8 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed_values import LANGUAGE_CODES, LANGUAGE_NAMES
-from ..operators import bundles, catalog, extract, quality, rewrite, translate, translations
+from ..functions.fixed_values import FREE_QUOTA_CHARS, LANGUAGE_CODES, LANGUAGE_NAMES
+from ..operators import bundles, catalog, extract, ledger as ledgers, quality, rewrite, translate, translations
 from ..sinks import writers
 from ..sources import sheets
 from .staging import stage
@@ -124,45 +124,54 @@ def apply_rewrite(
 
 
 def translate_rows(
-    rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None
+    rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
+    ledger: str | None = None, quota: int = FREE_QUOTA_CHARS,
 ) -> DataFrame:
     """Rows (sheet, row_no, english, translations) with texts from the memory, then the translator.
 
-    A text that nobody could translate leaves its cell as it was.
+    A text that nobody could translate leaves its cell as it was. With a ``ledger`` folder the translator
+    stops at the quota, and a run that was ended goes on where it stopped.
     """
-    return translate.apply_translations(rows, _fill(rows, langs, memory, translator))
+    return translate.apply_translations(rows, _fill(rows, langs, memory, translator, ledger, quota))
 
 
 def translate_sheets(
     files: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
     header_row: int = 2, first: int = 4, last: int | None = None, dialect: str = "escaped",
-    blank: str = "trim",
+    blank: str = "trim", ledger: str | None = None, quota: int = FREE_QUOTA_CHARS,
 ) -> DataFrame:
     """Lines (sheet, row_no, line) of the sheets with the data rows of a range translated.
 
-    ``blank`` says which lines do not count, as in ``sheet_rows``."""
+    ``blank`` says which lines do not count, as in ``sheet_rows``; ``ledger`` and ``quota`` as in ``translate_rows``."""
     start = sheets.effective_data_start(header_row, first)
     texts = translate.sheet_texts(sheets.sheet_rows(files, blank), start, last, dialect)
-    return translate.write_back(files, _fill(texts, langs, memory, translator), header_row, dialect, blank)
+    filled = _fill(texts, langs, memory, translator, ledger, quota)
+    return translate.write_back(files, filled, header_row, dialect, blank)
 
 
 def translate_lines(
     rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None = None,
     header_row: int = 2, first: int = 4, last: int | None = None, dialect: str = "escaped",
+    ledger: str | None = None, quota: int = FREE_QUOTA_CHARS,
 ) -> DataFrame:
     """``translate_sheets`` for the lines of sheets of any size, as ``read_sheet_lines`` gives them."""
     rows = stage(rows, "lines")
     texts = translate.sheet_texts(rows, sheets.effective_data_start(header_row, first), last, dialect)
-    return translate.write_back_lines(rows, _fill(texts, langs, memory, translator), header_row, dialect)
+    return translate.write_back_lines(rows, _fill(texts, langs, memory, translator, ledger, quota), header_row, dialect)
 
 
-def _fill(rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None) -> DataFrame:
+def _fill(
+    rows: DataFrame, langs: list[str], memory: DataFrame, translator: Callable | None, ledger: str | None, quota: int,
+) -> DataFrame:
     """sheet, row_no, english, lang, text for every row and target language."""
     work = stage(translate.translation_work(rows.select("sheet", "row_no", "english"), langs), "work")
     known = stage(translate.translate_tm(work, memory), "known")
     if translator is None:
         return known
     rest = known.where(F.col("text").isNull()).drop("text")
-    texts = stage(translate.translate_texts(rest, translator), "texts")
-    new = translate.attach_texts(rest, texts).drop("error")
+    if ledger is None:
+        texts = translate.translate_texts(rest, translator)
+    else:
+        texts = ledgers.translate_within_quota(rest, translator, ledger, quota)
+    new = translate.attach_texts(rest, stage(texts.select("english", "lang", "text"), "texts"))
     return known.where(F.col("text").isNotNull()).unionByName(new)

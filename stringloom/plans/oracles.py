@@ -539,6 +539,25 @@ oracle("quota_running", ["english"], f"""
   from (select sheet, row_no, english, cast(sum({_utf16('english')} * 2) over (partition by sheet order by row_no) as bigint) as used
         from english where english <> '' and not contains(english, 'ring'))""")
 ORACLES["write_back_lines"] = ORACLES["write_back"]
+_FIRST_TEXTS = f"""
+  select english, lang, sheet, row_no, cast({_utf16('english')} as bigint) as units,
+    sum({_utf16('english')}) over (order by sheet, row_no, english, lang) as running,
+    row_number() over (order by sheet, row_no, english, lang) as place
+  from (select *, row_number() over (partition by english, lang order by sheet, row_no) as nth from work) where nth = 1"""
+oracle("admit_texts", ["work"], f"""
+  select english, lang, sheet, row_no, units, cast(running as bigint) as used, place, running <= {QUOTA} as admitted
+  from ({_FIRST_TEXTS})""")
+# The second run starts at what the first one was answered, behind the texts that the first one sent.
+oracle("translate_quota", ["work"], f"""
+  select english, lang,
+    case when sent and not refused then lang || ' ' || upper(english) end as text,
+    case when sent and refused then 'ValueError: refused' end as error,
+    case when not sent then 'over quota' when refused then 'refused' else 'answered' end as state
+  from (select *, running <= {QUOTA // 2} or running - half + paid <= {QUOTA} as sent
+        from (select *, contains(english, 'ring') as refused,
+                coalesce(sum(units) filter (where running <= {QUOTA // 2}) over (), 0) as half,
+                coalesce(sum(units) filter (where running <= {QUOTA // 2} and not contains(english, 'ring')) over (), 0) as paid
+              from ({_FIRST_TEXTS})))""")
 
 # --- streaming: the same strings as a batch over the source files of all parts ---------
 ORACLES["stream_extract"] = ORACLES["unique_strings"].replace(view_sql("code_files"), view_sql("part_files"))

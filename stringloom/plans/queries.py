@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
-from ..operators import bundles, catalog, extract, quality, rewrite, translate, translations
+from ..operators import bundles, catalog, extract, ledger, quality, rewrite, translate, translations
 from ..sinks import writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
 from ..streaming import extract_stream
@@ -624,6 +624,20 @@ def quota_running(spark, sf):
     return translate.quota_running(translate_fn(spark, sf), 500, block=64)
 
 
+@query
+def admit_texts(spark, sf):
+    """The distinct texts in the order of their rows, and which of them a quota admits."""
+    return ledger.admit_texts(ledger.texts_in_order(_work(spark, sf)), QUOTA)
+
+
+@query
+def translate_quota(spark, sf):
+    """A run that stops at half the quota, and one with the same ledger that goes on up to the quota."""
+    work, folder = stage(_work(spark, sf), "work"), f"{staging_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.translate_within_quota(work, _translator(), folder, QUOTA // 2)
+    return ledger.translate_within_quota(work, _translator(), folder, QUOTA).drop("units")
+
+
 # --- streaming -----------------------------------------------------------------------
 
 

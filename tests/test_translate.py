@@ -47,7 +47,7 @@ def test_failing_batches_are_halved():
         return frame.assign(text=frame["english"].str.upper()).iloc[::-1]
 
     batch = pd.DataFrame({"english": [f"t{i}" for i in range(64)], "lang": "app_fr"})
-    got = pd.concat(translate._answered(translator, batch))
+    got = translate.answer_batch(translator, batch)
     assert list(got["english"]) == list(batch["english"])
     assert list(got.loc[got["error"].notna(), "english"]) == ["t5"]
     assert all(got["text"].dropna() == got.loc[got["english"] != "t5", "english"].str.upper())
