@@ -50,6 +50,13 @@ concat_ws(chr(10),
   cast(s_suppkey as string) || '_am,Morning,,,',
   '')
 '''
+# Quoted line breaks, also beside blank lines, doubled quotes and commas, and a quote left open in some sheets.
+BREAK_CONTENT = '''
+concat_ws(chr(10), ',1,2', ',app_en,app_fr', 'Key,ENGLISH - en,French - fr', '',
+  'address,"' || s_name || chr(10) || chr(10) || cast(s_nationkey as string) || '","un' || chr(10) || ' deux"',
+  '  ', 'said,"""' || s_name || '""' || chr(10) || '","a, b"', 'plain,' || cast(s_suppkey as string) || ',x',
+  case when s_suppkey % 4 = 0 then 'open,"left ' || s_name else 'last,"' || chr(10) || '",' end, 'end,"a""b",c')
+'''
 LONG_VALUE = """
 case when ord = 5 or (p_partkey + ord * 3) % 4 = 0 then ''
      else lang || ':' || p_name || ' ' || cast(p_partkey % 3 as string) end
@@ -134,6 +141,7 @@ _SQL_VIEWS = {
     "page_files": "select 'web/page_' || cast(page_id as string) || '.dart' as path, html as content from {pages}",
     "document_files": "select 'docs/doc_' || cast(doc_id as string) || '.dart' as path, text as content from {documents}",
     "sheet_files": f"select 'sheets/' || cast(s_suppkey as string) || '.csv' as path, {SHEET_CONTENT} as content from {{supplier}}",
+    "break_files": f"select 'sheets/' || cast(s_suppkey as string) || '.csv' as path, {BREAK_CONTENT} as content from {{supplier}}",
     "arb_files": f"select {BUNDLE_PATH} || '.arb' as path, {ARB_CONTENT} as content from {{customer}}",
     "json_files": f"select {BUNDLE_PATH} || '.json' as path, {JSON_CONTENT} as content from {{customer}}",
     "getx_files": f"select {BUNDLE_PATH} || '.dart' as path, {GETX_CONTENT} as content from {{customer}}",

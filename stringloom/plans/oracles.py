@@ -153,6 +153,7 @@ _CTES = {
              c.english as old_english, s.value as new_english, first_path, first_pattern, first_match, c.ord, c.app_fr
       from strings s full join catalog c on s.key = c.key""",
     "sheet_files": view_sql("sheet_files"),
+    "break_files": view_sql("break_files"),
     "rows": _ROWS,
     "cells": _CELLS,
     "slots": f"""
@@ -337,6 +338,17 @@ ORACLES["preview_sheet"] = _with(["cells"], "select path, row_no, " + ", ".join(
 ) + " from cells where row_no <= 5 group by path, row_no")
 oracle("unpivot_sheet", ["unpivoted"], "select * from unpivoted where value <> ''")
 ORACLES["unpivot_lines"] = ORACLES["unpivot_sheet"]
+_RECORDS = f"""
+  select path, cast(i as int) as row_no, lines[i] as line
+  from (select path, lines, unnest(range(1, len(lines) + 1)) as i
+        from (select path, list_filter(regexp_extract_all({_NL} || content, '\\n((?:[^"\\n]|"[^"]*(?:"|$))*)', 1), lambda x: {_trim('x')} <> '') as lines
+              from break_files))"""
+oracle("sheet_records", ["break_files"], _RECORDS)
+# A file ends with a line break; a quote left open takes it in.
+oracle("sheet_records_scan", ["break_files"], f"""
+  select cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as sheet, row_no, line from ({_RECORDS})""")
+oracle("catalog_roundtrip", ["merged"], f"""
+  select key, {_trim("english || chr(10) || '\"' || key || '\",' || chr(10) || chr(10) || 'end'")} as english, coalesce({_trim("app_fr")}, '') as app_fr from merged""")
 oracle("last_value_per_key", ["values_"], "select * from values_")
 oracle("active_langs", ["active"], "select * from active")
 oracle("keys_per_language", ["long"], """

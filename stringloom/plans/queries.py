@@ -473,6 +473,18 @@ def render_catalog_csv(spark, sf):
     return writers.render_catalog_csv(merged)
 
 
+@query
+def catalog_roundtrip(spark, sf):
+    """A catalog with line breaks in its texts, written and read back from its part files."""
+    merged = catalog.smart_merge(_strings(spark, sf), _catalog(spark, sf))
+    broken = F.concat("english", F.lit('\n"'), "key", F.lit('",\n\nend'))
+    folder = f"{staging_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    writers.write_catalog_csv(merged.withColumn("english", broken), folder)
+    rows = sheets.read_sheet_lines(spark, folder, quoted_breaks=True, by="folder")
+    return sheets.read_catalog_lines(stage(rows, "lines")).select(
+        "key", "english", F.try_element_at("translations", F.lit("app_fr")).alias("app_fr"))
+
+
 @query
 def render_catalog_json(spark, sf):
     return writers.render_catalog_json(stage(_strings(spark, sf), "strings"))
@@ -583,6 +595,21 @@ def translate_rows(spark, sf):
         "sheet", "row_no", "english", *[F.try_element_at("translations", F.lit(t)).alias(t) for t in TARGETS])
 
 
+@query
+def sheet_records(spark, sf):
+    """Rows of sheets with line breaks inside quotes."""
+    return sheets.sheet_rows(view(spark, sf, "break_files"), quoted_breaks=True)
+
+
+@query
+def sheet_records_scan(spark, sf):
+    """The same rows from files that are read by splits."""
+    folder = f"{staging_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    view(spark, sf, "break_files").select(F.col("path").alias("sheet"), "content").write.partitionBy("sheet").text(folder)
+    rows = sheets.read_sheet_lines(spark, folder, quoted_breaks=True, by="folder")
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]csv$", 1).cast("long").alias("sheet"), "row_no", "line")
+
+
 @query
 def sheet_texts(spark, sf):
     return translate.sheet_texts(_rows(spark, sf))

@@ -5,13 +5,17 @@ others. Numbering, splitting and header lookup happen inside the row of the shee
 shuffle. A sheet too large for one row is read with ``read_sheet_lines`` instead.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fields import has_language_codes, split_fields
 from ..functions.text import TRIM_CHARS, is_blank, make_key, preview_cell, utrim
-from ..operators.skew import running_sum
+from ..operators.skew import HOT_ROWS, count_keys, hot_keys, running_sum, spread_join
 from .files import decode_text
 
+# A line break outside quotes, and what stands up to the next one; a quote left open reaches to the end.
+_RECORD = r'\n((?:[^"\n]++|"[^"]*+(?:"|\z))*+)'
+# Lines of a row with quoted line breaks. More of them say that a quote was left open.
+RECORD_LINES = 1_000
 
 
 def effective_data_start(header_row: int, data_start: int) -> int:
@@ -19,30 +23,109 @@ def effective_data_start(header_row: int, data_start: int) -> int:
     return data_start if data_start > header_row else header_row + 1
 
 
-def sheet_rows(files: DataFrame, blank: str = "trim") -> DataFrame:
-    """path, row_no, line. ``blank="empty"`` drops only lines without any character."""
-    return files.select("path", F.posexplode(sheet_lines(blank)).alias("_pos", "line")).select(
+def sheet_rows(files: DataFrame, blank: str = "trim", quoted_breaks: bool = False) -> DataFrame:
+    """path, row_no, line. ``blank="empty"`` drops only lines without any character; ``quoted_breaks``
+    keeps line breaks inside quotes in their row."""
+    return files.select("path", F.posexplode(sheet_lines(blank, quoted_breaks)).alias("_pos", "line")).select(
         "path", (F.col("_pos") + 1).alias("row_no"), "line"
     )
 
 
-def read_sheet_lines(spark: SparkSession, path: str, blank: str = "trim") -> DataFrame:
+def read_sheet_lines(
+    spark: SparkSession, path: str, blank: str = "trim", quoted_breaks: bool = False, by: str = "file",
+    record_lines: int = RECORD_LINES,
+) -> DataFrame:
     """The rows of sheets of any size: path, row_no, line, numbered as ``sheet_rows`` does.
 
     The text source splits a large file over tasks. Rows are counted per split, the counts give each
-    split its offset, and rows are numbered inside their split.
+    split its offset, and rows are numbered inside their split. With ``by="folder"`` the part files of a
+    folder, in name order, are one sheet, named by the folder.
+
+    With ``quoted_breaks`` a line break inside quotes belongs to its row; ``sheet_rows`` has the same
+    option. A sheet where a row would have more than ``record_lines`` lines has a quote left open: it is
+    read line by line, and ``open_quotes`` lists it.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
+    lines = _split_lines(spark, path, by)
+    if not quoted_breaks:
+        return _number_lines(lines.where(_counts(blank, F.col("line"))))
+    records = _records(lines, blank)
+    open_sheets = _too_long(records, record_lines)
+    closed = _join_records(records.join(open_sheets, "path", "left_anti"))
+    plain = lines.join(open_sheets, "path", "left_semi").where(_counts(blank, F.col("line")))
+    return closed.unionByName(_number_lines(plain))
+
+
+def open_quotes(
+    spark: SparkSession, path: str, blank: str = "trim", by: str = "file", record_lines: int = RECORD_LINES
+) -> DataFrame:
+    """Sheets that ``read_sheet_lines(quoted_breaks=True)`` reads line by line: path and problem."""
+    found = _too_long(_records(_split_lines(spark, path, by), blank), record_lines)
+    return found.withColumn("problem", F.lit("a quote is left open"))
+
+
+def _split_lines(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """path, _split, _seq, line: lines with the split that they begin in and their place in it."""
+    if by not in ("file", "folder"):
+        raise ValueError(f"unknown sheet: {by}")
+    file = F.col("_metadata.file_path")
+    # Longer names of parts come later, so that part 100000 follows part 99999.
+    return spark.read.option("lineSep", "\n").text(path).select(
+        (file if by == "file" else F.regexp_replace(file, "/[^/]*$", "")).alias("path"),
+        F.struct(F.length(file).alias("length"), file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"),
         F.monotonically_increasing_id().alias("_seq"),
         decode_text(F.col("value").cast("binary")).alias("line"),
-    ).where(_counts(blank, F.col("line")))
+    )
+
+
+def _number_lines(lines: DataFrame) -> DataFrame:
     return running_sum(lines, ["path"], F.col("_split"), "_seq", F.lit(1), "row_no").select(
         "path", F.col("row_no").cast("int").alias("row_no"), "line"
     )
 
 
+def _records(lines: DataFrame, blank: str) -> DataFrame:
+    """path, _split, _seq, line, row_no, _open: every line with the number of its row.
+
+    Whether a line begins inside quotes depends on all before it. Each split says how many quotes it has
+    and, for both states that it may begin in, how many rows begin in it; running over the splits, that
+    gives every split its state and its offset. ``_open`` says that the row goes on or went on.
+    """
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
+    inside = Window.partitionBy("path", "_split").orderBy("_seq")
+    local = lines.withColumn("_odd", F.pmod(quotes, F.lit(2))).withColumn(
+        "_local", F.pmod(F.coalesce(F.sum("_odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2)))
+    counts = _counts(blank, F.col("line"))
+    splits = local.groupBy("path", "_split").agg(
+        F.sum("_odd").alias("_flips"), F.count_if(counts & (F.col("_local") == 0)).alias("_rows0"),
+        F.count_if(counts & (F.col("_local") == 1)).alias("_rows1"))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_state", F.pmod(F.coalesce(F.sum("_flips").over(before), F.lit(0)), F.lit(2)))
+    begun = F.when(F.col("_state") == 0, F.col("_rows0")).otherwise(F.col("_rows1"))
+    splits = splits.withColumn("_offset", F.coalesce(F.sum(begun).over(before), F.lit(0))).select(
+        "path", "_split", "_state", "_offset")
+    # Two states that differ are inside quotes; a line that is not blank begins a row outside.
+    placed = local.join(splits, ["path", "_split"]).withColumn("_within", F.col("_local") != F.col("_state"))
+    starts = (~F.col("_within") & counts).cast("int")
+    row = F.col("_offset") + F.sum(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = placed.withColumn("row_no", row.cast("int")).where(F.col("_within") | counts)
+    return numbered.select(
+        "path", "_split", "_seq", "line", "row_no", (F.col("_within") | (F.col("_odd") == 1)).alias("_open"))
+
+
+def _too_long(records: DataFrame, record_lines: int) -> DataFrame:
+    """path of the sheets that have a row of too many lines."""
+    return records.where("_open").groupBy("path", "row_no").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > record_lines).select("path").distinct()
+
+
+def _join_records(records: DataFrame) -> DataFrame:
+    """path, row_no, line; only rows of several lines, of a bounded number each, are shuffled."""
+    parts = F.array_sort(F.collect_list(F.struct("_split", "_seq", "line")))
+    several = records.where("_open").groupBy("path", "row_no").agg(
+        F.array_join(F.transform(parts, lambda part: part["line"]), "\n").alias("line"))
+    return records.where(~F.col("_open")).select("path", "row_no", "line").unionByName(several)
+
+
 def sheet_cells(rows: DataFrame, dialect: str = "escaped") -> DataFrame:
     """path, row_no, col_no (from 0), value."""
     return rows.select(
@@ -97,7 +180,7 @@ def sheet_keys(rows: DataFrame, data_start: int = 4) -> DataFrame:
     return keyed.withColumn("key", make_key("raw_key"))
 
 
-def read_catalog(files: DataFrame) -> DataFrame:
+def read_catalog(files: DataFrame, quoted_breaks: bool = False) -> DataFrame:
     """Existing catalogs: path, key, english, translations, ord; the last row of a key wins.
 
     Readable keys come back in the form that merges join on.
@@ -105,18 +188,33 @@ def read_catalog(files: DataFrame) -> DataFrame:
     Three header rows (codes in the second), data from the fourth; fewer than four rows is no
     catalog. A catalog without language codes raises an error instead of passing for an empty one.
     """
-    lines = files.select("path", sheet_lines().alias("_lines"))
+    lines = files.select("path", sheet_lines(quoted_breaks=quoted_breaks).alias("_lines"))
     is_catalog = F.size("_lines") >= 4
-    raw = F.filter(F.split(F.get("_lines", F.lit(1)), ","), lambda c: ~is_blank(c))
-    codes = F.when(~is_catalog, F.array().cast("array<string>")).when(
-        F.size(raw) > 0, F.transform(F.slice(raw, 2, F.size(raw)), utrim)
-    ).otherwise(F.raise_error(F.concat(F.lit("no language codes in catalog "), F.col("path"))))
-    lines = lines.withColumn("_codes", codes)
-    lines = lines.withColumn("_repeated", F.size(F.array_distinct("_codes")) < F.size("_codes"))
-    rows = lines.select(
-        "path", "_codes", "_repeated",
-        F.posexplode(F.when(is_catalog, F.slice("_lines", 4, F.size("_lines")))).alias("ord", "_line"),
-    ).withColumn("_v", split_fields(F.col("_line")))
+    codes = F.when(is_catalog, _catalog_codes(F.get("_lines", F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    rows = lines.withColumn("_codes", codes).select(
+        "path", "_codes", F.posexplode(F.when(is_catalog, F.slice("_lines", 4, F.size("_lines")))).alias("ord", "line"))
+    return _catalog_rows(rows)
+
+
+def read_catalog_lines(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``read_catalog`` for line tables (path, row_no, line), for catalogs of any size."""
+    header = rows.where(F.col("row_no") == 2).select("path", _catalog_codes(F.col("line")).alias("_codes"))
+    data = rows.where(F.col("row_no") >= 4).select("path", (F.col("row_no") - 4).alias("ord"), "line")
+    hot = hot_keys(count_keys(data, ["path"]), ["path"], hot_rows)
+    return _catalog_rows(spread_join(data, header, ["path"], ["ord"], hot))
+
+
+def _catalog_codes(line: Column) -> Column:
+    """Codes of the languages after the English column; a catalog without any is an error."""
+    raw = F.filter(F.split(line, ","), lambda c: ~is_blank(c))
+    return F.when(F.size(raw) > 0, F.transform(F.slice(raw, 2, F.size(raw)), utrim)).otherwise(
+        F.raise_error(F.concat(F.lit("no language codes in catalog "), F.col("path"))))
+
+
+def _catalog_rows(rows: DataFrame) -> DataFrame:
+    """path, key, english, translations, ord of rows (path, _codes, ord, line)."""
+    rows = rows.withColumns({
+        "_v": split_fields(F.col("line")), "_repeated": F.size(F.array_distinct("_codes")) < F.size("_codes")})
     entries = F.filter(
         F.transform("_codes", lambda c, i: F.struct(c.alias("lang"), utrim(F.get("_v", i + 2)).alias("text"))),
         lambda e: e["text"].isNotNull(),
@@ -133,8 +231,15 @@ def read_catalog(files: DataFrame) -> DataFrame:
     ).select("path", "key", "_last.english", "_last.translations", "ord")
 
 
-def sheet_lines(blank: str = "trim") -> Column:
-    return F.filter(F.split(F.col("content"), "\n"), lambda line: _counts(blank, line))
+def sheet_lines(blank: str = "trim", quoted_breaks: bool = False) -> Column:
+    content = F.col("content")
+    lines = F.split(content, "\n")
+    if quoted_breaks:
+        records = F.regexp_extract_all(F.concat(F.lit("\n"), content), F.lit(_RECORD), 1)
+        breaks = lambda record: F.length(record) - F.length(F.replace(record, F.lit("\n")))
+        closed = ~F.exists(records, lambda record: breaks(record) >= RECORD_LINES)
+        lines = F.when(content.contains('"') & closed, records).otherwise(lines)
+    return F.filter(lines, lambda line: _counts(blank, line))
 
 
 def _counts(blank: str, line: Column) -> Column:

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import translations
+from stringloom.operators import catalog, translations
+from stringloom.sinks import writers
 from stringloom.sources import sheets
 
 SHEET = ''',1,2,3,4
@@ -113,3 +114,65 @@ def test_sheet_of_many_splits(spark, tmp_path):
             translations.unpivot_sheet(whole), "sheet", "row_no", "key", "ord", "lang", "value")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+BREAKS = (
+    ',1,2\n,app_en,app_fr\nKey,E,F\n\nk1,"a\n\nb","x ""y""\n"\n  \nk2,plain,"c, d"\nk3,"",é\n"k\n4",",\n,",""""\n\n\nk5,last,"\n\n\n"\n')
+
+
+def _cut(spark, folder, size, **options):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        name = F.regexp_extract("path", r"([^/]+)$", 1).alias("path")
+        return rows(sheets.read_sheet_lines(spark, folder, **options), name, "row_no", "line")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 11, 40, 1000])
+def test_quoted_breaks_cut_anywhere(spark, tmp_path, size):
+    """Splits that begin at every byte, inside quotes or not, give the rows of the whole sheet."""
+    texts = {"a.csv": BREAKS, "b.csv": BREAKS.replace('k5,last,"', 'k5,la"st,"'), "c.csv": "one\ntwo", "d.csv": '"'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    whole = spark.createDataFrame(list(texts.items()), "path string, content string")
+    for blank in ("trim", "empty"):
+        expected = rows(sheets.sheet_rows(whole, blank, quoted_breaks=True), "path", "row_no", "line")
+        got = _cut(spark, str(tmp_path), size, blank=blank, quoted_breaks=True)
+        # The text source does not give the break that ends a file, which only a quote left open would take in.
+        strip = lambda found: [(p, n, line.rstrip("\n") if p == "b.csv" else line) for p, n, line in found]
+        assert strip(got) == strip(expected)
+
+
+def test_a_quote_left_open(spark, tmp_path):
+    """A sheet whose row would be too long is read line by line and listed."""
+    (tmp_path / "bad.csv").write_text('a,"open\n' + "b,c\n" * 50)
+    (tmp_path / "good.csv").write_text('a,"x\ny"\nb,c\n')
+    got = sheets.read_sheet_lines(spark, str(tmp_path), quoted_breaks=True, record_lines=20)
+    name = F.regexp_extract("path", r"(\w+)\.csv$", 1).alias("path")
+    found = rows(got, name, "row_no", "line")
+    assert [r for r in found if r[0] == "good"] == [("good", 1, 'a,"x\ny"'), ("good", 2, "b,c")]
+    assert len([r for r in found if r[0] == "bad"]) == 51
+    assert rows(sheets.open_quotes(spark, str(tmp_path), record_lines=20), name, "problem") == [("bad", "a quote is left open")]
+
+
+def test_catalog_with_breaks_reads_back(spark, tmp_path):
+    """What the CSV writer makes of texts with line breaks is read back as it was, from parts cut anywhere."""
+    texts = ["one", "two\nlines", 'say "x",\n\n"y"', '"', "a,b", "\n", "end\n\n\n."]
+    strings = spark.createDataFrame(
+        [(f"key_{i}", t, "p", 1, i) for i, t in enumerate(texts)], "key string, value string, first_path string, first_pattern int, first_match int")
+    stored = spark.createDataFrame([("key_1", "", {"app_fr": 'deux\n"lignes"'}, 0)], "key string, english string, translations map<string,string>, ord int")
+    merged = catalog.smart_merge(strings, stored)
+    writers.write_catalog_csv(merged, str(tmp_path / "csv"), langs=["app_en", "app_fr"], names=["E", "F"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("4", "64", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = sheets.read_sheet_lines(spark, str(tmp_path / "csv"), quoted_breaks=True, by="folder")
+        got = {r["key"]: (r["english"], r["translations"].get("app_fr"), r["ord"]) for r in sheets.read_catalog_lines(lines, hot_rows=2).collect()}
+        assert got == {f"key_{i}": (t.strip(), 'deux\n"lignes"' if i == 1 else "", i) for i, t in enumerate(texts)}
+    whole = "".join(sorted(p.read_text() for p in (tmp_path / "csv").glob("part-*")))
+    read = sheets.read_catalog(spark.createDataFrame([("p", whole)], "path string, content string"), quoted_breaks=True)
+    assert {r["key"]: r["english"] for r in read.collect()} == {f"key_{i}": t.strip() for i, t in enumerate(texts)}
