@@ -7,13 +7,13 @@ through the driver.
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed_values import FREE_QUOTA_CHARS, LANGUAGE_CODES, LANGUAGE_NAMES
 from ..operators import bundles, catalog, extract, ledger as ledgers, quality, rewrite, translate, translations
-from ..sinks import writers
+from ..sinks import versions, writers
 from ..sources import sheets
-from .staging import stage
+from .staging import owned_tables, stage
 
 
 @dataclass
@@ -46,24 +46,41 @@ def export_strings(
     strings: DataFrame, stored: DataFrame | None, out: str, mode: str = "merge", version: str = "v2",
     langs: list[str] = LANGUAGE_CODES, names: list[str] = LANGUAGE_NAMES, snake_case_keys: bool = True,
 ) -> DataFrame:
-    """Merge unique strings (of a scan, or of a stream's store) with the stored catalog and write ``csv``
-    and ``json`` below the target folder.
+    """Merge unique strings (of a scan, or of a stream's store) with the stored catalog and make the result
+    the current version of the target folder, as ``csv``, ``json`` and ``merged`` (a table).
 
-    The result is staged before it replaces what the target holds, so ``stored`` may be read from
-    there. Stored languages that ``langs`` lacks become further columns, named by their codes.
-    Returns the counts.
+    ``merge`` takes its stored side from the current version if ``stored`` is not given. The former version
+    stays readable until the new one is complete, and stays current if the run ends before. Stored
+    languages that ``langs`` lacks become further columns, named by their codes. Returns the counts.
     """
-    strings = stage(strings, "strings")
-    merged, target = catalog.resolve_mode(strings, stored, mode, out, version)
-    merged = stage(merged, "merged")
-    extra = catalog.extra_languages(merged, langs)
-    langs, names = [*langs, *extra], [*names, *extra]
-    writers.write_catalog_csv(
-        merged, f"{target}/csv", replace=True, langs=langs, names=names, snake_case_keys=snake_case_keys)
-    writers.write_catalog_json(strings, f"{target}/json", replace=True)
+    spark = strings.sparkSession
+    with owned_tables(spark):
+        strings = stage(strings, "strings")
+        if stored is None and mode == "merge":
+            stored = read_version(spark, out)
+        merged, target = catalog.resolve_mode(strings, stored, mode, out, version)
+        draft = versions.begin(spark, target)
+        draft.write_table("merged", merged)
+        merged = spark.read.schema(merged.schema).parquet(draft.path("merged"))
+        extra = catalog.extra_languages(merged, langs)
+        langs, names = [*langs, *extra], [*names, *extra]
+        writers.write_catalog_csv(merged, draft.path("csv"), langs=langs, names=names, snake_case_keys=snake_case_keys)
+        draft.add("csv", draft.datasets["merged"]["rows"])
+        writers.write_catalog_json(strings, draft.path("json"))
+        draft.add("json", strings.count())
+        draft.commit()
     return catalog.merge_stats(merged)
 
 
+def read_version(spark: SparkSession, target: str) -> DataFrame | None:
+    """The catalog (key, english, translations, ord) in the CSV of a target's current version, if it has one."""
+    version = versions.current(spark, target)
+    if version is None:
+        return None
+    rows = sheets.read_sheet_lines(spark, version.path("csv"), quoted_breaks=True, by="folder")
+    return sheets.read_catalog_lines(stage(rows, "lines")).drop("path")
+
+
 def generate(long: DataFrame, fmt: str) -> Generated:
     """Bundles and reports of a long table. The long table is read twice: by key and by text."""
     keys = stage(quality.key_table(long), "keys")

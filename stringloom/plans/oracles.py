@@ -440,6 +440,8 @@ _HEADS = [
     ",".join(["Key", *LANGUAGE_NAMES]),
 ]
 _FR = LANGUAGE_CODES.index("app_fr")
+oracle("catalog_version", ["merged"], f"""
+  select key, {_trim("english")} as english, coalesce({_trim("app_fr")}, '') as app_fr from merged""")
 oracle("render_catalog_csv", ["merged"], f"""
   select case status when 'removed' then 2 else 1 end as section, first_path, first_pattern, cast(first_match as int) as first_match, ord,
          {_csv('key')} || ',' || {_csv('english')} || repeat(',', {_FR}) || {_csv("coalesce(app_fr, '')")}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import bundles, catalog, extract, ledger, quality, rewrite, translate, translations
-from ..sinks import writers
+from ..sinks import versions, writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
 from ..streaming import extract_stream
 from . import flows
@@ -490,6 +490,17 @@ def render_catalog_json(spark, sf):
     return writers.render_catalog_json(stage(_strings(spark, sf), "strings"))
 
 
+@query
+def catalog_version(spark, sf):
+    """The catalog in the current version of a target: made once, given up once, and merged once with itself."""
+    target = f"{staging_dir(spark)}/versions-{uuid.uuid4().hex}"
+    strings = stage(_strings(spark, sf), "strings")
+    flows.export_strings(strings, _catalog(spark, sf), target)
+    versions.begin(spark, target).write_table("merged", strings.limit(0))
+    flows.export_strings(strings, None, target)
+    return flows.read_version(spark, target).select("key", "english", F.try_element_at("translations", F.lit("app_fr")).alias("app_fr"))
+
+
 @query
 def catalog_summary(spark, sf):
     return catalog.catalog_summary(view(spark, sf, "catalog_files"))

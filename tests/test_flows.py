@@ -1,10 +1,12 @@
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from stringloom.operators import extract
 from stringloom.plans import flows, staging
+from stringloom.sinks import versions
 from stringloom.sources import bundles, files as file_sources, sheets
 from stringloom.streaming import extract_stream
 
@@ -21,19 +23,23 @@ def read_text(folder):
     return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
 
 
+def exported(spark, target, name):
+    return read_text(pathlib.Path(versions.current(spark, str(target)).path(name)))
+
+
 def test_extract_then_merge(spark, tmp_path):
     write(tmp_path / "lib", {"a.dart": 'Text("Select Image")\nText("Go Back?")', "l10n_x/b.dart": "title: 'New'", "x_intl.dart": "Text('no')"})
     files = file_sources.read_code_files(spark, str(tmp_path / "lib"))
     first = flows.export_catalog(files, None, str(tmp_path / "one"))
     assert tuple(first.first()) == (3, 0, 0, 3)
-    stored_text = read_text(tmp_path / "one/csv").replace("Go Back?", "Back", 1)
+    stored_text = exported(spark, tmp_path / "one", "csv").replace("Go Back?", "Back", 1)
     stored = sheets.read_catalog(spark.createDataFrame([("c", stored_text)], "path string, content string"))
     second = flows.export_catalog(files, stored, str(tmp_path / "two"))
     assert tuple(second.first()) == (0, 1, 2, 3)
-    assert "go_back,Back," in read_text(tmp_path / "two/csv")
-    assert json.loads(read_text(tmp_path / "two/json")) == {"select_image": "Select Image", "go_back": "Go Back?", "new": "New"}
+    assert "go_back,Back," in exported(spark, tmp_path / "two", "csv")
+    assert json.loads(exported(spark, tmp_path / "two", "json")) == {"select_image": "Select Image", "go_back": "Go Back?", "new": "New"}
     third = flows.export_catalog(files, stored, str(tmp_path / "two"), mode="version")
-    assert tuple(third.first()) == (3, 0, 0, 3) and (tmp_path / "two_v2/csv").is_dir()
+    assert tuple(third.first()) == (3, 0, 0, 3) and versions.current(spark, str(tmp_path / "two_v2")).number == 1
 
 
 @pytest.mark.parametrize("mode", ["merge", "overwrite", "version"])
@@ -46,10 +52,10 @@ def test_every_mode_twice_on_one_target(spark, tmp_path, mode):
         if mode == "merge" and out.exists():
             parts = F.array_sort(F.collect_list(F.struct("path", "content")))
             text_of = F.array_join(F.transform(parts, lambda f: f["content"]), "").alias("content")
-            parts_read = file_sources.read_text_files(spark, str(out / "csv"), "part-*")
+            parts_read = file_sources.read_text_files(spark, versions.current(spark, str(out)).path("csv"), "part-*")
             stored = sheets.read_catalog(parts_read.agg(F.lit("c").alias("path"), text_of))
         flows.export_catalog(files, stored, str(tmp_path / "out"), mode=mode)
-    written = read_text(out / "csv")
+    written = exported(spark, out, "csv")
     assert "go_back" in written and ("select_image" in written) == (mode == "merge")
 
 
@@ -57,7 +63,7 @@ def test_readable_keys_keep_their_translations(spark, tmp_path):
     write(tmp_path / "lib", {"a.dart": 'Text("Select Image")'})
     files = file_sources.read_code_files(spark, str(tmp_path / "lib"))
     flows.export_catalog(files, None, str(tmp_path / "one"), snake_case_keys=False)
-    text = read_text(tmp_path / "one/csv")
+    text = exported(spark, tmp_path / "one", "csv")
     assert "select image," in text
     stored = sheets.read_catalog(spark.createDataFrame([("c", text)], "path string, content string"))
     assert tuple(flows.export_catalog(files, stored, str(tmp_path / "two")).first()) == (0, 0, 1, 1)
@@ -69,7 +75,7 @@ def test_stored_languages_outside_the_list_are_kept(spark, tmp_path):
     text = ",1,2,3\n,app_en,app_pt_br,app_xx\nKey,E,P,X\nselect_image,Select Image,Escolher,\nold,Old,Velho,Xx\n"
     stored = sheets.read_catalog(spark.createDataFrame([("c", text)], "path string, content string"))
     flows.export_catalog(files, stored, str(tmp_path / "one"))
-    lines = read_text(tmp_path / "one/csv").splitlines()
+    lines = exported(spark, tmp_path / "one", "csv").splitlines()
     assert lines[1].endswith(",app_pt_br,app_xx") and lines[2].endswith(",app_pt_br,app_xx")
     assert len({line.count(",") for line in lines}) == 1
     again = spark.createDataFrame([("c", "\n".join(lines))], "path string, content string")
