@@ -22,13 +22,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,7 +40,8 @@ FRAME = 4096  # pairs that a merge holds of a run
 CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20  # what a worker remembers
 LEARN_WORDS = 32_768  # words that are joined and tokenized at a time
 _B_BITS, _A_BITS = 20, 20
-_BLANKS = re.compile(r"\s |^ | $")  # blanks that a word cannot be cut at without a look around
+# Blanks that a word cannot be cut at without a look around: white space before a space, and spaces at the ends.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ | $"
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -74,8 +74,8 @@ class Aligner:
                         for i, p in enumerate(pieces)]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.text_a = [str(i) for i in range(len(self.bytes_a))]
-        self.text_b = [str(i) for i in range(len(self.bytes_b))]
+        self.text_a = np.array([str(i) for i in range(len(self.bytes_a))], object)
+        self.text_b = np.array([str(i) for i in range(len(self.bytes_b))], object)
         self.known = Words()
         # Words may be taken one by one only if no merge of B can cross the space between them.
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -86,8 +86,6 @@ class Aligner:
         """The text cut before single spaces; other white space stays inside a word."""
         if not self.by_word:
             return [text]
-        if not _BLANKS.search(text):
-            return text.split(" ")
         out: list[str] = []
         for word in text.split(" "):
             if out and (not out[-1] or out[-1][-1].isspace()):
@@ -98,6 +96,26 @@ class Aligner:
             out[-2:] = [out[-2] + " " + out[-1]]
         return out
 
+    def cut(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Words per text, the places of all of them in a list of distinct words, and that list."""
+        plain = pa.array([text or b"" for text in texts], pa.large_binary())
+        try:
+            plain = plain.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            plain = pa.array([(text or b"").decode("utf-8", "replace") for text in texts], pa.large_string())
+        split = pc.split_pattern(plain, " ")
+        odd = pc.match_substring_regex(plain, _BLANKS).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        odd |= np.array([not text for text in texts], bool)
+        if odd.any():
+            rows = [self.words(plain[i].as_py()) if len(plain[i].as_py()) else [] for i in np.flatnonzero(odd).tolist()]
+            both = pa.chunked_array([split, pa.array(rows, split.type)]).combine_chunks()
+            place = np.arange(len(texts))
+            place[odd] = len(texts) + np.arange(len(rows))
+            split = both.take(pa.array(place))
+        coded = pc.dictionary_encode(split.flatten())
+        return (pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64),
+                coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist())
+
     def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both, or nothing where the bytes of one are not those of the text."""
         plain = (" " + text).encode()
@@ -123,17 +141,17 @@ class Aligner:
         rest = set(range(len(words))) - set(good)
         self.known.add(self, [words[i] for i in [*good, *rest]], len(good), found)
 
-    def places(self, rows: list[list[str]]) -> list[list[int]]:
-        """The words' places in ``known``. Between batches it is emptied when it has grown too large."""
-        new = {w for row in rows for w in row} - self.known.place.keys()
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in ``known``. When it has grown too large, words that were met again stay."""
+        new = [w for w in words if w not in self.known.place]
         if len(self.known.place) + len(new) > CACHE_WORDS or self.known.chars > CACHE_CHARS:
-            self.known = Words()
-            new = {w for row in rows for w in row}
-        new = list(new)
+            self.known = self.known.met_again()
+            new = [w for w in words if w not in self.known.place]
         for at in range(0, len(new), LEARN_WORDS):
             self.learn(new[at : at + LEARN_WORDS])
-        place = self.known.place
-        return [[place[w] for w in row] for row in rows]
+        found = np.fromiter(map(self.known.place.__getitem__, words), np.int64, len(words))
+        self.known.meet(found)
+        return found
 
 
 class Words:
@@ -144,9 +162,34 @@ class Words:
         self.chars = 0
         self.groups: list[str] = []
         self.good = np.zeros(0, bool)
+        self.batches = np.zeros(0, np.int64)
         self.counts = np.zeros((4, 0), np.int64)
         self.pairs, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def meet(self, places: np.ndarray) -> None:
+        """Note that a batch has these words."""
+        self.batches = np.concatenate([self.batches, np.zeros(len(self.place) - len(self.batches), np.int64)])
+        self.batches[places] += 1
+
+    def met_again(self) -> Words:
+        """Those words that several batches had since they were learnt or last sorted out, at most half of the room."""
+        out = Words()
+        again = np.flatnonzero(self.batches > 1)
+        again = np.sort(again[np.argsort(-self.batches[again], kind="stable")][: CACHE_WORDS // 2])
+        words = list(self.place)
+        kept = [words[i] for i in again.tolist()]
+        out.chars = sum(map(len, kept))
+        if out.chars > CACHE_CHARS // 2:
+            return Words()
+        out.place = dict(zip(kept, range(len(kept)), strict=True))
+        out.groups = [self.groups[i] for i in again.tolist()]
+        out.good, out.counts = self.good[again], self.counts[:, again]
+        sizes = out.counts[3]
+        out.at = np.concatenate([[0], np.cumsum(sizes)])
+        out.pairs = self.pairs[np.repeat(self.at[again] - out.at[:-1], sizes) + np.arange(sizes.sum())]
+        out.batches = np.zeros(len(kept), np.int64)
+        return out
+
     def add(self, own: Aligner, words: list[str], good: int, found: tuple[np.ndarray, np.ndarray] | None) -> None:
         """``found`` has the tokens of the first ``good`` words, one word after the other."""
         n = len(words)
@@ -170,19 +213,16 @@ class Words:
             cuts = np.union1d(end_a, end_b)
             links = own_pairs(a[np.searchsorted(end_a, cuts)], b[np.searchsorted(end_b, cuts)])
             self.pairs = np.concatenate([self.pairs, links])
-            text_a = list(map(own.text_a.__getitem__, a.tolist()))
-            text_b = list(map(own.text_b.__getitem__, b.tolist()))
-            cells, from_a, from_b = [], 0, 0
-            for to_a, to_b in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-                if to_a - from_a == 1 == to_b - from_b:
-                    cells.append(f"{text_a[from_a]}|{text_b[from_b]}")
-                else:
-                    cells.append(",".join(text_a[from_a:to_a]) + "|" + ",".join(text_b[from_b:to_b]))
-                from_a, from_b = to_a, to_b
-            at = 0
-            for i, upto in zip(range(good), np.searchsorted(both, ends, "right").tolist(), strict=True):
-                groups[i] = ";".join(cells[at:upto])
-                at = upto
+            # Ids as text with the mark that follows: a comma, or at the end of a group's side a bar or semicolon.
+            texts = np.concatenate([own.text_a[a], own.text_b[b]])
+            ends_side = np.zeros(len(texts), bool)
+            ends_side[cut_a - 1] = ends_side[len(a) + cut_b - 1] = True
+            marks_of = np.repeat(np.array(["|", ";"], object), [len(a), len(b)])
+            texts += np.where(ends_side, marks_of, ",")
+            group = np.concatenate([np.repeat(np.arange(len(both)), n_a), np.repeat(np.arange(len(both)), n_b)])
+            texts = texts[np.argsort(group, kind="stable")].tolist()
+            upto = np.cumsum(counts[0][:good] + counts[1][:good]).tolist()
+            groups[:good] = ["".join(texts[lo:hi])[:-1] for lo, hi in zip([0, *upto], upto, strict=False)]
         self.groups += groups
         self.good = np.concatenate([self.good, marks])
         self.counts = np.concatenate([self.counts, counts], axis=1)
@@ -206,23 +246,22 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def _batch(own: Aligner, texts: list[bytes | None]) -> tuple[dict[str, list], list[tuple[int, bytes, bytes]]]:
     """Columns of the documents of a batch, and its runs (partition, directory, postings)."""
-    rows = own.places([own.words(text.decode("utf-8", "replace")) if text else [] for text in texts])
-    words = own.known
-    lengths = np.array([len(r) for r in rows], np.int64)
-    doc = np.repeat(np.arange(len(rows)), lengths)
-    word = np.concatenate([np.array(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    whole = np.ones(len(rows), bool)
+    lengths, word, distinct = own.cut(texts)
+    word = own.places(distinct)[word]
+    words, n = own.known, len(texts)
+    doc = np.repeat(np.arange(n), lengths)
+    whole = np.ones(n, bool)
     whole[doc[~words.good[word]]] = False
     columns: dict[str, list] = {}
     for name, count in zip(_COUNTS, words.counts, strict=True):
-        sums = np.bincount(doc, count[word], len(rows)).astype(np.int64) if len(word) else np.zeros(len(rows), np.int64)
+        sums = np.bincount(doc, count[word], n).astype(np.int64) if len(word) else np.zeros(n, np.int64)
         columns[name] = np.where(whole, sums, 0)
+    listed, ends = list(map(words.groups.__getitem__, word.tolist())), np.cumsum(lengths).tolist()
     columns["groups_sha256"] = [
-        hashlib.sha256(";".join([words.groups[w] for w in r]).encode()).hexdigest() if r and ok else ""
-        for r, ok in zip(rows, whole.tolist(), strict=True)]
+        hashlib.sha256(";".join(listed[lo:hi]).encode()).hexdigest() if ok and hi > lo else ""
+        for lo, hi, ok in zip([0, *ends], ends, whole.tolist(), strict=False)]
     kept = whole[doc]
-    runs = _runs(words, doc[kept], word[kept], len(rows))
-    return columns, runs
+    return columns, _runs(words, doc[kept], word[kept], n)
 
 
 def _runs(words: Words, doc: np.ndarray, word: np.ndarray, n_docs: int) -> list[tuple[int, bytes, bytes]]:
