@@ -31,21 +31,27 @@ def scan_files(
 
     ``skip_dirs`` also drops files below a localization directory, ``max_chars`` those that are longer.
     """
-    kept = files.where(F.expr(
-        f"endswith(path, {sql_text(suffix)}) and not "
-        + contains_any("lower(substring_index(path, '/', -1))", LOCALIZATION_FILE_PARTS)
-    ))
-    if skip_dirs:
-        folders = F.split(F.lower(F.col("path")), "/")
-        kept = kept.where(~F.arrays_overlap(
-            F.slice(folders, F.lit(1), F.size(folders) - 1),
-            F.array(*[F.lit(d) for d in LOCALIZATION_DIRS]),
-        ))
+    kept = files.where(scannable(skip_dirs, suffix))
     if max_chars is not None:
         kept = skip_large(kept, max_chars)
     return kept
 
 
+def scannable(skip_dirs: bool = False, suffix: str = ".dart") -> Column:
+    """Whether the file of a path is worth scanning."""
+    kept = F.expr(
+        f"endswith(path, {sql_text(suffix)}) and not "
+        + contains_any("lower(substring_index(path, '/', -1))", LOCALIZATION_FILE_PARTS)
+    )
+    if not skip_dirs:
+        return kept
+    folders = F.split(F.lower(F.col("path")), "/")
+    return kept & ~F.arrays_overlap(
+        F.slice(folders, F.lit(1), F.size(folders) - 1),
+        F.array(*[F.lit(d) for d in LOCALIZATION_DIRS]),
+    )
+
+
 def skip_large(files: DataFrame, max_chars: int = MAX_FILE_CHARS) -> DataFrame:
     return files.where(fits(F.col("content"), max_chars))
 
@@ -66,6 +72,21 @@ def extract_lines(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> D
     newlines before a match are those of the gaps and matches before it, and a localized suffix is
     at the head of the gap behind it.
     """
+    return _numbered(files, patterns).selectExpr("path", f"inline({_all_hits(patterns)})")
+
+
+def file_occurrences(files: DataFrame, localized_rule: str = "line") -> DataFrame:
+    """path, found: the kept literals of a file as one array, empty for a file without any.
+
+    What ``occurrences`` gives as rows; for callers that need a row for every file.
+    """
+    reason = _reason("hit.value")
+    localized = "hit.suffix_localized" + (" or hit.line_localized" if _line_rule(localized_rule) else "")
+    return _numbered(files, LITERAL_PATTERNS).selectExpr(
+        "path", f"filter({_all_hits(LITERAL_PATTERNS)}, hit -> ({reason}) is null and not ({localized})) as found")
+
+
+def _numbered(files: DataFrame, patterns: list[str]) -> DataFrame:
     ids = range(1, len(patterns) + 1)
     matches = files.selectExpr("path", "content", *[
         f"{_matches(p, 0)} as _m{pid}" for pid, p in enumerate(patterns, 1)
@@ -77,11 +98,13 @@ def extract_lines(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> D
         f"if({' + '.join(f'size(_m{pid})' for pid in ids)} > 0 and {_marked('content')}, "
         f"transform(split(content, '\n'), line -> {_marked('line')}), null) as _marked",
     )
-    numbered = split.selectExpr("path", "_marked", *[f"_m{pid}" for pid in ids], *[f"_g{pid}" for pid in ids], *[
+    return split.selectExpr("path", "_marked", *[f"_m{pid}" for pid in ids], *[f"_g{pid}" for pid in ids], *[
         f"{_line_numbers(pid, p)} as _n{pid}" for pid, p in enumerate(patterns, 1)
     ])
-    hits = ", ".join(_hits(pid) for pid in ids)
-    return numbered.selectExpr("path", f"inline(flatten(array({hits})))")
+
+
+def _all_hits(patterns: list[str]) -> str:
+    return "flatten(array(" + ", ".join(_hits(pid) for pid in range(1, len(patterns) + 1)) + "))"
 
 
 def _matches(pattern: str, group: int) -> str:
@@ -133,8 +156,12 @@ def _hits(pid: int) -> str:
 
 def ignore_reason(column: str = "value") -> Column:
     """The first noise rule a literal falls under, or null."""
+    return F.expr(_reason(column))
+
+
+def _reason(column: str) -> str:
     text = f"trim(both {sql_text(TRIM_CHARS)} from {column})"
-    return F.expr(f"""
+    return f"""
         case when {text} = '' then 'empty'
              when rlike({text}, {sql_text(NUMBER_PATTERN)}) then 'number'
              when startswith({text}, 'http://') or startswith({text}, 'https://') then 'url'
@@ -142,7 +169,7 @@ def ignore_reason(column: str = "value") -> Column:
              when startswith({text}, '/') or startswith({text}, '\\\\') then 'file_path'
              when rlike({text}, {sql_text(with_ws(SYMBOLS_PATTERN))}) then 'symbols'
              when contains({text}, 'L10n.') then 'l10n_reference' end
-    """)
+    """
 
 
 def drop_noise(literals: DataFrame) -> DataFrame:
@@ -151,14 +178,18 @@ def drop_noise(literals: DataFrame) -> DataFrame:
 
 def drop_localized(lines: DataFrame, rule: str = "line") -> DataFrame:
     """Drop localized literals: by suffix or any mark on the line, or (``suffix``) by suffix only."""
-    if rule not in ("line", "suffix"):
-        raise ValueError(f"unknown rule: {rule}")
     localized = F.col("suffix_localized")
-    if rule == "line":
+    if _line_rule(rule):
         localized = localized | F.col("line_localized")
     return lines.where(~localized)
 
 
+def _line_rule(rule: str) -> bool:
+    if rule not in ("line", "suffix"):
+        raise ValueError(f"unknown rule: {rule}")
+    return rule == "line"
+
+
 def occurrences(files: DataFrame, dedupe: bool = False, localized_rule: str = "line") -> DataFrame:
     """Kept literals of files that were selected with ``scan_files``.
 

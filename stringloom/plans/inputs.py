@@ -4,6 +4,8 @@ The expressions are plain SQL text that Spark and DuckDB both read, so a query a
 from the same rows. ``view_sql`` is the DuckDB form.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _Q = "chr(39)"  # a single quote
@@ -134,12 +136,14 @@ LANGS = [(1, "app_en"), (2, "app_fr"), (3, "app_ar"), (4, "app_pt_br"), (5, "app
 _LANG_STRUCTS = ", ".join(f"struct({i} as ord, '{c}' as lang)" for i, c in LANGS)
 _LANG_VALUES = ", ".join(f"({i}, '{c}')" for i, c in LANGS)
 
+PAGE_PATH = "'web/page_' || cast(page_id as string) || '.dart'"
+DOCUMENT_PATH = "'docs/doc_' || cast(doc_id as string) || '.dart'"
 _SQL_VIEWS = {
     "catalog": CATALOG, "entries": ENTRIES, "memory": MEMORY, "english_rows": ROWS,
     "catalog_files": CATALOG_FILES, "locales": LOCALES,
     "part_files": f"select {CODE_PATH} as path, {CODE_CONTENT} as content from {{part}}",
-    "page_files": "select 'web/page_' || cast(page_id as string) || '.dart' as path, html as content from {pages}",
-    "document_files": "select 'docs/doc_' || cast(doc_id as string) || '.dart' as path, text as content from {documents}",
+    "page_files": f"select {PAGE_PATH} as path, html as content from {{pages}}",
+    "document_files": f"select {DOCUMENT_PATH} as path, text as content from {{documents}}",
     "sheet_files": f"select 'sheets/' || cast(s_suppkey as string) || '.csv' as path, {SHEET_CONTENT} as content from {{supplier}}",
     "break_files": f"select 'sheets/' || cast(s_suppkey as string) || '.csv' as path, {BREAK_CONTENT} as content from {{supplier}}",
     "arb_files": f"select {BUNDLE_PATH} || '.arb' as path, {ARB_CONTENT} as content from {{customer}}",
@@ -173,20 +177,27 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "p_brand as sheet", "cast(p_partkey + 4 as int) as row_no", "p_name as raw_key", "ord", "lang",
             f"{LONG_VALUE} as value",
         )
-    text = _SQL_VIEWS[name]
+    text, own_views = _SQL_VIEWS[name], []
     for t in _TABLES:
         if "{" + t + "}" in text:
             source = table(spark, sf_dir, t)
             if name.endswith("_files"):
                 source = spread(source)
-            source.createOrReplaceTempView(f"loom_{t}")
-            text = text.replace("{" + t + "}", f"loom_{t}")
-    return spark.sql(text)
-
-
-def part_files(part: DataFrame) -> DataFrame:
-    """Source files out of a batch or stream of parts."""
-    return part.selectExpr(f"{CODE_PATH} as path", f"{CODE_CONTENT} as content")
+            own = f"loom_{t}_{uuid.uuid4().hex}"  # no view of the user's is replaced
+            source.createOrReplaceTempView(own)
+            own_views.append(own)
+            text = text.replace("{" + t + "}", own)
+    rows = spark.sql(text)  # resolved here, so the views have served their turn
+    for own in own_views:
+        spark.catalog.dropTempView(own)
+    return rows
+
+
+def code_files(part: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Source files out of batches or streams of the three tables."""
+    return part.selectExpr(f"{CODE_PATH} as path", f"{CODE_CONTENT} as content").unionByName(
+        pages.selectExpr(f"{PAGE_PATH} as path", "html as content")).unionByName(
+        documents.selectExpr(f"{DOCUMENT_PATH} as path", "text as content"))
 
 
 def view_sql(name: str) -> str:

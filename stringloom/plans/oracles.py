@@ -573,5 +573,6 @@ oracle("translate_quota", ["work"], f"""
                 coalesce(sum(units) filter (where running <= {QUOTA // 2} and not contains(english, 'ring')) over (), 0) as paid
               from ({_FIRST_TEXTS})))""")
 
-# --- streaming: the same strings as a batch over the source files of all parts ---------
-ORACLES["stream_extract"] = ORACLES["unique_strings"].replace(view_sql("code_files"), view_sql("part_files"))
+# --- streaming: the same as a batch over all source files ------------------------------
+ORACLES["stream_extract"] = ORACLES["unique_strings"]
+ORACLES["stream_catalog"] = ORACLES["smart_merge"]

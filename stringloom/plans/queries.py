@@ -10,9 +10,9 @@ from ..functions import text
 from ..operators import bundles, catalog, extract, ledger, quality, rewrite, translate, translations
 from ..sinks import versions, writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
-from ..streaming import extract_stream
+from ..streaming import catalog_stream, extract_stream
 from . import flows
-from .inputs import part_files, spread, table, view
+from .inputs import code_files, spread, table, view
 from .staging import stage, staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -542,7 +542,7 @@ def replacements_by_file(spark, sf):
 def review_batches(spark, sf):
     """Batches of a plan without the second entry of every file."""
     batches = rewrite.review_batches(rewrite.plan_replacements(_matched(spark, sf), "arb"), size=4)
-    skips = table(spark, sf, "part").transform(part_files).select(
+    skips = view(spark, sf, "part_files").select(
         "path", F.lit(1).alias("batch"), F.lit(2).alias("idx"))
     return rewrite.drop_reviewed(batches, skips).select(*extract.ORDER, "idx", "batch", "key")
 
@@ -682,9 +682,27 @@ def translate_quota(spark, sf):
 @query
 def stream_extract(spark, sf):
     """Strings of a stream of new source files, kept in a store of per-batch states."""
-    parts = spark.readStream.schema(table(spark, sf, "part").schema).option(
-        "pathGlobFilter", "part.parquet").parquet(sf)
     folder = f"{staging_dir(spark)}/stream-{uuid.uuid4().hex}"
-    run = extract_stream.start_extract(part_files(parts), f"{folder}/store", f"{folder}/checkpoint", available_now=True)
+    run = extract_stream.start_extract(_arriving(spark, sf), f"{folder}/store", f"{folder}/checkpoint", available_now=True)
     run.awaitTermination()
     return extract_stream.read_store(spark, f"{folder}/store")
+
+
+@query
+def stream_catalog(spark, sf):
+    """The stream's strings merged with the stored catalog, by the changes of its files."""
+    folder = f"{staging_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = catalog_stream.start_catalog(
+        _arriving(spark, sf), f"{folder}/catalog", f"{folder}/checkpoint", _catalog(spark, sf), available_now=True)
+    run.awaitTermination()
+    merged = catalog_stream.read_merged(spark, f"{folder}/catalog")
+    return merged.withColumn("app_fr", F.try_element_at("translations", F.lit("app_fr"))).drop("translations")
+
+
+def _arriving(spark, sf) -> DataFrame:
+    """All source files as a stream."""
+    tables = {}
+    for name in ("part", "pages", "documents"):
+        stream = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+        tables[name] = stream.parquet(sf)
+    return code_files(tables["part"], tables["pages"], tables["documents"])

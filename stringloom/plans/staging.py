@@ -58,5 +58,9 @@ def owned_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _owned.reset(token)
         for path in paths:
-            own = spark._jvm.org.apache.hadoop.fs.Path(path)
-            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)

@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import occurrences, scan_files, unique_strings
+from ..plans.staging import delete_folder
 
 
 def start_extract(files: DataFrame, store: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Extract from a stream of (path, content) into ``store``. A null content says that a file is gone.
 
     Extraction is stateless. A repeated batch replaces its own folders, so the store stays exact, and a
-    batch counts once its paths are written, which is done last. Rows of one path in one batch are parts
-    of one file.
+    batch counts once its paths are written, which is done last; before a repeated batch is written, its
+    paths are taken away. Rows of one path in one batch are parts of one file.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        delete_folder(batch.sparkSession, f"{store}/files/batch={batch_id}")
         found = occurrences(scan_files(batch.where(F.col("content").isNotNull())))
         found.write.mode("overwrite").parquet(f"{store}/found/batch={batch_id}")
-        batch.select("path").distinct().write.mode("overwrite").parquet(f"{store}/files/batch={batch_id}")
+        batch.select("path").distinct().write.parquet(f"{store}/files/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:
