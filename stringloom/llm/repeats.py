@@ -28,7 +28,7 @@ from stringloom.llm.batches import Bodies, Documents, ask, by_range, pack_arrays
 
 LENGTH = 50
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 4 << 20
+_CHUNK = 1 << 19
 _SHARD_VALUES = 1 << 21
 
 
@@ -47,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Piece:
-    """Some megabytes of documents: its sampled suffixes, and names of any of its strings."""
+    """Half a megabyte of documents: its sampled suffixes, and names of any of its strings."""
 
     def __init__(self, parts: list[tuple[int, int, bytes]], length: int):
         self.length, prefix = length, length // 2 - 1
@@ -67,6 +67,7 @@ class Piece:
             have += step
         # Window s of the buffer stands on suffix at[s]; windows over the end of a document are left out.
         at = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del best
         owner = np.repeat(np.arange(len(parts)), sizes)[: len(at)]
         good = np.arange(len(at)) + length <= self.ends[owner]
         starts = np.flatnonzero(good)
@@ -96,7 +97,7 @@ class Piece:
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[Piece]:
-    """The documents in pieces of a few megabytes; longer ones are cut with an overlap that loses no window."""
+    """The documents in pieces of half a megabyte; longer ones are cut with an overlap that loses no window."""
     held: list[tuple[int, int, bytes]] = []
     total = 0
     for doc, text in enumerate(texts):
