@@ -6,7 +6,7 @@ word's place in the window, must meet in one start. What meets is compared word
 
 Words are compared with A-Z lower-cased. The index itself folds case further, which only adds
 candidates: both sides are folded alike, word by word, since the lower case of a letter can depend on
-its neighbours. Null and empty texts have no words, and items without words no windows. Repeated document
+its neighbours. So only texts with candidates have their A-Z folded as a whole. Null and empty texts have no words, and items without words no windows. Repeated document
 rows get a row each; a null ``item_id`` hits but is not listed. Only the named columns are read.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stringloom.llm.common import small, stage, without
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased as well as after
 WINDOW = 10
 RAREST = 2
 END = ""  # no word is empty; its posting says how many words a document has
@@ -33,7 +33,7 @@ def exact(text: Column) -> Column:
 
 
 def folded(word: Column) -> Column:
-    """The form of a single word, A-Z lower-cased already, under which the index has it."""
+    """The form of a single word under which the index has it, the same before and after A-Z are lower-cased."""
     return F.lower(word)
 
 
@@ -69,12 +69,20 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings ``term_id, doc_id, key, key2, place``, written without a shuffle."""
-    words = F.concat(words_of(exact(F.col(text))), F.array(F.lit(END)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *document_key(doc_id, text), F.posexplode(words).alias("place", "term"))
+    """Postings ``term_id, row, place``, written without a shuffle. The end mark's also have ``doc_id, key, key2``."""
+    words = F.concat(words_of(F.col(text)), F.array(F.lit(END)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), *document_key(doc_id, text),
+                       words.alias("words"))
+    rows = rows.select("row", "doc_id", "key", "key2", F.posexplode("words").alias("place", "term"))
     rows = rows.withColumn("term", folded(F.col("term")))
     known = small(terms, F.octet_length("term"))
-    return stage(rows.join(known, "term").select("term_id", "doc_id", "key", "key2", "place"), "postings")
+    ends = [F.when(F.col("term_id") == -1, F.col(c)).alias(c) for c in ("doc_id", "key", "key2")]
+    return stage(rows.join(known, "term").select("term_id", "row", "place", *ends), "postings")
+
+
+def owners_of(index: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with ``key, key2`` in place of its ``row``; rows that agree share a key."""
+    return found.join(index.where("term_id = -1").select("row", "key", "key2"), "row").drop("row").distinct()
 
 
 def lookups(index: DataFrame, windows: DataFrame, terms: DataFrame, rarest: int | None = RAREST) -> DataFrame:
@@ -95,20 +103,20 @@ def lookups(index: DataFrame, windows: DataFrame, terms: DataFrame, rarest: int
 
 
 def intersect(index: DataFrame, lookup: DataFrame, slop: int = 0) -> DataFrame:
-    """``key, key2, wid, start`` where the postings of all looked-up places meet, ``slop`` words apart at most."""
+    """``row, wid, start`` where the postings of all looked-up places meet, ``slop`` words apart at most."""
     found = index.join(small(lookup, F.lit(0)), "term_id").withColumn("start", F.col("place") - F.col("off"))
     if slop:
         found = found.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)))
-    met = found.where("start >= 0").groupBy("key", "key2", "wid", "start").agg(
+    met = found.where("start >= 0").groupBy("row", "wid", "start").agg(
         F.bit_or("bit").alias("bits"), F.first("full").alias("full"))
-    return met.where("bits = full").select("key", "key2", "wid", "start")
+    return met.where("bits = full").select("row", "wid", "start")
 
 
 def phrase_matches(
     docs: DataFrame, index: DataFrame, windows: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``key, key2, wid, start, len``: every place of a document at which a whole window stands."""
-    candidates = intersect(index, lookups(index, windows, terms))
+    candidates = owners_of(index, intersect(index, lookups(index, windows, terms)))
     lengths = windows.select("wid", F.size("words").alias("len"))
     candidates = candidates.join(lengths, "wid").groupBy("key", "key2").agg(
         F.collect_list(F.struct("wid", "start", "len")).alias("places"))  # of one document's words
@@ -126,7 +134,7 @@ def phrase_matches(
 
 def proximity_matches(index: DataFrame, windows: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
     """``key, key2, wid, start``: all words of a window, each at most ``slop`` words from its place."""
-    return intersect(index, lookups(index, windows, terms, rarest=None), slop)
+    return owners_of(index, intersect(index, lookups(index, windows, terms, rarest=None), slop))
 
 
 def contamination(
