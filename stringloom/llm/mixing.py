@@ -1,10 +1,10 @@
 """Mix sources to target weights by a low-discrepancy schedule of blocks of words.
 
 Documents of a source stand in a hashed order and form one stream of words, beginning anew after the
-last. The mix takes the stream up to the source's target, to the word, in equal blocks. Slot i of the
-mix falls on the i-th van der Corput point; the source whose interval of the cumulative targets holds
-that point gets the slot, and its r-th slot takes its r-th block. So slots give the order of the mix,
-never its amounts. A null text has no words; a source without words takes nothing; a null source
+last. The stream up to the source's target, to the word, is cut into equal blocks, the last one shorter.
+Slot i of the mix falls on the i-th van der Corput point; the source whose interval of the cumulative
+targets holds that point gets the slot, and its r-th slot is joined to its r-th block. The mix is what
+the joined blocks hold, in slot order. A null text has no words; a source without words takes nothing; a null source
 counts as a source of its own, the last. Repeated rows are documents of their own. No documents give
 no rows. Only the named columns are read.
 """
@@ -63,7 +63,7 @@ def source_targets(
 
 
 def schedule(targets: DataFrame, block_words: int) -> DataFrame:
-    """``slot, source, turn``: which source each slot of the mix belongs to, and the how-manieth of it.
+    """``slot, source, rank, turn``: which source each slot of the mix belongs to, and the how-manieth of it.
 
     Slots meet the intervals of the cumulative targets over a grid of the unit interval, so the join
     has equal keys and the points are spread evenly over them. A source with a target whose interval
@@ -96,7 +96,7 @@ def _turns(slots: DataFrame, run: int = 1 << 16) -> DataFrame:
         "rank", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("rank", "run").orderBy("slot")
     return rows.join(offsets, ["rank", "run"]).select(
-        "slot", "source", (F.col("offset") + F.row_number().over(inside) - 1).alias("turn"))
+        "slot", "source", "rank", (F.col("offset") + F.row_number().over(inside) - 1).alias("turn"))
 
 
 def block_size(targets: DataFrame) -> int:
@@ -127,31 +127,49 @@ def place(docs: DataFrame, seed: int = 7, rows_per_run: int = 20_000) -> DataFra
         "_order", "_run", "_source", "_slice", "_offset", "_before")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, begin, passes, cut, turn``, one row per row of ``docs``.
+def pieces(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> tuple[DataFrame, DataFrame]:
+    """Placed rows (``row, doc_id, twin, twin2, size, source_size, target, begin``) and the pieces of them in the mix.
 
-    ``begin`` is the document's place in its source's stream. The mix takes the whole stream ``passes``
-    times and its first ``cut`` words once more: its target, rounded, and at most ``most`` times the
-    stream in all. ``turn`` is the slot of its source, as :func:`schedule` counts them, in which the
-    document first begins; it is null where the mix does not reach it.
+    A piece (``row, pass, start, words, slot, turn``) is what a block holds of one pass over a document. The
+    blocks of a source are as long as its goal takes to fill its slots; blocks without a slot hold nothing.
     """
     most = options.get("most", MOST)
     rows = stage(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         twin(doc_id, text).alias("twin"), twin(doc_id, text, second=True).alias("twin2"), word_count(F.col(text)).alias("size")), "sizes")
     targets = stage(source_targets(rows, **options), "targets")
-    turns = schedule(targets, block_size(targets)).groupBy("source").agg((F.max("turn") + 1).alias("turns"))
+    slots = stage(schedule(targets, block_size(targets)), "schedule")
+    turns = slots.groupBy("rank").agg((F.max("turn") + 1).alias("turns"))
     goal = F.least(F.round("target"), F.floor(F.col("source_size") * most)).cast("long")
-    whole = F.greatest("source_size", F.lit(1))
-    taken = targets.alias("t").join(turns.alias("u"), F.col("t.source").eqNullSafe(F.col("u.source")), "left").select(
-        F.col("t.source").alias("_of"), "source_size", "target", "turns", goal.alias("goal"),
-        F.floor(goal / whole).alias("passes"), (goal % whole).alias("cut"))
-    taken = small(taken, F.coalesce(F.octet_length("_of"), F.lit(0)))
-    placed = place(rows).join(taken, F.col("source").eqNullSafe(F.col("_of")))
-    inside = F.greatest(F.lit(0), F.least("size", F.col("cut") - F.col("begin")))
-    turn = F.when(F.col("begin") < F.col("goal"), F.expr("begin * turns div goal"))
-    return placed.withColumn("taken", F.col("passes") * F.col("size") + inside).withColumn("turn", turn).select(
-        "doc_id", "twin", "twin2", "size", "source_size", "target", "taken", "begin", "passes", "cut", "turn")
+    plan = targets.join(turns, "rank", "left").select(
+        F.col("source").alias("_of"), "rank", "source_size", "target", goal.alias("goal"),
+        F.ceil(goal / F.coalesce("turns", F.lit(1))).alias("block"))
+    plan = small(plan, F.coalesce(F.octet_length("_of"), F.lit(0)))
+    placed = stage(place(rows).join(plan, F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "placed")
+    taken = placed.where("size > 0 and begin < goal").withColumn(
+        "pass", F.explode(F.expr("sequence(0L, (goal - 1 - begin) div source_size)")))
+    taken = taken.withColumn("start", F.expr("pass * source_size + begin"))
+    taken = taken.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("goal")))
+    taken = taken.withColumn("turn", F.explode(F.expr("sequence(start div block, (end - 1) div block)")))
+    words = F.least("end", (F.col("turn") + 1) * F.col("block")) - F.greatest("start", F.col("turn") * F.col("block"))
+    met = taken.withColumn("words", words).join(slots.select("rank", "turn", "slot"), ["rank", "turn"])
+    return placed, met.select("row", "twin", "twin2", "size", "pass", "start", "words", "slot", "turn")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, begin, slot, turn``, one row per row of ``docs``.
+
+    ``begin`` is the document's place in its source's stream and ``taken`` the words that its pieces hold.
+    ``slot`` is the first slot of the mix that has any of them, and ``turn`` the how-manieth of its source
+    that is; both are null where the mix takes nothing.
+    """
+    placed, met = pieces(docs, doc_id, text, source, **options)
+    sums = met.groupBy("row").agg(F.sum("words").alias("words"), F.min(F.struct("slot", "turn")).alias("_first"))
+    return placed.join(sums, "row", "left").select(
+        "doc_id", "twin", "twin2", "size", "source_size", "target", F.coalesce("words", F.lit(0)).alias("taken"), "begin",
+        "_first.slot", "_first.turn")
 
 
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
@@ -167,23 +185,27 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows the mix takes: a document once per pass, and its first words where the last pass ends in it.
+    """The rows the mix takes, in slot order: a document once per pass, and its first words where the last ends in it.
 
     A row keeps all columns of ``docs``; ``n_chars``, where there is one, follows the text.
     """
-    share = F.struct("passes", (F.col("taken") - F.col("passes") * F.col("size")).alias("part"), "size")
+    _, met = pieces(docs)
+    passes = met.groupBy("row", "pass", "twin", "twin2").agg(
+        F.min("slot").alias("slot"), F.first("start").alias("start"), F.sum("words").alias("words"), F.first("size").alias("size"))
+    shares = passes.groupBy("row", "twin", "twin2").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "start", "words", "size"))).alias("_share"))  # one per pass
     # Rows repeated with their id share a key; each of them takes one of the places found for it.
-    taken = mix(docs).where("taken > 0").groupBy("twin", "twin2").agg(F.sort_array(F.collect_list(share)).alias("_shares"))
+    taken = shares.groupBy("twin", "twin2").agg(F.sort_array(F.collect_list("_share")).alias("_shares"))
     # The row travels as one struct, so a column of ``docs`` may have any name.
     rows = docs.select(F.struct("*").alias("_row"), twin().alias("_twin"), twin(second=True).alias("_twin2"))
     rows = rows.join(taken, (F.col("_twin") == F.col("twin")) & (F.col("_twin2") == F.col("twin2")))
     nth = F.row_number().over(Window.partitionBy("_twin", "_twin2").orderBy(F.lit(0)))
     rows = rows.withColumn("_own", F.get("_shares", nth - 1)).where("_own is not null")
-    whole = (F.col("_own.part") == F.col("_own.size")).cast("long")
-    copies = F.array_repeat(F.lit(-1).cast("long"), (F.col("_own.passes") + whole).cast("int"))
-    parts = F.when((F.col("_own.part") > 0) & (whole == 0), F.array(F.col("_own.part"))).otherwise(
-        F.array().cast("array<bigint>"))
-    rows = rows.select("_row", F.explode(F.concat(copies, parts)).alias("_take"))
+    rows = rows.select("_row", F.explode("_own").alias("_piece"))
+    rows = rows.repartitionByRange(width(docs.sparkSession), "_piece.slot", "_piece.start").sortWithinPartitions(
+        "_piece.slot", "_piece.start")
+    rows = rows.withColumn("_take", F.when(F.col("_piece.words") == F.col("_piece.size"), F.lit(-1).cast("long")).otherwise(
+        F.col("_piece.words")))
     text = F.col("_row")["text"]
     cut = F.pandas_udf(first_words, "string")(F.when(F.col("_take") >= 0, text), F.greatest("_take", F.lit(0)))
     rows = rows.withColumn("_text", F.when(F.col("_take") < 0, text).otherwise(cut))

@@ -225,6 +225,33 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert all(any(t.startswith(r["text"]) for t in whole) and r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_slots_make_the_mix(spark, monkeypatch):
+    """Without slots there is no mix; a document's words are those of its blocks; the mix stands in slot order."""
+    rows = [(i, f"w{i} " * (20 + i), "abc"[i % 3]) for i in range(60)]
+    docs = table(spark, rows)
+    placed, met = mixing.pieces(docs)
+    assert {r["taken"] for r in mixing.mix(docs).collect()} != {0}
+    slots = {r["slot"] for r in met.collect()}
+    assert min(slots) >= 0 and len(slots) > 50
+    sums = {r["row"]: r["n"] for r in met.groupBy("row").agg(F.sum("words").alias("n")).collect()}
+    taken = {(r["twin"], r["twin2"]): r["taken"] for r in mixing.mix(docs).collect()}
+    assert {(r["twin"], r["twin2"]): sums.get(r["row"], 0) for r in placed.collect()} == taken
+    first = {r["doc_id"]: r["slot"] for r in mixing.mix(docs).collect()}
+    seen, order = set(), []
+    for r in mixing.mixed_documents(docs).collect():  # in the order of the written rows
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            order.append(first[r["doc_id"]])
+    assert order == sorted(order) and len(order) > 50
+    schedule = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *args: schedule(*args).limit(0))
+    assert {r["taken"] for r in mixing.mix(docs).collect()} == {0}
+    assert mixing.mixed_documents(docs).count() == 0
+    monkeypatch.setattr(mixing, "schedule", lambda *args: schedule(*args).where("turn % 2 = 0"))
+    half = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert 0.45 < half / sum(taken.values()) < 0.6
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "READ", 2000)
     pages = [(i, f"http://x/{i} y\n", "same page" if i % 3 == 0 else "é" * (i * 40)) for i in range(40)]
