@@ -4,12 +4,16 @@ Occurrences come from ``extract.occurrences``; the catalog is ``sources.bundles.
 value and its position path, ord). The occurrences are read twice here, so stage them first.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed_values import REVIEW_BATCH, REWRITE_SKIP_PARTS
-from ..functions.text import WS, replacement_expr, utrim
+from ..functions.text import replacement_expr, utrim
 from ..plans.staging import stage
 from .extract import ORDER, contains_any
+from .quoted import replace_all
 from .skew import HOT_ROWS, count_keys, hot_keys, spread_join
 
 # So many path hashes, a long each, are sent to every task.
@@ -87,7 +91,8 @@ def replacements_by_file(plan: DataFrame) -> DataFrame:
 
 
 def review_batches(plan: DataFrame, size: int = REVIEW_BATCH) -> DataFrame:
-    """Plan rows numbered from 1 in their file, in batches. A file's size limit bounds its rows."""
+    """Plan rows numbered from 1 in their file, in batches. The rows of one file are numbered by one task,
+    and there are no more of them than the file has literals."""
     in_file = Window.partitionBy("path").orderBy("pattern_id", "match_ord")
     return plan.withColumn("idx", F.row_number().over(in_file)).withColumn(
         "batch", (F.floor((F.col("idx") - 1) / size) + 1).cast("int")
@@ -140,16 +145,23 @@ def apply_by_content(files: DataFrame, plan: DataFrame) -> DataFrame:
 
     Every replacement applies to the whole text, in plan order: ``"original"``, or else
     ``'original'``, or else either with white space inside the quotes. Later replacements see the
-    result of earlier ones.
+    result of earlier ones. A file costs its length and its hits, however many replacements it has.
     """
     steps = plan.groupBy("path").agg(F.sort_array(F.collect_list(
         F.struct("pattern_id", "match_ord", "original", "replacement"))).alias("_plan"))
-    work = _with_steps(files, steps)
-    done = F.aggregate(
-        "_plan", F.struct(F.col("content").alias("text"), F.lit(0).alias("n")), _replace_in_text
-    )
-    work = work.withColumn("_done", done)
-    return _changed(work, F.col("_done.text"), F.size("_plan"), F.col("_done.n"))
+    work = _with_steps(files, steps).where(F.col("content").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, content, todo = (batch.column(k)[i].as_py() for k in range(3))
+                text, applied = replace_all(content, [(step["original"], step["replacement"]) for step in todo])
+                if applied:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), pa.array([text]), pa.array([len(todo)], pa.int32()), pa.array([applied], pa.int32())],
+                        ["path", "content", "planned", "applied"])
+
+    return work.select("path", "content", "_plan").mapInArrow(run, "path string, content string, planned int, applied int")
 
 
 def _with_steps(files: DataFrame, steps: DataFrame) -> DataFrame:
@@ -188,21 +200,3 @@ def _replace_on_line(state: Column, step: Column) -> Column:
     new = F.when(line.contains(double), F.replace(line, double, step["replacement"])).otherwise(
         F.replace(line, single, step["replacement"]))
     return F.struct(new.alias("line"), (state["n"] + hit.cast("int")).alias("n"))
-
-
-def _replace_in_text(state: Column, step: Column) -> Column:
-    text = state["text"]
-    double, single = _quoted(step["original"], '"'), _quoted(step["original"], "'")
-    # The original as literal regex text, and the replacement without group references.
-    literal = F.concat(F.lit(r"\Q"), F.replace(step["original"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    space = F.lit(f"[{WS}]*")
-    loose_double = F.concat(F.lit('"'), space, literal, space, F.lit('"'))
-    loose_single = F.concat(F.lit("'"), space, literal, space, F.lit("'"))
-    plain = F.replace(F.replace(step["replacement"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    new = (
-        F.when(text.contains(double), F.replace(text, double, step["replacement"]))
-        .when(text.contains(single), F.replace(text, single, step["replacement"]))
-        .when(F.rlike(text, loose_double), F.regexp_replace(text, loose_double, plain))
-        .when(F.rlike(text, loose_single), F.regexp_replace(text, loose_single, plain))
-    )
-    return F.struct(F.coalesce(new, text).alias("text"), (state["n"] + new.isNotNull().cast("int")).alias("n"))

@@ -1,8 +1,9 @@
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 
-from stringloom.operators import extract, rewrite
+from stringloom.operators import extract, quoted, rewrite
 from stringloom.plans.staging import stage
 from stringloom.sources import bundles
 
@@ -128,3 +129,25 @@ def test_files_without_a_plan_are_left_out_before_the_shuffle(spark, monkeypatch
         assert sorted(by_hash.collect()) == sorted(apply(files, planned).collect())
         assert {r["path"] for r in by_hash.collect()} == {"lib/f3.dart", "lib/f7.dart"}
         assert apply(files, planned.limit(0)).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.lists(st.sampled_from([*PIECES, '"', "'", "a", " a ", "b", '"a"', "'a'", '"a"b"', '""', "''", '"  "', "\u3000", '" \t', "\\"]), max_size=30).map("".join),
+    st.lists(st.tuples(st.sampled_from(["a", "b", "", " ", " a", "a ", "Go", "go", "a.b", 'x"y', "b'", "\t"]),
+                       st.sampled_from(["'a'.tr", "X", "", '"b"', "'", "a", "'go'.tr", '"a""a"', "'' \" a"])), max_size=12))
+def test_pieces_against_the_loop(text, steps):
+    """Replacements that make new hits, hits that share a quote, originals with quotes or blanks, empty ones."""
+    assert quoted.replace_all(text, steps) == apply_text(text, [(0, *step) for step in steps])
+
+
+def test_many_steps_cost_the_length_of_the_file():
+    n = 10_000
+    text = "\n".join(f'Text("word {i}"),' for i in range(n))
+    start = time.process_time()
+    new, applied = quoted.replace_all(text, [(f"word {i}", f"'key_{i}'.tr") for i in range(n)])
+    assert applied == n and new == "\n".join(f"Text('key_{i}'.tr)," for i in range(n))
+    hot = 'x("Go") ' * n
+    new, applied = quoted.replace_all(hot, [("Go", "'go'.tr")] * n)
+    assert applied == 1 and new == "x('go'.tr) " * n
+    assert time.process_time() - start < 5
