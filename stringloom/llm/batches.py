@@ -20,14 +20,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stringloom.llm.common import arrow_rows, new_folder, open_folder, stage, width
+from stringloom.llm.common import SLICE_BYTES, arrow_rows, new_folder, open_folder, stage, width
 
 NO_ID = np.iinfo(np.int64).max
 Bodies = list[tuple[int, int, bytes]]  # kind, shard, packed arrays
 _ROWS = "batch bigint, kind int, shard bigint, file string, at bigint, bytes bigint, body binary"
 
 
-def write_batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+def write_batches(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE_BYTES
+) -> tuple[DataFrame, str]:
     """Write the batches: their index (``batch, file, at, bytes, raw``) and their folder.
 
     A task names its file by itself alone and only files in the index count, so a task may run twice.
@@ -39,7 +41,7 @@ def write_batches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         first, number, at, out = TaskContext.get().partitionId() << 32, 0, 0, None
         file = f"{first >> 32:06d}-{uuid.uuid4().hex}.arrow"
         pack = zstandard.ZstdCompressor(level=6)
-        for batch, texts in arrow_rows(rows, "text"):
+        for batch, texts in arrow_rows(rows, "text", slice_bytes):
             ids = pa.compute.fill_null(batch.column(0), NO_ID)
             has = pa.compute.is_valid(batch.column(0))
             body = pa.RecordBatch.from_arrays([ids, has, pa.array([t or b"" for t in texts], pa.large_binary())], ["id", "has", "text"])

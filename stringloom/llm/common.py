@@ -51,14 +51,16 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return system, path
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches of at most ``SLICE_BYTES`` of ``text`` (or one row), with its UTF-8 bytes."""
+def arrow_rows(
+    batches: Iterator[pa.RecordBatch], text: str, slice_bytes: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches of at most ``slice_bytes`` of ``text`` (or one row), with its UTF-8 bytes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
         first = total = 0
         for i, size in enumerate(sizes):
-            if i > first and total + size > SLICE_BYTES:
+            if i > first and total + size > slice_bytes:
                 yield batch.slice(first, i - first), column.slice(first, i - first).to_pylist()
                 first, total = i, 0
             total += size

@@ -28,7 +28,7 @@ from stringloom.llm.batches import Bodies, Documents, ask, by_range, pack_arrays
 
 LENGTH = 50
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 19
+_CHUNK, _BATCH = 1 << 19, 1 << 20  # bytes that are hashed at once, and that ask at once
 _SHARD_VALUES = 1 << 21
 
 
@@ -276,7 +276,7 @@ def first_windows(bodies: list[bytes]) -> list[bytes]:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay), one row per row of ``docs``."""
-    index, folder = write_batches(docs, doc_id, text)
+    index, folder = write_batches(docs, doc_id, text, _BATCH)
     raw = index.agg(F.sum("raw")).first()[0] or 0
     rounds = Rounds(length, max(1, raw // 10 // _SHARD_VALUES))
     asked = "batch bigint, shard bigint, body binary"
