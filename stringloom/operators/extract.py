@@ -17,11 +17,9 @@ from ..functions.text import TRIM_CHARS, make_key, sql_text, with_ws
 from ..sources.files import fits
 
 ORDER = ("path", "pattern_id", "match_ord")
-_FEW = 32
-_HITS_TYPE = (
-    "array<struct<pattern_id:int,match_ord:int,line_no:int,value:string,"
-    "suffix_localized:boolean,line_localized:boolean>>"
-)
+_VALUE = """['\"]([^'\"$]+)['\"]"""
+_SPACES = TRIM_CHARS.replace("\u0085", "")  # what ``\\s`` of the patterns stands for
+_NONE = "cast(array() as array<int>)"
 
 
 def scan_files(
@@ -59,61 +57,90 @@ def skip_large(files: DataFrame, max_chars: int = MAX_FILE_CHARS) -> DataFrame:
 def extract_literals(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> DataFrame:
     """Every literal of every pattern: path, pattern_id, match_ord, value."""
     hits = ", ".join(
-        f"transform({_matches(p, 1)}, (v, i) -> struct({pid} as pattern_id, i + 1 as match_ord, v as value))"
-        for pid, p in enumerate(patterns, 1)
+        f"transform(_k{pid}, (j, i) -> struct({pid} as pattern_id, i + 1 as match_ord, get(_p, j + 1) as value))"
+        for pid in range(1, len(patterns) + 1)
     )
-    return files.selectExpr("path", f"inline(flatten(array({hits})))")
+    return _matched(files, patterns).selectExpr("path", f"inline(flatten(array({hits})))")
 
 
 def extract_lines(files: DataFrame, patterns: list[str] = LITERAL_PATTERNS) -> DataFrame:
     """Literals with the line of the match start and whether they are localized already.
 
-    Spark's regex functions return no positions, so a file with a match is also split at the matches:
-    newlines before a match are those of the gaps and matches before it, and a localized suffix is
-    at the head of the gap behind it.
+    A file is cut at its quotes once. A match is a piece without a ``$`` between two quotes behind a
+    piece that ends with the pattern's head, so each pattern is tried on the pieces that end with its last
+    character only.
     """
     return _numbered(files, patterns).selectExpr("path", f"inline({_all_hits(patterns)})")
 
 
 def file_occurrences(files: DataFrame, localized_rule: str = "line") -> DataFrame:
-    """path, found: the kept literals of a file as one array, empty for a file without any.
+    """The rows of ``occurrences``, and a row whose ``value`` is null for every file whose first literal is
+    none of them: so every file has a row, without a join."""
+    hits = _numbered(files, LITERAL_PATTERNS).selectExpr("path", f"posexplode_outer({_all_hits(LITERAL_PATTERNS)}) as (pos, hit)")
+    hits = hits.select("path", "pos", "hit.*")
+    localized = F.col("suffix_localized")
+    if _line_rule(localized_rule):
+        localized = localized | F.col("line_localized")
+    kept = F.col("pos").isNotNull() & ignore_reason("value").isNull() & ~localized
+    rows = hits.withColumn("_kept", F.coalesce(kept, F.lit(False))).where(F.col("_kept") | (F.coalesce("pos", F.lit(0)) == 0))
+    return rows.select(*ORDER, "line_no", F.when(F.col("_kept"), F.col("value")).alias("value"))
+
+
+def _matched(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """path, content, the pieces ``_p`` and per pattern the pieces ``_k`` that its matches begin in."""
+    ids = range(1, len(patterns) + 1)
+    heads = [_head(p) for p in patterns]
+    ends = ", ".join(sql_text(c) for c in sorted({last for _, last in heads}))
+    cut = files.selectExpr("path", "content", "split(content, '[\"\\']') as _p").selectExpr(
+        "path", "content", "_p", f"transform(_p, p -> right(trim(trailing {sql_text(_SPACES)} from p), 1)) as _c")
+    # Behind piece j stand a quote, the value, a quote and piece j + 2.
+    valued = cut.selectExpr("path", "content", "_p", "_c", f"""if(size(_p) < 3, {_NONE}, filter(sequence(0, size(_p) - 3), j ->
+        get(_c, j) in ({ends}) and get(_p, j + 1) <> '' and not contains(get(_p, j + 1), '$'))) as _j""")
+    groups = {last: f"_e{n}" for n, last in enumerate(sorted({last for _, last in heads}))}
+    sorted_out = valued.selectExpr(
+        "path", "content", "_p", "array_contains(transform(_j, (j, i) -> i > 0 and get(_j, i - 1) = j - 1), true) as _close",
+        *[f"filter(_j, j -> get(_c, j) = {sql_text(last)}) as {name}" for last, name in groups.items()])
+    found = sorted_out.selectExpr("path", "content", "_p", "_close", *[
+        f"filter({groups[last]}, j -> {_word(patterns[pid - 1])}rlike(get(_p, j), {sql_text(head)})) as _k{pid}"
+        for pid, (head, last) in enumerate(heads, 1)])
+    return found.selectExpr("path", "content", "_p", *[f"if(_close, {_apart(f'_k{pid}')}, _k{pid}) as _k{pid}" for pid in ids])
+
+
+def _word(pattern: str) -> str:
+    """A piece without the word that a pattern starts with need not be decoded for it."""
+    word = re.match(r"[A-Za-z]+(?=\\s)", pattern)
+    return f"contains(get(_p, j), '{word[0]}') and " if word else ""
+
+
+def _head(pattern: str) -> tuple[str, str]:
+    """What a pattern wants before the opening quote, as a regex for the end of a piece, and its last character."""
+    head = pattern.removesuffix(_VALUE)
+    last = re.search(r"\\?(.)\\s[*+]$", head)
+    if head == pattern or not last:
+        raise ValueError(f"a pattern is a head, white space and a quoted value: {pattern}")
+    return f"{with_ws(head)}\\z", last[1]
 
-    What ``occurrences`` gives as rows; for callers that need a row for every file.
-    """
-    reason = _reason("hit.value")
-    localized = "hit.suffix_localized" + (" or hit.line_localized" if _line_rule(localized_rule) else "")
-    return _numbered(files, LITERAL_PATTERNS).selectExpr(
-        "path", f"filter({_all_hits(LITERAL_PATTERNS)}, hit -> ({reason}) is null and not ({localized})) as found")
+
+def _apart(found: str) -> str:
+    """Matches do not overlap: of pieces in a row, whose matches share a quote, every other one counts."""
+    rows = f"array_join(transform({found}, (j, i) -> if(i > 0 and get({found}, i - 1) = j - 1, '1', '0')), '')"
+    kept = f"split(regexp_replace({rows}, '([01])1', '$1x'), '')"
+    return f"""if(size({found}) < 2, {found},
+        transform(filter(arrays_zip({found}, {kept}), z -> z.`1` <> 'x'), z -> z.`{found}`))"""
 
 
 def _numbered(files: DataFrame, patterns: list[str]) -> DataFrame:
-    ids = range(1, len(patterns) + 1)
-    matches = files.selectExpr("path", "content", *[
-        f"{_matches(p, 0)} as _m{pid}" for pid, p in enumerate(patterns, 1)
-    ])
-    split = matches.selectExpr(
-        "path", "content", *[f"_m{pid}" for pid in ids],
-        *[f"if(size(_m{pid}) > 0, split(content, {sql_text(with_ws(p))}), null) as _g{pid}"
-          for pid, p in enumerate(patterns, 1)],
-        f"if({' + '.join(f'size(_m{pid})' for pid in ids)} > 0 and {_marked('content')}, "
-        f"transform(split(content, '\n'), line -> {_marked('line')}), null) as _marked",
+    found = " + ".join(f"size(_k{pid})" for pid in range(1, len(patterns) + 1))
+    names = ["path", "_p", *[f"_k{pid}" for pid in range(1, len(patterns) + 1)]]
+    return _matched(files, patterns).selectExpr(
+        *names,
+        f"if({found} > 0 and {_marked('content')}, transform(split(content, '\n'), line -> {_marked('line')}), null) as _marked",
+        f"if({found} > 0, {_QUOTE_LINES}, null) as _lines",
     )
-    return split.selectExpr("path", "_marked", *[f"_m{pid}" for pid in ids], *[f"_g{pid}" for pid in ids], *[
-        f"{_line_numbers(pid, p)} as _n{pid}" for pid, p in enumerate(patterns, 1)
-    ])
 
 
 def _all_hits(patterns: list[str]) -> str:
-    return "flatten(array(" + ", ".join(_hits(pid) for pid in range(1, len(patterns) + 1)) + "))"
-
-
-def _matches(pattern: str, group: int) -> str:
-    """All matches. A file without the word a pattern starts with is not decoded for it."""
-    found = f"regexp_extract_all(content, {sql_text(with_ws(pattern))}, {group})"
-    word = re.match(r"[A-Za-z]+(?=\\s)", pattern)
-    if not word:
-        return found
-    return f"if(contains(content, '{word[0]}'), {found}, cast(array() as array<string>))"
+    return "flatten(array(" + ", ".join(_hits(pid, p) for pid, p in enumerate(patterns, 1)) + "))"
 
 
 def _marked(text: str, test: str = "contains") -> str:
@@ -124,34 +151,21 @@ def _newlines(text: str) -> str:
     return f"(octet_length({text}) - octet_length(replace({text}, '\n', '')))"
 
 
-def _line_numbers(pid: int, pattern: str) -> str:
-    """Line of every match. Adding up the newlines of all parts before a match is quadratic in the
-    matches, so a file with many takes another way: a character is put before every match, and a
-    line that grew by k characters starts k matches."""
-    one = f"array(1 + {_newlines(f'get(_g{pid}, 0)')})"
-    counts = f"""transform(slice(_g{pid}, 1, size(_m{pid})), (g, i) ->
-        {_newlines('g')} + if(i > 0, {_newlines(f'get(_m{pid}, i - 1)')}, 0))"""
-    few = f"""slice(aggregate({counts}, array(1),
-        (sums, n) -> concat(sums, array(get(sums, size(sums) - 1) + n))), 2, {_FEW})"""
-    grown = f"split(regexp_replace(content, {sql_text(with_ws(pattern))}, '.$0'), '\n')"
-    many = f"""flatten(transform(arrays_zip({grown}, split(content, '\n')),
-        (line, i) -> array_repeat(i + 1, length(line.`0`) - length(line.`1`))))"""
-    return f"""case when size(_m{pid}) = 0 then null when size(_m{pid}) = 1 then {one}
-        when size(_m{pid}) <= {_FEW} then {few} else {many} end"""
-
-
-def _hits(pid: int) -> str:
-    # The only quotes of a match enclose its value.
-    value = "substring_index(substring_index(left(m, length(m) - 1), '\"', -1), '\\'', -1)"
-    trimmed = f"trim(leading {sql_text(TRIM_CHARS)} from get(_g{pid}, i + 1))"
-    behind = f"concat(left({trimmed}, 5), left(coalesce(get(_m{pid}, i + 1), ''), 5))"
-    return f"""
-        if(size(_m{pid}) = 0, cast(array() as {_HITS_TYPE}), transform(_m{pid}, (m, i) -> struct(
-          {pid} as pattern_id, i + 1 as match_ord, get(_n{pid}, i) as line_no, {value} as value,
-          _marked is not null and startswith({trimmed}, '.') and {_marked(behind, 'startswith')}
-            as suffix_localized,
-          _marked is not null and get(_marked, get(_n{pid}, i) - 1) as line_localized)))
-    """
+# The line of every quote, in order: a line has as many pieces' ends as it has quotes.
+_QUOTE_LINES = """flatten(transform(split(content, '\n'), (line, i) -> array_repeat(i + 1,
+    2 * octet_length(line) - octet_length(replace(line, '\"', '')) - octet_length(replace(line, '\\'', '')))))"""
+
+
+def _hits(pid: int, pattern: str) -> str:
+    head, _ = _head(pattern)
+    # The line of the opening quote, less the newlines of the head before it.
+    line = f"get(_lines, j) - {_newlines(f'regexp_extract(get(_p, j), {sql_text(head)}, 0)')}"
+    behind = "get(_p, m.j + 2)"
+    trimmed = f"trim(leading {sql_text(TRIM_CHARS)} from {behind})"
+    return f"""transform(transform(_k{pid}, j -> struct(j, {line} as line)), (m, i) -> struct(
+          {pid} as pattern_id, i + 1 as match_ord, m.line as line_no, get(_p, m.j + 1) as value,
+          _marked is not null and {_marked(behind)} and {_marked(trimmed, 'startswith')} as suffix_localized,
+          _marked is not null and get(_marked, m.line - 1) as line_localized))"""
 
 
 def ignore_reason(column: str = "value") -> Column:

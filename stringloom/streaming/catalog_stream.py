@@ -108,7 +108,7 @@ def changed_states(files: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Changed states (``key, bucket, …``) of a stream of (path, content). A null content says that a file is gone."""
     content = F.when(scannable(), F.col("content"))
     found = file_occurrences(files.select("path", F.coalesce(content, F.lit("")).alias("content")))
-    rows = found.select("path", F.explode_outer("found").alias("hit")).select("path", "hit.*").withColumn("key", make_key("value"))
+    rows = found.withColumn("key", make_key("value"))
     changes = rows.groupBy("path").transformWithState(FileChanges(), _ENTRY, "update", "none")
     bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
     return changes.withColumn("bucket", bucket).groupBy("key", "bucket").transformWithState(KeyStates(), _STATE, "update", "none")
