@@ -74,6 +74,10 @@ concat_ws(chr(10), 'final Map<String, String> m = {{',
   '  ' || {_Q} || 'shared' || {_Q} || ': ' || {_Q} || 'Shared ' || cast(c_custkey as string) || {_Q},
   '}};')
 """
+# What becomes of some bundles, by the number in their name.
+_NUMBER = "cast(substring(path, 10, 12) as int)"
+BROKEN = f"""case when {_NUMBER} % 7 = 0 then left(content, length(content) - 4) when {_NUMBER} % 11 = 0 then '["a"]'
+  when {_NUMBER} % 13 = 0 then ' ' else content end"""
 _KEYS = "concat('000000000000', cast(c_custkey as string))"
 BUNDLE_PATH = f"'l10n/app_' || right({_KEYS}, 12)"
 

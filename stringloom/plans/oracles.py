@@ -5,7 +5,7 @@ from ..functions.fixed_values import (
     LOCALIZATION_FILE_PARTS, NUMBER_PATTERN, REWRITE_SKIP_PARTS, SERVICE_LANGUAGES, SYMBOLS_PATTERN,
 )
 from ..functions.text import TRIM_CHARS, WS, with_ws
-from .inputs import view_sql
+from .inputs import BROKEN, view_sql
 from .queries import AS_OF, QUOTA, SHOWN, TARGETS
 
 ORACLES: dict[str, str] = {}
@@ -262,6 +262,15 @@ oracle("load_getx", [], f"""
     select path, k, v, unnest(range(1, len(k) + 1)) as i from (
       select path, regexp_extract_all(content, {_q(f"'([^']+)':[{WS}]*'([^']*)'")}, 1) as k,
              regexp_extract_all(content, {_q(f"'([^']+)':[{WS}]*'([^']*)'")}, 2) as v from ({view_sql('getx_files')})))""")
+_DART_ENTRY = r"'[^']+':\s*'[^']*'"
+oracle("bundle_problems", [], f"""
+  select * from (
+    select path, case when trim(content) = '' then 'empty'
+        when not ends_with(path, '.dart') and (not json_valid(content) or json_type(try_cast(content as json)) <> 'OBJECT') then 'not a JSON object'
+        when ends_with(path, '.dart') and not regexp_matches(content, {_q(_DART_ENTRY)}) then 'no entries' end as problem
+    from (select path, {BROKEN} as content from (
+      {view_sql("arb_files")} union all {view_sql("json_files")} union all {view_sql("getx_files")})))
+  where problem is not null""")
 oracle("load_bundles", [], f"""
   select key, arg_max(value, path) as value, min(path) as path from (
     select 'k_' || cast(c_custkey % 600 as varchar) as key, c_name as value, p as path

@@ -12,7 +12,7 @@ from ..sinks import versions, writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
 from ..streaming import catalog_stream, extract_stream
 from . import flows
-from .inputs import code_files, spread, table, view
+from .inputs import BROKEN, code_files, spread, table, view
 from .staging import stage, staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +148,13 @@ def load_getx(spark, sf):
     return bundle_sources.load_getx(view(spark, sf, "getx_files"))
 
 
+@query
+def bundle_problems(spark, sf):
+    """Bundles of which some were cut, emptied or replaced by a list."""
+    files = view(spark, sf, "arb_files").unionByName(view(spark, sf, "json_files")).unionByName(view(spark, sf, "getx_files"))
+    return bundle_sources.bundle_problems(files.selectExpr("path", f"{BROKEN} as content"))
+
+
 @query
 def load_bundles(spark, sf):
     names = ("arb_files", "json_files", "getx_files")

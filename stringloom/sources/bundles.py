@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import WS
+from ..functions.text import WS, utrim
 
 _SUFFIX = {"arb": ".arb", "json": ".json", "getx": ".dart"}
 _ENTRY = rf"'([^']+)':[{WS}]*'([^']*)'"
@@ -40,6 +40,20 @@ def load_format(files: DataFrame, fmt: str) -> DataFrame:
     return loaders[fmt](files.where(F.col("path").endswith(_SUFFIX[fmt])))
 
 
+def bundle_problems(files: DataFrame) -> DataFrame:
+    """Bundles that give no entries, with the reason: path, problem. Loading leaves them out."""
+    path, content = F.col("path"), F.col("content")
+    json = path.endswith(_SUFFIX["arb"]) | path.endswith(_SUFFIX["json"])
+    entries = F.from_json("content", "map<string,string>")
+    problem = (
+        F.when(content.isNull() | (utrim("content") == ""), F.lit("empty"))
+        .when(json & entries.isNull(), F.lit("not a JSON object"))
+        .when(path.endswith(_SUFFIX["getx"]) & (F.regexp_count("content", F.lit(_ENTRY)) == 0), F.lit("no entries"))
+    )
+    known = json | path.endswith(_SUFFIX["getx"])
+    return files.where(known).select("path", F.explode(F.array_compact(F.array(problem))).alias("problem"))
+
+
 def load_bundles(files: DataFrame, formats: tuple[str, ...] = ("arb", "json", "getx")) -> DataFrame:
     """One row per key over all files: last value, first position (path and place in the file)."""
     entries = reduce(DataFrame.unionByName, [load_format(files, f) for f in formats])

@@ -106,3 +106,13 @@ def test_report(spark, tmp_path):
         "📊 ARB Generation Report\nGenerated: 2026-01-15 10:30:00\nTotal keys: 6\nARB files created: 2\n"
         f"Keys with missing translations: 2\n\n{GLYPHS}\nMissing Translations (by key):\n{GLYPHS}\n\n"
         "[key_1_am]\n  Missing in: app_fr\n\n[key_1_am]\n  Missing in: app_fr\n\n")
+
+
+def test_bundle_problems(spark):
+    from stringloom.sources import bundles
+
+    files = spark.createDataFrame([
+        ("a.arb", '{"a":"b"}'), ("cut.json", '{"a":"b"'), ("list.json", '["a"]'), ("none.arb", " "), ("null.json", None),
+        ("m.dart", "'k': 'v'"), ("n.dart", "class X {}"), ("o.txt", "{"), ("empty.json", "{}")], "path string, content string")
+    got = {r["path"]: r["problem"] for r in bundles.bundle_problems(files).collect()}
+    assert got == {"cut.json": "not a JSON object", "list.json": "not a JSON object", "none.arb": "empty", "null.json": "empty", "n.dart": "no entries"}
