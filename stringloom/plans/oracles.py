@@ -584,4 +584,5 @@ oracle("translate_quota", ["work"], f"""
 
 # --- streaming: the same as a batch over all source files ------------------------------
 ORACLES["stream_extract"] = ORACLES["unique_strings"]
+ORACLES["rescan_changed"] = ORACLES["unique_strings"]
 ORACLES["stream_catalog"] = ORACLES["smart_merge"]

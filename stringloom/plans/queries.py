@@ -11,7 +11,7 @@ from ..operators import bundles, catalog, extract, ledger, quality, rewrite, tra
 from ..sinks import versions, writers
 from ..sources import bundles as bundle_sources, files as file_sources, sheets
 from ..streaming import catalog_stream, extract_stream
-from . import flows
+from . import flows, rescan
 from .inputs import BROKEN, code_files, spread, table, view
 from .staging import stage, staging_dir
 
@@ -284,6 +284,21 @@ def unique_strings(spark, sf):
     return _strings(spark, sf)
 
 
+@query
+def rescan_changed(spark, sf):
+    """Strings of a tree that was scanned before a third of its files changed, one went and many came."""
+    target = f"{staging_dir(spark)}/scan-{uuid.uuid4().hex}"
+    now = view(spark, sf, "code_files").selectExpr("path", "content", "abs(hash(path)) % 3 as part")
+    before = now.where("part > 0 or path like 'lib/%'").selectExpr("path", "if(part = 1, upper(content), content) as content", "0 as part")
+    before = before.unionByName(before.selectExpr("'lib/gone.dart' as path", "'Text(\"gone\")' as content", "part").limit(1))
+    for tree in (before, now):
+        listing = tree.selectExpr("path", "octet_length(content) as length", "timestamp_seconds(if(part = 1, 2, 1)) as modified")
+        read = lambda changed, tree=tree: tree.join(changed.select("path"), "path", "left_semi").selectExpr(
+            "path", "cast(content as binary) as data")
+        rescan.scan(spark, listing.where(extract.scannable()), read, target)
+    return rescan.read_strings(spark, target)
+
+
 @query
 def extract_summary(spark, sf):
     return extract.extract_summary(_found(spark, sf))
