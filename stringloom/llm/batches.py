@@ -6,7 +6,7 @@ the whole corpus goes as packed arrays to shards by value; each shard answers ev
 An array holds a value once per batch, however often the batch has it, so a value that a third of all
 documents share costs a shard one entry per batch.
 
-A null id counts as the largest id. A null text is empty.
+Document ids are integers. A null id counts as the largest id. A null text is empty.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ count for nothing. A shard maps each of its keys to a place of its own, where ar
 fingerprint, the number of its documents and the smallest of their ids. A document's line goes if its
 key stands in two documents at least and the smallest is another.
 
-Keys are told apart by 128 bits, half of which is the stored fingerprint. A null or empty text is one
+Document ids are integers. Keys are told apart by 128 bits, half of which is the stored fingerprint. A null or empty text is one
 empty line. Rows that share an id are one document; a null id counts as the largest, and rows without
 an id are one document too. Empty tables give no rows. Only the two named columns are read.
 """

@@ -11,7 +11,7 @@ about half that length, leftmost on ties. Names of prefixes grow round by round,
 
 Names are 64-bit polynomial hashes (48 bits in round 1, which only selects). Removed are all bytes of
 windows that start in a document with a smaller id, judged on the input. Documents of one id do not
-remove each other's bytes; a null id counts as the largest. Texts shorter than ``length``, empty and
+remove each other's bytes; ids are integers, and a null id counts as the largest. Texts shorter than ``length``, empty and
 null texts lose nothing. A row is returned for every row; only the two named columns are read.
 """
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -337,3 +338,68 @@ def test_stages_with_clashing_names_and_odd_rows(spark, stage):
     else:
         columns = plain.columns
     assert sorted(map(repr, wide.select(columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_quality_against_a_dense_fit(spark):
+    """The partition-summed fit is that of one matrix on one machine."""
+    draw = np.random.default_rng(3)
+    features = draw.uniform(size=(400, len(quality.FEATURES)))
+    label = (features[:, 0] + 0.3 * draw.normal(size=400) > 0.5).astype(int)
+    fold = draw.integers(0, 5, 400)
+    rows = spark.createDataFrame(
+        [(f.tolist(), int(y), int(k)) for f, y, k in zip(features, label, fold, strict=True)], "features array<double>, label int, fold long")
+    model = quality.fit(rows.repartition(7), waves=32)
+    x, y = features[fold != 0], label[fold != 0].astype(float)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    again = np.random.default_rng(11)
+    waves, shift = again.normal(size=(x.shape[1], 32)) / 3.0, again.uniform(0, 2 * np.pi, 32)
+    lift = lambda f: np.hstack([np.sqrt(2 / 32) * np.cos(np.clip((f - mean) / scale, -6, 6) @ waves + shift), np.ones((len(f), 1))])
+    z = lift(x)
+    penalty = np.eye(33) * 1e-2 * len(x) / 32
+    penalty[-1, -1] = 0
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    assert np.allclose(model.raw(features), lift(features) @ weights, atol=1e-6)
+    at = np.clip(np.round((lift(features[fold == 0]) @ weights + 1) / 3 * 2048), 0, 2048) * 3 / 2048 - 1
+    places, held = np.unique(at), label[fold == 0]
+    steps = quality.isotonic(places, np.array([held[at == u].sum() for u in places]), np.array([(at == u).sum() for u in places]))
+    assert np.allclose(model.steps[0], steps[0]) and np.allclose(model.steps[1], steps[1])
+
+
+def test_isotonic_against_min_max():
+    """Pool by pool, the fit is max over starts of min over ends of the mean between."""
+    draw = random.Random(8)
+    for _ in range(50):
+        n = [draw.randint(1, 4) for _ in range(12)]
+        ones = [draw.randint(0, k) for k in n]
+        mean = lambda i, j: sum(ones[i : j + 1]) / sum(n[i : j + 1])
+        fit = [max(min(mean(i, j) for j in range(k, 12)) for i in range(k + 1)) for k in range(12)]
+        _, shares = quality.isotonic(np.arange(12.0), np.array(ones), np.array(n))
+        assert np.allclose(sorted(set(np.round(fit, 9))), np.round(shares, 9))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_with_any_tokenizer(name):
+    """A tokenizer that keeps blanks or case takes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    own, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert own.by_word == (name == "word_bpe_49k.json")
+    texts = ["Hello  World\n don't", "", "É x 12", "  a\t", "ÀB ab Ab"]
+    got = own.encode([t.encode() for t in texts] + [None], 2)
+    assert [x.tolist() for x in got] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts] + [[2]]
+
+
+def test_token_files_roll_over(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, [(i, f"word{i} " * 30, "s") for i in range(40)]).coalesce(1)
+    expected = sorted(map(tuple, tokens.token_digests(docs, path).collect()))
+    monkeypatch.setattr(tokens, "FILE_BYTES", 100)
+    monkeypatch.setattr(tokens, "BLOCK_TOKENS", 64)
+    index, _, _ = tokens.token_files(docs, path)
+    assert index.select("file").distinct().count() > 8
+    assert sorted(map(tuple, tokens.token_digests(docs, path).collect())) == expected

@@ -200,3 +200,22 @@ def test_embeddings(spark, tile):
     want = [(int(i), int(k), int(c), bool(i == c)) for i, k, c in zip(ids, link.sum(axis=1), name, strict=True)]
     assert plain(embeddings.near_duplicates(frame, tile=tile).collect()) == plain(want)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_long_texts_lose_no_line_and_no_fingerprint(spark):
+    """A text of several megabytes beside short ones."""
+    long = "\n".join(f"line number {i} of a long text" for i in range(120_000))
+    rows = [(1, long), (2, "line number 77 of a long text\nown line here"), (3, long), (None, None)]
+    docs = table(spark, rows)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.drop_repeated_lines(docs).collect()}
+    assert got == {1: (120_000, 0), 2: (2, 1), 3: (120_000, 120_000), None: (1, 0)}
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert found[1] == found[3] and found[1][1] == 1 and found[2][1] == 2
+
+
+def test_vectors_beside_columns_of_any_name(spark):
+    rows = [(i, [1.0, 0.01 * (i % 3), 0.0], "a" if i % 2 else "b", "x", 1.0, True, 5) for i in range(12)]
+    names = "vec_id long, embedding array<float>, label string, node string, weight double, usable boolean, key int"
+    plain_rows = spark.createDataFrame(rows, names)
+    bare = plain_rows.select("vec_id", "embedding", "label")
+    assert sorted(map(tuple, embeddings.near_duplicates(plain_rows).collect())) == sorted(map(tuple, embeddings.near_duplicates(bare).collect()))
