@@ -154,6 +154,8 @@ _SQL_VIEWS = {
     "json_files": f"select {BUNDLE_PATH} || '.json' as path, {JSON_CONTENT} as content from {{customer}}",
     "getx_files": f"select {BUNDLE_PATH} || '.dart' as path, {GETX_CONTENT} as content from {{customer}}",
 }
+# Rows of a table that one task makes longer rows or several rows of.
+TASK_ROWS = 100_000
 _TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -165,9 +167,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores (the test tables have one), spread before its rows grow."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table of fewer splits than cores (the test tables have one) or of very many rows to a split, spread
+    before its rows grow. Counting reads Parquet's footers only."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +180,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
     if name == "sheet_long":
         langs = F.expr(f"inline(array({_LANG_STRUCTS}))")
-        return table(spark, sf_dir, "part").select("*", langs).selectExpr(
+        return spread(table(spark, sf_dir, "part")).select("*", langs).selectExpr(
             "p_brand as sheet", "cast(p_partkey + 4 as int) as row_no", "p_name as raw_key", "ord", "lang",
             f"{LONG_VALUE} as value",
         )

@@ -4,8 +4,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stringloom.plans import inputs
 from stringloom.plans.oracles import ORACLES
 from stringloom.plans.queries import QUERIES
 
@@ -51,3 +53,15 @@ def test_every_query_is_registered():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_long_rows_are_made_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """One split of a small file becomes as many tasks as its rows ask for, with the same rows."""
+    parts = spark.range(1, 1001).selectExpr(
+        "id as p_partkey", "concat('name ', id % 7) as p_name", "concat('brand ', id % 3) as p_brand")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    whole = sorted(inputs.view(spark, str(tmp_path), "sheet_long").collect())
+    monkeypatch.setattr(inputs, "TASK_ROWS", 40)
+    long = inputs.view(spark, str(tmp_path), "sheet_long")
+    assert max(r["n"] for r in long.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) <= 5 * 50
+    assert sorted(long.collect()) == whole and len(whole) == 5000
