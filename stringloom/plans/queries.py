@@ -636,10 +636,10 @@ def sheet_records(spark, sf):
 
 @query
 def sheet_records_scan(spark, sf):
-    """The same rows from files that are read by splits."""
+    """The same rows from files that are read by splits. A file holds many sheets, each line with the name of its own."""
     folder = f"{staging_dir(spark)}/sheets-{uuid.uuid4().hex}"
-    view(spark, sf, "break_files").select(F.col("path").alias("sheet"), "content").write.partitionBy("sheet").text(folder)
-    rows = sheets.read_sheet_lines(spark, folder, quoted_breaks=True, by="folder")
+    writers.write_named_sheets(view(spark, sf, "break_files"), folder)
+    rows = sheets.read_sheet_lines(spark, folder, quoted_breaks=True, by="name")
     return rows.select(F.regexp_extract("path", "([0-9]+)[.]csv$", 1).cast("long").alias("sheet"), "row_no", "line")
 
 

@@ -81,6 +81,15 @@ def write_sheets(lines: DataFrame, path: str) -> None:
     lines.orderBy("sheet", "row_no").select("sheet", "line").write.partitionBy("sheet").text(path)
 
 
+def write_named_sheets(files: DataFrame, path: str) -> None:
+    """Very many small sheets (path, content) in a few files, one per task: each line with its sheet's name and a tab
+    before it. ``read_sheet_lines(by="name")`` reads them."""
+    name = F.when(F.col("path").rlike("[\t\n]"), F.raise_error(F.concat(F.lit("a tab or line break in the name "), "path")))
+    name = name.otherwise(F.coalesce("path", F.lit("")))
+    lines = files.select("path", F.explode(F.split("content", "\n")).alias("line"))
+    lines.select(F.concat(name, F.lit("\t"), "line").alias("line")).write.text(path)
+
+
 def write_rewritten(files: DataFrame, path: str) -> None:
     """Rewritten sources as a table (path, content, planned, applied); inputs are never overwritten."""
     files.write.parquet(path)

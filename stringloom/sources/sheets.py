@@ -14,6 +14,8 @@ from .files import decode_text
 
 # A line break outside quotes, and what stands up to the next one; a quote left open reaches to the end.
 _RECORD = r'\n((?:[^"\n]++|"[^"]*+(?:"|\z))*+)'
+# Lines of a split that are numbered together, as a power of two.
+BLOCK_BITS = 16
 # Lines of a row with quoted line breaks. More of them say that a quote was left open.
 RECORD_LINES = 1_000
 
@@ -39,7 +41,8 @@ def read_sheet_lines(
 
     The text source splits a large file over tasks. Rows are counted per split, the counts give each
     split its offset, and rows are numbered inside their split. With ``by="folder"`` the part files of a
-    folder, in name order, are one sheet, named by the folder.
+    folder, in name order, are one sheet, named by the folder. With ``by="name"`` very many small sheets share a
+    few files, as ``writers.write_named_sheets`` leaves them: each line begins with its sheet's name and a tab.
 
     With ``quoted_breaks`` a line break inside quotes belongs to its row; ``sheet_rows`` has the same
     option. A sheet where a row would have more than ``record_lines`` lines has a quote left open: it is
@@ -65,16 +68,25 @@ def open_quotes(
 
 def _split_lines(spark: SparkSession, path: str, by: str) -> DataFrame:
     """path, _split, _seq, line: lines with the split that they begin in and their place in it."""
-    if by not in ("file", "folder"):
+    if by not in ("file", "folder", "name"):
         raise ValueError(f"unknown sheet: {by}")
-    file = F.col("_metadata.file_path")
+    file, raw = F.col("_metadata.file_path"), F.col("value").cast("binary")
+    last = F.substring_index(file, "/", -1)
+    name = F.substring_index("value", "\t", 1)
+    # What the path of a sheet says already is not carried along with every line.
+    sheet, part = {
+        "file": (file, F.lit("")), "folder": (F.left(file, F.length(file) - F.length(last) - 1), last), "name": (name, file)}[by]
+    if by == "name":
+        raw = F.substring(raw, F.octet_length(name) + 2, F.octet_length(raw))
     # Longer names of parts come later, so that part 100000 follows part 99999.
-    return spark.read.option("lineSep", "\n").text(path).select(
-        (file if by == "file" else F.regexp_replace(file, "/[^/]*$", "")).alias("path"),
-        F.struct(F.length(file).alias("length"), file.alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"),
-        F.monotonically_increasing_id().alias("_seq"),
-        decode_text(F.col("value").cast("binary")).alias("line"),
-    )
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        sheet.alias("path"), part.alias("_part"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"), decode_text(raw).alias("line"))
+    # A block of a split, so that the lines that are sorted together do not grow with the split.
+    split = F.struct(
+        F.length("_part").alias("length"), F.col("_part").alias("file"), F.col("_start").alias("start"),
+        F.shiftright("_seq", BLOCK_BITS).alias("block"))
+    return lines.select("path", split.alias("_split"), "_seq", "line")
 
 
 def _number_lines(lines: DataFrame) -> DataFrame:

@@ -176,3 +176,26 @@ def test_catalog_with_breaks_reads_back(spark, tmp_path):
     whole = "".join(sorted(p.read_text() for p in (tmp_path / "csv").glob("part-*")))
     read = sheets.read_catalog(spark.createDataFrame([("p", whole)], "path string, content string"), quoted_breaks=True)
     assert {r["key"]: r["english"] for r in read.collect()} == {f"key_{i}": t.strip() for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_many_sheets_in_a_few_files(spark, tmp_path, size):
+    """Sheets that share files, cut anywhere, have the rows of sheets apart; files do not grow in number with sheets."""
+    texts = {f"s/{i}.csv": BREAKS.replace("k1", f"k\t{i}") for i in range(30)} | {"open": 'a,"b\nc', "empty": ""}
+    sheets_apart = spark.createDataFrame(list(texts.items()) + [("null", None)], "path string, content string")
+    writers.write_named_sheets(sheets_apart.coalesce(2), str(tmp_path / "all"))
+    assert len(list((tmp_path / "all").glob("part-*"))) <= 2
+    expected = rows(sheets.sheet_rows(sheets_apart, quoted_breaks=True), F.regexp_extract("path", r"([^/]+)$", 1), "row_no", "line")
+    assert _cut(spark, str(tmp_path / "all"), size, quoted_breaks=True, by="name") == expected
+    with pytest.raises(Exception, match="in the name"):
+        writers.write_named_sheets(spark.createDataFrame([("a\tb", "x")], "path string, content string"), str(tmp_path / "bad"))
+
+
+def test_lines_of_a_split_are_numbered_in_blocks(spark, tmp_path, monkeypatch):
+    """What is sorted together is a block of a split, and blocks change no row."""
+    (tmp_path / "a.csv").write_text(BREAKS * 20)
+    whole = rows(sheets.read_sheet_lines(spark, str(tmp_path), quoted_breaks=True), "row_no", "line")
+    monkeypatch.setattr(sheets, "BLOCK_BITS", 2)
+    lines = sheets._split_lines(spark, str(tmp_path), "file")
+    assert max(r["count"] for r in lines.groupBy("path", "_split").count().collect()) == 4
+    assert rows(sheets.read_sheet_lines(spark, str(tmp_path), quoted_breaks=True), "row_no", "line") == whole
