@@ -22,6 +22,11 @@ def split_fields(line: Column, dialect: str = "escaped") -> Column:
     return F.transform(fields, _unquote if dialect == "escaped" else _strip_quotes)
 
 
+def first_field(line: Column) -> Column:
+    """The first of the ``escaped`` fields of a line, without splitting the others off."""
+    return _unquote(F.regexp_extract(F.concat(F.lit(","), line), _FIELD, 1))
+
+
 def has_language_codes(fields: Column) -> Column:
     """True when a field after the first looks like a language code."""
     return F.exists(

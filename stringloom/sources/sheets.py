@@ -7,7 +7,7 @@ shuffle. A sheet too large for one row is read with ``read_sheet_lines`` instead
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.fields import has_language_codes, split_fields
+from ..functions.fields import first_field, has_language_codes, split_fields
 from ..functions.text import TRIM_CHARS, is_blank, make_key, preview_cell, utrim
 from ..operators.skew import HOT_ROWS, count_keys, hot_keys, running_sum, spread_join
 from .files import decode_text
@@ -209,11 +209,20 @@ def read_catalog(files: DataFrame, quoted_breaks: bool = False) -> DataFrame:
 
 
 def read_catalog_lines(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``read_catalog`` for line tables (path, row_no, line), for catalogs of any size."""
+    """``read_catalog`` for line tables (path, row_no, line), for catalogs of any size.
+
+    Only lines are grouped and shuffled; a line gets its texts of all languages when it is known to be its key's last.
+    """
     header = rows.where(F.col("row_no") == 2).select("path", _catalog_codes(F.col("line")).alias("_codes"))
     data = rows.where(F.col("row_no") >= 4).select("path", (F.col("row_no") - 4).alias("ord"), "line")
     hot = hot_keys(count_keys(data, ["path"]), ["path"], hot_rows)
-    return _catalog_rows(spread_join(data, header, ["path"], ["ord"], hot))
+    last = _last_of_key(data.withColumn("key", make_key(utrim(first_field(F.col("line"))))), "line")
+    return spread_join(last, header, ["path"], ["key"], hot).select("path", "key", *_catalog_texts(), "ord")
+
+
+def _last_of_key(rows: DataFrame, value: str) -> DataFrame:
+    """path, key, the value of the last row of the key, ord of its first."""
+    return rows.groupBy("path", "key").agg(F.max_by(value, "ord").alias(value), F.min("ord").alias("ord"))
 
 
 def _catalog_codes(line: Column) -> Column:
@@ -225,22 +234,30 @@ def _catalog_codes(line: Column) -> Column:
 
 def _catalog_rows(rows: DataFrame) -> DataFrame:
     """path, key, english, translations, ord of rows (path, _codes, ord, line)."""
-    rows = rows.withColumns({
-        "_v": split_fields(F.col("line")), "_repeated": F.size(F.array_distinct("_codes")) < F.size("_codes")})
-    entries = F.filter(
-        F.transform("_codes", lambda c, i: F.struct(c.alias("lang"), utrim(F.get("_v", i + 2)).alias("text"))),
-        lambda e: e["text"].isNotNull(),
-    )
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.size(entries)), lambda later: later["lang"] == e["lang"]))
-    rows = rows.select(
-        "path", "ord", make_key(utrim(F.get("_v", F.lit(0)))).alias("key"),
-        F.coalesce(utrim(F.get("_v", F.lit(1))), F.lit("")).alias("english"),
-        F.map_from_entries(F.when(F.col("_repeated"), last).otherwise(entries)).alias("translations"),
-    )
-    return rows.groupBy("path", "key").agg(
-        F.max_by(F.struct("english", "translations"), "ord").alias("_last"), F.min("ord").alias("ord")
-    ).select("path", "key", "_last.english", "_last.translations", "ord")
+    last = _last_of_key(
+        rows.select("path", "ord", make_key(utrim(first_field(F.col("line")))).alias("key"), F.struct("_codes", "line").alias("_last")),
+        "_last")
+    return last.select("path", "key", "_last.*", "ord").select("path", "key", *_catalog_texts(), "ord")
+
+
+def _catalog_texts() -> list[Column]:
+    """english and translations of a row with ``_codes`` and ``line``."""
+    # Inside the function of an array of one the fields are split once, however often they are used.
+    split = F.array(F.struct(
+        split_fields(F.col("line")).alias("v"), (F.size(F.array_distinct("_codes")) < F.size("_codes")).alias("repeated")))
+
+    def texts(row):
+        entries = F.filter(
+            F.transform("_codes", lambda c, i: F.struct(c.alias("lang"), utrim(F.get(row["v"], i + 2)).alias("text"))),
+            lambda e: e["text"].isNotNull())
+        last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(
+            F.slice(entries, i + 2, F.size(entries)), lambda later: later["lang"] == e["lang"]))
+        chosen = F.when(row["repeated"], F.get(F.transform(F.array(entries), last), F.lit(0))).otherwise(entries)
+        return F.struct(
+            F.coalesce(utrim(F.get(row["v"], F.lit(1))), F.lit("")).alias("english"), F.map_from_entries(chosen).alias("translations"))
+
+    found = F.get(F.transform(split, texts), F.lit(0))
+    return [found["english"].alias("english"), found["translations"].alias("translations")]
 
 
 def sheet_lines(blank: str = "trim", quoted_breaks: bool = False) -> Column:

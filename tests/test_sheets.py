@@ -199,3 +199,12 @@ def test_lines_of_a_split_are_numbered_in_blocks(spark, tmp_path, monkeypatch):
     lines = sheets._split_lines(spark, str(tmp_path), "file")
     assert max(r["count"] for r in lines.groupBy("path", "_split").count().collect()) == 4
     assert rows(sheets.read_sheet_lines(spark, str(tmp_path), quoted_breaks=True), "row_no", "line") == whole
+
+
+def test_catalog_lines_are_grouped_without_their_texts(spark):
+    """The map of all languages is made of a key's last line, behind the aggregate."""
+    text = ",1,2,3\n,app_en,app_fr,app_ar\nKey,e,f,a\nk1,One, un ,\nk2,Two\nk1,Uno,,x,extra\n"
+    lines = sheets.sheet_rows(files(spark, text))
+    read = sheets.read_catalog_lines(lines)
+    assert "max_by(struct" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(read, "key", "english", "translations", "ord") == rows(sheets.read_catalog(files(spark, text)), "key", "english", "translations", "ord")
