@@ -67,8 +67,9 @@ def resolve_mode(
 
 def extra_languages(merged: DataFrame, langs: list[str]) -> list[str]:
     """Codes of a merge result that ``langs`` lacks, in order: columns of its header, so few."""
-    codes = merged.select(F.explode(F.map_keys("translations")).alias("lang")).distinct()
-    return [r["lang"] for r in codes.where(~F.col("lang").isin(langs)).orderBy("lang").collect()]
+    others = F.array_except(F.map_keys("translations"), F.array(*[F.lit(lang) for lang in langs]).cast("array<string>"))
+    codes = merged.select(F.explode(others).alias("lang")).distinct()
+    return [r["lang"] for r in codes.orderBy("lang").collect()]
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:
@@ -90,8 +91,11 @@ def catalog_cells(langs: list[str], snake_case_keys: bool = True) -> Column:
     """Cells of a catalog row: key, English, then the other languages ('' where missing)."""
     key = F.col("key") if snake_case_keys else readable_key("key")
     others = F.array(*[F.lit(lang) for lang in langs[1:]])
-    texts = F.transform(others, lambda lang: F.coalesce(F.try_element_at("translations", lang), F.lit("")))
-    return F.concat(F.array(key, F.col("english")), texts)
+    # Blank texts leave the map first (once, inside an array of one): each language is looked for in what is left.
+    filled = F.array(F.map_filter("translations", lambda _, text: text != ""))
+    texts = F.transform(filled, lambda some: F.transform(
+        others, lambda lang: F.coalesce(F.try_element_at(some, lang), F.lit(""))))
+    return F.concat(F.array(key, F.col("english")), F.get(texts, F.lit(0)))
 
 
 def catalog_summary(files: DataFrame) -> DataFrame:

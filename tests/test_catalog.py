@@ -114,3 +114,14 @@ def test_load_bundles(spark):
     assert got["@@x"][0] == "kept" and "@@locale" not in got and "no" not in got
     assert got["b"] == ("", "l/c.json", 1)
     assert {r["key"] for r in sources.load_bundles(files, ("arb",)).collect()} == {"a", "n", "z", "o", "q"}
+
+
+def test_blank_texts_of_many_languages(spark):
+    """Blank and missing texts are empty cells; languages of the list make no rows when others are looked for."""
+    merged = spark.createDataFrame(
+        [("k", "E", {"app_fr": "", "app_ar": "x", "app_xx": ""}), ("l", "F", {}), ("m", "G", None), ("n", "H", {"app_fr": None})],
+        "key string, english string, translations map<string,string>")
+    cells = merged.select(catalog.catalog_cells(["app_en", "app_fr", "app_ar"]).alias("c"))
+    assert [r["c"] for r in cells.orderBy("c").collect()] == [["k", "E", "", "x"], ["l", "F", "", ""], ["m", "G", "", ""], ["n", "H", "", ""]]
+    assert "map_filter" in cells._jdf.queryExecution().optimizedPlan().toString().lower().replace("mapfilter", "map_filter")
+    assert catalog.extra_languages(merged, ["app_en", "app_fr", "app_ar"]) == ["app_xx"]
