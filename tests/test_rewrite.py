@@ -151,3 +151,8 @@ def test_many_steps_cost_the_length_of_the_file():
     new, applied = quoted.replace_all(hot, [("Go", "'go'.tr")] * n)
     assert applied == 1 and new == "x('go'.tr) " * n
     assert time.process_time() - start < 5
+
+
+def test_a_replacement_that_stands_there_already():
+    for text, step in (('"a"b"', ("b", '"b"')), ("'b'", ("b", "'b'")), ('" b "  b "', ("b", '" b "')), ('"x"y"', ('x"y', '"x"y"'))):
+        assert quoted.replace_all(text, [step]) == apply_text(text, [(0, *step)]) == (text, 0)
