@@ -60,7 +60,11 @@ def make_key(text) -> Column:
     Spaces beyond ASCII first become plain ones, in texts that may hold any; the patterns that see
     every character then need only a small ASCII class.
     """
-    low = F.lower(_c(text))
+    return key_of_lower(F.lower(_c(text)))
+
+
+def key_of_lower(low: Column) -> Column:
+    """The key of a text that is in lower case already."""
     ascii_only = F.octet_length(low) == F.length(low)
     plain = F.when(ascii_only, low).otherwise(F.regexp_replace(low, f"[{_WIDE_WS}]", " "))
     kept = F.regexp_replace(plain, rf"[^\w{_ASCII_WS}]+", "")

@@ -13,7 +13,7 @@ from ..functions.fixed_values import (
     LITERAL_PATTERNS, LOCALIZATION_DIRS, LOCALIZATION_FILE_PARTS, MAX_FILE_CHARS, NUMBER_PATTERN,
     SYMBOLS_PATTERN,
 )
-from ..functions.text import TRIM_CHARS, make_key, sql_text, with_ws
+from ..functions.text import TRIM_CHARS, key_of_lower, make_key, sql_text, with_ws
 from ..sources.files import fits
 
 ORDER = ("path", "pattern_id", "match_ord")
@@ -86,24 +86,48 @@ def file_occurrences(files: DataFrame, localized_rule: str = "line") -> DataFram
     return rows.select(*ORDER, "line_no", F.when(F.col("_kept"), F.col("value")).alias("value"))
 
 
-def _matched(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """path, content, the pieces ``_p`` and per pattern the pieces ``_k`` that its matches begin in."""
+def file_states(files: DataFrame, localized_rule: str = "line", keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The columns ``keep`` and key, last, first, uses: what ``string_states`` says of every row's own literals, one row
+    per key, and a row whose ``key`` is null for a file without any.
+
+    A file's hits stand in its row, so they are grouped there: sorted by key and place, a key is a run of them.
+    """
+    wanted = "not h.suffix_localized" + (" and not h.line_localized" if _line_rule(localized_rule) else "")
+    hits = _numbered(files, LITERAL_PATTERNS, keep).selectExpr(*keep, f"""transform(filter({_all_hits(LITERAL_PATTERNS)}, h -> {wanted}),
+        h -> struct(h as hit, {_trimmed('h.value')} as text)) as _hits""")
+    kept = hits.selectExpr(*keep, f"""transform(filter(_hits, h -> {_noise('h.text')} is null),
+        h -> struct(lower(h.hit.value) as low, h.hit as hit)) as _kept""")
+    keyed = kept.select(*keep, F.sort_array(F.transform("_kept", lambda h: F.struct(
+        key_of_lower(h["low"]).alias("key"), *[h["hit"][name].alias(name) for name in (*ORDER[1:], "line_no", "value")]))).alias("_s"))
+    runs = keyed.selectExpr(*keep, "_s", f"""if(size(_s) = 0, {_NONE}, filter(sequence(0, size(_s) - 1),
+        i -> i = 0 or get(_s, i).key <> get(_s, i - 1).key)) as _from""")
+    ends = runs.selectExpr(*keep, "_s", "transform(_from, (i, n) -> struct(i, coalesce(get(_from, n + 1), size(_s)) - 1 as j)) as _runs")
+    place = "path, get(_s, r.{0}).pattern_id as pattern_id, get(_s, r.{0}).match_ord as match_ord, get(_s, r.{0}).{1} as {1}"
+    return ends.selectExpr(*keep, f"""inline_outer(transform(_runs, r -> struct(
+        get(_s, r.i).key as key, struct({place.format('j', 'value')}) as last, struct({place.format('i', 'line_no')}) as first,
+        cast(r.j - r.i + 1 as bigint) as uses)))""")
+
+
+def _matched(files: DataFrame, patterns: list[str], keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The columns ``keep``, content, the pieces ``_p`` and per pattern the pieces ``_k`` that its matches begin in."""
     ids = range(1, len(patterns) + 1)
     heads = [_head(p) for p in patterns]
     ends = ", ".join(sql_text(c) for c in sorted({last for _, last in heads}))
-    cut = files.selectExpr("path", "content", "split(content, '[\"\\']') as _p").selectExpr(
-        "path", "content", "_p", f"transform(_p, p -> right(trim(trailing {sql_text(_SPACES)} from p), 1)) as _c")
+    # Trimming takes a table of a piece's characters, so only pieces that end with a space are trimmed.
+    cut = files.selectExpr(*keep, "content", "split(content, '[\"\\']') as _p").selectExpr(*keep, "content", "_p", f"""transform(
+        transform(_p, p -> struct(p, right(p, 1) as c)), z -> if(instr({sql_text(_SPACES)}, z.c) = 0, z.c,
+        right(trim(trailing {sql_text(_SPACES)} from z.p), 1))) as _c""")
     # Behind piece j stand a quote, the value, a quote and piece j + 2.
-    valued = cut.selectExpr("path", "content", "_p", "_c", f"""if(size(_p) < 3, {_NONE}, filter(sequence(0, size(_p) - 3), j ->
+    valued = cut.selectExpr(*keep, "content", "_p", "_c", f"""if(size(_p) < 3, {_NONE}, filter(sequence(0, size(_p) - 3), j ->
         get(_c, j) in ({ends}) and get(_p, j + 1) <> '' and not contains(get(_p, j + 1), '$'))) as _j""")
     groups = {last: f"_e{n}" for n, last in enumerate(sorted({last for _, last in heads}))}
     sorted_out = valued.selectExpr(
-        "path", "content", "_p", "array_contains(transform(_j, (j, i) -> i > 0 and get(_j, i - 1) = j - 1), true) as _close",
+        *keep, "content", "_p", "array_contains(transform(_j, (j, i) -> i > 0 and get(_j, i - 1) = j - 1), true) as _close",
         *[f"filter(_j, j -> get(_c, j) = {sql_text(last)}) as {name}" for last, name in groups.items()])
-    found = sorted_out.selectExpr("path", "content", "_p", "_close", *[
+    found = sorted_out.selectExpr(*keep, "content", "_p", "_close", *[
         f"filter({groups[last]}, j -> {_word(patterns[pid - 1])}rlike(get(_p, j), {sql_text(head)})) as _k{pid}"
         for pid, (head, last) in enumerate(heads, 1)])
-    return found.selectExpr("path", "content", "_p", *[f"if(_close, {_apart(f'_k{pid}')}, _k{pid}) as _k{pid}" for pid in ids])
+    return found.selectExpr(*keep, "content", "_p", *[f"if(_close, {_apart(f'_k{pid}')}, _k{pid}) as _k{pid}" for pid in ids])
 
 
 def _word(pattern: str) -> str:
@@ -129,10 +153,10 @@ def _apart(found: str) -> str:
         transform(filter(arrays_zip({found}, {kept}), z -> z.`1` <> 'x'), z -> z.`{found}`))"""
 
 
-def _numbered(files: DataFrame, patterns: list[str]) -> DataFrame:
+def _numbered(files: DataFrame, patterns: list[str], keep: tuple[str, ...] = ("path",)) -> DataFrame:
     found = " + ".join(f"size(_k{pid})" for pid in range(1, len(patterns) + 1))
-    names = ["path", "_p", *[f"_k{pid}" for pid in range(1, len(patterns) + 1)]]
-    return _matched(files, patterns).selectExpr(
+    names = [*keep, "_p", *[f"_k{pid}" for pid in range(1, len(patterns) + 1)]]
+    return _matched(files, patterns, keep).selectExpr(
         *names,
         f"if({found} > 0 and {_marked('content')}, transform(split(content, '\n'), line -> {_marked('line')}), null) as _marked",
         f"if({found} > 0, {_QUOTE_LINES}, null) as _lines",
@@ -174,7 +198,14 @@ def ignore_reason(column: str = "value") -> Column:
 
 
 def _reason(column: str) -> str:
-    text = f"trim(both {sql_text(TRIM_CHARS)} from {column})"
+    return _noise(_trimmed(column))
+
+
+def _trimmed(column: str) -> str:
+    return f"trim(both {sql_text(TRIM_CHARS)} from {column})"
+
+
+def _noise(text: str) -> str:
     return f"""
         case when {text} = '' then 'empty'
              when rlike({text}, {sql_text(NUMBER_PATTERN)}) then 'number'

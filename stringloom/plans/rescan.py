@@ -11,8 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import make_key
-from ..operators.extract import ORDER, file_occurrences, finish_states, merge_states, scannable
+from ..operators.extract import file_states, finish_states, merge_states, scannable
 from ..sinks import versions
 from ..sources.files import decode_utf8
 from .staging import owned_tables, stage
@@ -103,13 +102,7 @@ def read_difference(spark: SparkSession, target: str) -> DataFrame:
 
 def _file_states(files: DataFrame, localized_rule: str) -> DataFrame:
     """path, hash, key, last, first, uses: one row per file and key, and one without a key for a file without any."""
-    hashes = files.select("path", "content", "hash")
-    # The hash travels inside the path, so that a file is read and decoded once.
-    rows = file_occurrences(hashes.select(F.concat("path", F.lit("\0"), "hash").alias("path"), "content"), localized_rule)
-    rows = rows.withColumns({"hash": F.substring_index("path", "\0", -1), "path": F.substring_index("path", "\0", 1)})
-    return rows.groupBy("path", "hash", make_key("value").alias("key")).agg(
-        F.max(F.struct(*ORDER, "value")).alias("last"), F.min(F.struct(*ORDER, "line_no")).alias("first"),
-        F.count(F.lit(1)).alias("uses"))
+    return file_states(files, localized_rule, keep=("path", "hash"))
 
 
 def _table(spark: SparkSession, version: versions.Version, name: str) -> DataFrame:

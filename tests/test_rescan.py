@@ -2,7 +2,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from stringloom.functions.text import make_key
 from stringloom.operators import extract
 from stringloom.plans import rescan
 from stringloom.sinks import versions
@@ -63,3 +65,22 @@ def test_reading_by_name_or_from_the_tree(spark, tmp_path, monkeypatch, most):
     assert sorted(bytes(r["data"]) for r in read.collect()) == [b"a.dart", b"c.dart"]
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("rule", ["line", "suffix"])
+def test_states_are_grouped_inside_the_row_of_a_file(spark, rule):
+    draw = random.Random(7)
+    rows = [(f"f{i}.dart", code(draw) + draw.choice(["", "\nText('One').tr", "\ntitle: 'One' // .i18n", "\nText(\u00a0'oNE!')\nText('42')"]), f"h{i}") for i in range(40)]
+    rows += [("empty.dart", "", "e"), ("noise.dart", "Text('...')", "n"), ("f0.dart", "Text('Another')", "h0b")]
+    files = spark.createDataFrame(rows, "path string, content string, hash string")
+    states = rescan._file_states(files, rule)
+    assert "Exchange" not in states._jdf.queryExecution().executedPlan().toString()
+    found = extract.file_occurrences(files.selectExpr("path || '#' || hash as path", "content"), rule)
+    want = found.groupBy(F.substring_index("path", "#", 1).alias("path"), F.substring_index("path", "#", -1).alias("hash"), make_key("value").alias("key"))
+    want = want.agg(F.max(F.struct("pattern_id", "match_ord", "value")).alias("last"), F.min(F.struct("pattern_id", "match_ord", "line_no")).alias("first"), F.count("value").alias("uses"))
+    got = states.selectExpr("path", "hash", "key", "last.pattern_id", "last.match_ord", "last.value", "first.pattern_id", "first.match_ord", "first.line_no", "uses")
+    assert plain(got.where("key is not null")) == plain(want.where("key is not null").selectExpr("path", "hash", "key", "last.*", "first.*", "uses"))
+    assert plain(states.select("path", "hash").distinct()) == sorted(((p, h) for p, _, h in rows), key=repr)
+    none = plain(states.where("key is null").select("path", "hash"))
+    assert ("empty.dart", "e") in none and ("noise.dart", "n") in none and not {*none} & {*plain(got.where("key is not null").select("path", "hash"))}
+    assert states.where("key is not null and (last.path <> path or first.path <> path)").count() == 0
