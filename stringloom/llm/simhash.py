@@ -82,7 +82,8 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TIL
     spread = spread.select("table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
     sizes = spread.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "table", "key", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
-    rows = spread.join(sizes, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    # Spark sizes the spread rows as one per fingerprint instead of one per mask, and would broadcast them.
+    rows = spread.hint("merge").join(sizes, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "table", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "rep")
     group = ["table", "key", "low", "high"]

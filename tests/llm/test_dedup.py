@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from stringloom.llm import embeddings, lines, repeats, simhash
+from stringloom.llm.common import stage
 from stringloom.llm.components import connected_components
 
 TOP = 2**63 - 1
@@ -165,6 +166,13 @@ def test_hot_bucket_is_tiled(spark):
     assert one == many == {(i, 0) for i in range(len(fps))}
 
 
+def test_spread_fingerprints_are_never_broadcast(spark):
+    """The rows of all masks are many times what Spark takes the fingerprints for, however few those seem."""
+    rows = stage(spark.createDataFrame([(i, i) for i in range(50)], "fp long, rep long"), "reps")
+    plan = simhash.link_fingerprints(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
