@@ -89,6 +89,12 @@ def file_occurrences(files: DataFrame, localized_rule: str = "line") -> DataFram
 def file_states(files: DataFrame, localized_rule: str = "line", keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """The columns ``keep`` and key, last, first, uses: what ``string_states`` says of every row's own literals, one row
     per key, and a row whose ``key`` is null for a file without any.
+    """
+    return packed_states(files, localized_rule, keep).selectExpr(*keep, "inline_outer(states)")
+
+
+def packed_states(files: DataFrame, localized_rule: str = "line", keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The columns ``keep`` and ``states``, an array of what :func:`file_states` has a row of each of.
 
     A file's hits stand in its row, so they are grouped there: sorted by key and place, a key is a run of them.
     """
@@ -103,9 +109,9 @@ def file_states(files: DataFrame, localized_rule: str = "line", keep: tuple[str,
         i -> i = 0 or get(_s, i).key <> get(_s, i - 1).key)) as _from""")
     ends = runs.selectExpr(*keep, "_s", "transform(_from, (i, n) -> struct(i, coalesce(get(_from, n + 1), size(_s)) - 1 as j)) as _runs")
     place = "path, get(_s, r.{0}).pattern_id as pattern_id, get(_s, r.{0}).match_ord as match_ord, get(_s, r.{0}).{1} as {1}"
-    return ends.selectExpr(*keep, f"""inline_outer(transform(_runs, r -> struct(
+    return ends.selectExpr(*keep, f"""transform(_runs, r -> struct(
         get(_s, r.i).key as key, struct({place.format('j', 'value')}) as last, struct({place.format('i', 'line_no')}) as first,
-        cast(r.j - r.i + 1 as bigint) as uses)))""")
+        cast(r.j - r.i + 1 as bigint) as uses)) as states""")
 
 
 def _matched(files: DataFrame, patterns: list[str], keep: tuple[str, ...] = ("path",)) -> DataFrame:

@@ -166,11 +166,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores (the test tables have one) or of very many rows to a split, spread
-    before its rows grow. Counting reads Parquet's footers only."""
+def spread(df: DataFrame, stream: DataFrame | None = None) -> DataFrame:
+    """A table (or the stream of its rows) of fewer splits than cores (the test tables have one) or of very many rows
+    to a split, spread before its rows grow. Counting reads Parquet's footers only."""
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+    rows = df if stream is None else stream
+    return rows.repartition(parts) if df.rdd.getNumPartitions() < parts else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

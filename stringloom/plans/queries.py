@@ -722,9 +722,9 @@ def stream_catalog(spark, sf):
 
 
 def _arriving(spark, sf) -> DataFrame:
-    """All source files as a stream."""
+    """All source files as a stream. A table is a file or a folder of files; as a pattern, its path may be either."""
     tables = {}
     for name in ("part", "pages", "documents"):
-        stream = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
-        tables[name] = stream.parquet(sf)
+        rows = table(spark, sf, name)
+        tables[name] = spread(rows, spark.readStream.schema(rows.schema).parquet(f"{sf}/{name}.parque[t]"))
     return code_files(tables["part"], tables["pages"], tables["documents"])

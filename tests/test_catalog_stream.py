@@ -1,9 +1,11 @@
+import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from stringloom.operators import catalog, extract
+from stringloom.plans import queries
 from stringloom.sinks import versions
 from stringloom.streaming import catalog_stream
 
@@ -101,3 +103,80 @@ def test_every_file_has_a_row(spark):
         found = extract.file_occurrences(files, rule)
         assert found.select("path").distinct().count() == 40
         assert plain(found.where("value is not null")) == plain(extract.occurrences(files, localized_rule=rule))
+
+
+class Held:
+    """A map state, and how often it is called."""
+
+    def __init__(self):
+        self.entries, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):
+        return self.__dict__.setdefault(f"of_{name}", Held())
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.entries[key]
+
+    def iterator(self):
+        return iter([*self.entries.items()])
+
+
+def said(name, at, value):
+    return [name, "1", str(at), str(at), "1", str(at), value, "1"]
+
+
+def test_calls_to_the_store_are_by_slot(monkeypatch):
+    """Edits and deletions of many paths in one group, against all that is held, in few calls."""
+    monkeypatch.setattr(catalog_stream, "GROUPS", 1)
+    monkeypatch.setattr(catalog_stream, "SLOTS", 8)
+    monkeypatch.setattr(catalog_stream, "ENTRIES", 500)
+    draw = random.Random(5)
+    files, keys = Held(), Held()
+    first, second = catalog_stream.FileChanges(), catalog_stream.KeyStates()
+    first.init(files)
+    second.init(keys)
+    held, states = {}, {}
+    for _ in range(6):
+        chosen = draw.sample(range(300), 200)
+        new = {f"f{i}": {f"k {draw.choice([0, 1, 2, i])}": n for n in range(draw.choice([0, 1, 4]))} for i in chosen}
+        rows = [Row(slot=hash(p) % 8, path=p, bucket=len(p) % 2, found=json.dumps([said(k, n, f"{p} {n}") for k, n in ks.items()]))
+                for p, ks in new.items()]
+        held |= new
+        before = [h.calls for h in (files.of_files, keys.of_paths, keys.of_ends)]
+        changes = list(first.handleInputRows((0,), iter(rows), None))
+        out = [e for r in second.handleInputRows((0,), iter(changes), None) for e in json.loads(r["entries"])]
+        after = [h.calls for h in (files.of_files, keys.of_paths, keys.of_ends)]
+        # Per slot a call to read and one to write; the entries of paths come in two runs at most.
+        assert all(b - a <= most for a, b, most in zip(before, after, (16, 48, 16), strict=True))
+        states |= {(e[0], e[1]): e[2:] for e in out}
+        want = {}
+        for path in sorted(held):
+            for k, n in held[path].items():
+                place = said(k, n, f"{path} {n}")[1:]
+                state = want.setdefault((k, str(len(path) % 2)), [path, *place[:3], None, None, None, None, 0])
+                state[4:] = path, *place[3:6], state[8] + 1
+        assert {k: [*s[:8], int(s[8])] for k, s in states.items() if s[8] != "0"} == want
+
+
+def test_tables_that_are_folders_arrive(spark, tmp_path):
+    part = "p_partkey long, p_name string, p_type string, p_size int, p_brand string"
+    spark.createDataFrame([(i, "red ring", "TIN", 3, "B") for i in range(4)], part).coalesce(1).write.parquet(f"{tmp_path}/p")
+    (file,) = (tmp_path / "p").glob("*.parquet")
+    (tmp_path / "sf").mkdir()
+    (tmp_path / "sf" / "part.parquet").write_bytes(file.read_bytes())
+    spark.createDataFrame([(1, "<a>")], "page_id long, html string").write.parquet(f"{tmp_path}/sf/pages.parquet")
+    docs = spark.createDataFrame([(i, 'Text("One")') for i in range(5)], "doc_id long, text string")
+    docs.repartition(2).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    paths = []
+    stream = queries._arriving(spark, f"{tmp_path}/sf").writeStream.trigger(availableNow=True)
+    stream.foreachBatch(lambda batch, _: paths.extend(r["path"].split("/")[0] for r in batch.collect())).start().awaitTermination()
+    assert sorted(paths) == ["docs"] * 5 + ["lib"] * 4 + ["web"]
