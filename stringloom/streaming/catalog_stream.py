@@ -29,8 +29,10 @@ from ..sinks import versions
 BUCKETS = 32
 # A state is laid out by these two; a stream keeps the numbers that it was started with.
 GROUPS, SLOTS = 1024, 256
-# Entries that a task looks at together, or that a row holds.
-ENTRIES = 20_000
+# Characters of entries that a task looks at together, and entries that a row holds.
+CHARS, ENTRIES = 8 << 20, 1_000
+# A batch of more changed states is not broadcast. Their file says little of their size, since it is compressed.
+BROADCAST_ROWS = 100_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PACK = "group int, entries string"
@@ -41,14 +43,16 @@ _UNSAID = [None] * 6  # of a key that a path lost
 
 
 class _Slots:
-    """Texts of a map state by their slot, read and written once each."""
+    """Texts of a map state by their slot, read and written once between two writes. Of a state that was empty, only
+    slots that were written since are read."""
 
     def __init__(self, state) -> None:
         self.state, self.held, self.raw = state, {}, {}
+        self.filled = None if state.exists() else set()
 
     def __getitem__(self, slot: int) -> dict:
         if slot not in self.held:
-            found = self.state.getValue((slot,))
+            found = self.state.getValue((slot,)) if self.filled is None or slot in self.filled else None
             self.raw[slot] = found and found[0]
             self.held[slot] = json.loads(found[0]) if found else {}
         return self.held[slot]
@@ -62,6 +66,8 @@ class _Slots:
                 self.state.removeKey((slot,))
             else:
                 self.state.updateValue((slot,), (text,))
+                if self.filled is not None:
+                    self.filled.add(slot)
         self.held, self.raw = {}, {}
 
 
@@ -98,7 +104,7 @@ class FileChanges(StatefulProcessor):
                     out[crc32(f"{bucket} {name}".encode()) % GROUPS].append([name, path, bucket, *place])
                 n += len(changes)
             files.write()
-            if n >= ENTRIES * 10:
+            if n >= ENTRIES * 100:
                 yield from _packed(out)
                 out, n = defaultdict(list), 0
         yield from _packed(out)
@@ -142,9 +148,9 @@ class KeyStates(StatefulProcessor):
         self.ends = handle.getMapState("ends", "slot int", "said string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ends, changed, lost = _Slots(self.ends), {}, set()
+        paths, ends, changed, lost = _Slots(self.paths), _Slots(self.ends), {}, set()
         for entries in _together(rows):
-            paths, by_slot = _Slots(self.paths), defaultdict(list)
+            by_slot = defaultdict(list)
             for name, path, bucket, *place in entries:
                 name = f"{bucket} {name}"
                 code = crc32(name.encode())
@@ -209,13 +215,14 @@ class KeyStates(StatefulProcessor):
 
 
 def _together(rows: Iterable[Row]) -> Iterator[list]:
-    """The entries of the rows, at least ``ENTRIES`` at once but for the last."""
-    entries: list = []
+    """The entries of the rows, of ``CHARS`` characters at least at once but for the last."""
+    entries, chars = [], 0
     for row in rows:
         entries += json.loads(row["entries"])
-        if len(entries) >= ENTRIES:
+        chars += len(row["entries"])
+        if chars >= CHARS:
             yield entries
-            entries = []
+            entries, chars = [], 0
     if entries:
         yield entries
 
@@ -270,12 +277,15 @@ def apply_changes(changes: DataFrame, target: str, batch_id: int, stored: DataFr
     with owned_tables(spark):
         draft = versions.begin(spark, target)
         changes = stage(changes, "changes")
-        old = _table(spark, former, "states") if former else changes.limit(0)
-        draft.write_table("states", old.join(changes, ["key", "bucket"], "left_anti").unionByName(changes.where("uses > 0")))
-        keys = stage(changes.select("key").distinct(), "keys")
-        states = spark.read.schema(changes.schema).parquet(draft.path("states"))
-        draft.write_table("changed", keys)
-        now = strings_of(states.join(keys, "key", "left_semi"))
+        how = "broadcast" if changes.count() <= BROADCAST_ROWS else "merge"
+        states = changes.where("uses > 0")
+        if former:
+            states = _table(spark, former, "states").join(changes.hint(how), ["key", "bucket"], "left_anti").unionByName(states)
+        draft.write_table("states", states)
+        draft.write_table("changed", changes.select("key").distinct())
+        keys = spark.read.schema("key string").parquet(draft.path("changed")).hint(how)
+        states = spark.read.schema(states.schema).parquet(draft.path("states"))
+        now = strings_of(states.join(keys, "key", "left_semi") if former else states)
         if stored is None:
             stored = spark.createDataFrame([], "key string, english string, translations map<string,string>, ord int")
         if former:
